@@ -12,8 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = [
-    "corpus",
-
+    "corpus", "text_functions", "titles", "retrieval",
 ]
 
 TABLE_NAMES = [

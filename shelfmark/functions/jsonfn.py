@@ -110,7 +110,7 @@ def widest_json_object(c: Column) -> Column:
 def flexible_list(c: Column) -> Column:
     """A JSON list, or text split at newline, comma, semicolon or bar, as a list; null gives an empty list."""
     listed = F.filter(F.from_json(c, "array<string>"), lambda v: v.isNotNull() & (v != ""))
-    split = F.filter(F.transform(F.split(c, r"[\n,;|]+"), F.trim), lambda v: v != "")
+    split = F.filter(F.transform(F.split(c, r"[\n,;|]+"), lambda v: F.trim(v)), lambda v: v != "")
     is_list = F.startswith(F.ltrim(c), F.lit("[")) & F.try_parse_json(c).isNotNull()
     return F.coalesce(F.when(is_list, listed).otherwise(split), lit_array([]))
 

@@ -10,7 +10,7 @@ import html
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from . import lexicon as L
@@ -23,6 +23,19 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def exploded(df: DataFrame, values: Column, name: str, pos: str | None = None) -> DataFrame:
+    """One row per element of `values`, keeping the other columns.
+
+    The outer form with a filter afterwards: for the inner form the optimizer
+    adds a size test below the generator, which would compute `values` twice.
+    """
+    if pos is None:
+        rows = df.select("*", F.explode_outer(values).alias(name))
+    else:
+        rows = df.select("*", F.posexplode_outer(values).alias(pos, name))
+    return rows.where(F.col(name).isNotNull())
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -273,7 +286,7 @@ def safe_number(c: Column) -> Column:
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
 
 
 def js_round(c: Column) -> Column:

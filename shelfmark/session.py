@@ -65,3 +65,11 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bound_arrow_batches(spark: SparkSession, limit: str = "67108864") -> None:
+    """Limit Arrow batches by bytes where the session has no such limit: packed rows are large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    current = int(spark.conf.get(key, "2147483646"))
+    if current > int(limit):
+        spark.conf.set(key, limit)
