@@ -20,18 +20,18 @@ def trailing_media_filter(t):
     return t.benchmark.select("item_id", TT.trailing_media_type(raw).alias("f")).select("item_id", "f.*")
 
 
-_LEX = SERVICE_SQL + f""", ph AS (SELECT DISTINCT unnest(a) AS p FROM a), tk AS (SELECT DISTINCT unnest(regexp_extract_all(p, '[a-z0-9]+')) AS t FROM ph)"""
+_LEX = SERVICE_SQL + f""", ph AS (SELECT DISTINCT unnest(a) AS p FROM a), ltk AS (SELECT DISTINCT unnest(regexp_extract_all(p, '[a-z0-9]+')) AS t FROM ph)"""
 _STOP, _HINT = q.lst(L.QUERY_STOPWORDS), q.lst(L.CHARACTER_HINTS)
 
 
 def character_queries_sql():
     """Query texts: first four words of a document's synopsis, with a hint word on every third."""
-    return f""", qs AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN 'character ' ELSE '' END ||
+    return f""", cq0 AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN 'character ' ELSE '' END ||
   array_to_string(w[1:CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 3 END], ' ') AS qtext FROM lab WHERE len(w) >= 1 AND {_no_label()}),
-qt AS (SELECT query_id, qtext, {q.norm('qtext')} AS qn, {q.toks('qtext')} AS raw FROM qs),
-kn AS (SELECT query_id, list(DISTINCT x.t) AS known FROM (SELECT query_id, unnest(raw) AS t FROM qt) x SEMI JOIN tk ON x.t = tk.t GROUP BY 1),
-qk AS (SELECT qt.*, coalesce(known, []) AS known, qn IN (SELECT p FROM ph) AS phrase,
-  list_filter(raw, lambda z: NOT list_contains({_STOP}, z) AND NOT list_contains({_HINT}, z)) AS rest FROM qt LEFT JOIN kn USING (query_id)),
+cq1 AS (SELECT query_id, qtext, {q.norm('qtext')} AS qn, {q.toks('qtext')} AS raw FROM cq0),
+kn AS (SELECT query_id, list(DISTINCT x.t) AS known FROM (SELECT query_id, unnest(raw) AS t FROM cq1) x SEMI JOIN ltk ON x.t = ltk.t GROUP BY 1),
+qk AS (SELECT cq1.*, coalesce(known, []) AS known, qn IN (SELECT p FROM ph) AS phrase,
+  list_filter(raw, lambda z: NOT list_contains({_STOP}, z) AND NOT list_contains({_HINT}, z)) AS rest FROM cq1 LEFT JOIN kn USING (query_id)),
 qc AS (SELECT *, CASE WHEN len(raw) = 0 THEN false WHEN phrase THEN true WHEN list_has_any(raw, {_HINT}) THEN
   len(rest) > 0 AND len(list_filter(rest, lambda z: NOT regexp_full_match(z, '[a-z]+'))) = 0 AND len(list_filter(rest, lambda z: list_contains(known, z))) >= greatest(1, len(rest) - 1)
   ELSE len(raw) <= 3 AND NOT list_has_any(raw, {_STOP}) AND len(list_filter(raw, lambda z: NOT regexp_full_match(z, '[a-z]+'))) = 0

@@ -93,6 +93,16 @@ def title_candidates(queries: DataFrame, index: DataFrame, threshold: float = L.
     )
 
 
+def exact_candidates(queries: DataFrame, index: DataFrame, keep: int = 20) -> DataFrame:
+    """As `title_candidates`, for exact matches only (score 1)."""
+    texts = queries.select(F.col("query_norm").alias("q")).distinct()
+    pairs = exact_pairs(texts, index.select(F.col("alias_norm").alias("c")).distinct())
+    groups = top_k(index.select("alias_norm", "title", "media_type", "item_id"), ["alias_norm", "title"],
+                   ["item_id", "media_type"], keep, "_n").drop("_n").withColumnRenamed("alias_norm", "c")
+    hits = queries.select("query_id", F.col("query_norm").alias("q")).join(pairs, "q").join(groups, "c")
+    return hits.groupBy("query_id", "media_type", "item_id").agg(F.min("title").alias("title")).withColumn("score", F.lit(1.0))
+
+
 def accept_title_results(queries: DataFrame, candidates: DataFrame, near: float = L.TITLE_NEAR) -> DataFrame:
     """Drop all candidates of queries whose best score is not near and that read like descriptions.
 
@@ -183,6 +193,67 @@ def best_listing_match(variants: DataFrame, candidates: DataFrame, at_least: flo
     )
 
 
+def strict_direct_matches(variants: DataFrame, candidates: DataFrame, cap: int = 12,
+                          at_least: float = L.LISTING_MATCH) -> DataFrame:
+    """First cut of a direct search: best score per candidate URL, `cap` URLs per query.
+
+    Candidates with one title tie on score, so the first `cap` of each title suffice.
+    """
+    pairs = listing_pairs(variants.select(F.col("variant").alias("q")), candidates.select(F.col("title").alias("c")), at_least)
+    lead = top_k(candidates.select("title", "url", F.col("pos").alias("c_pos")), ["title"], ["c_pos", "url"], cap, "_n").drop("_n")
+    hits = variants.join(pairs, F.col("variant") == F.col("q")).join(lead, F.col("title") == F.col("c"))
+    best = hits.groupBy("query_id", "url").agg(
+        F.max("score").alias("score"), F.min("c_pos").alias("c_pos"), F.min("title").alias("title")
+    )
+    return top_k(best, ["query_id"], [F.desc(F.round("score", 9)), "c_pos", "url"], cap)
+
+
+def relevant_results(matches: DataFrame, queries: DataFrame, cap: int = 6) -> DataFrame:
+    """Second cut: relevant, not a headline, distinct by punctuation-free title, `cap` per query."""
+    rows = matches.withColumnRenamed("rank", "_r").join(queries.select("query_id", "query"), "query_id").where(
+        TT.is_relevant(F.col("title"), F.col("query")) & ~TT.is_headline(F.col("title"))
+    ).withColumn("_k", F.regexp_replace(F.lower("title"), "[^a-z0-9]", ""))
+    return top_k(first_per_key(rows, ["query_id", "_k"], ["_r"]), ["query_id"], ["_r"], cap).drop("_k", "_r", "query")
+
+
+def ordinal_candidates(queries: DataFrame, catalogue: DataFrame, at_most: float = 2.5) -> DataFrame:
+    """(query_id, item_id, score, chapters) of entries whose ordinal title score is at most `at_most`.
+
+    `catalogue`: item_id, title, chapters. Scores are computed once per distinct
+    pair of strings; equality, prefixes and containment come from grams, token
+    cover from the rarest token of the smaller side.
+    """
+    def prepared(df: DataFrame, col: str, name: str) -> DataFrame:
+        rows = df.select(F.lower(T.collapse(F.col(col))).alias(name)).distinct().where(F.col(name) != "")
+        listed = rows.withColumn("_l", F.filter(F.split(name, r"\s+"), lambda w: F.length(w) >= 3))
+        return listed.withColumn("tokens", F.array_distinct("_l"))
+
+    q, c = prepared(queries, "query", "q"), prepared(catalogue, "title", "c")
+    repeated = q.where(F.size("_l") > F.size("tokens"))
+    pairs = (
+        B.containment_pairs(q, c).unionByName(B.subset_pairs(q, c))
+        .unionByName(B.overlap_pairs(repeated, c, lambda n: F.lit(1))).distinct()
+    )
+    scored = pairs.withColumn("score", SIM.ordinal_title_score(F.col("q"), F.array("c"))).where(F.col("score") <= at_most)
+    entries = catalogue.withColumn("c", F.lower(T.collapse(F.col("title"))))
+    # For a query, entries with one title differ only by chapter count and id.
+    lead = top_k(entries.select("c", "item_id", "chapters"), ["c"],
+                 [F.desc(F.coalesce("chapters", F.lit(0))), "item_id"], 20, "_n").drop("_n")
+    wanted = queries.select("query_id", F.lower(T.collapse(F.col("query"))).alias("q"))
+    return wanted.join(scored, "q").join(lead, "c").select("query_id", "item_id", "score", "chapters")
+
+
+def ranked_candidates(candidates: DataFrame, k: int = 20) -> DataFrame:
+    """Score ascending, then larger chapter count."""
+    return top_k(candidates, ["query_id"], ["score", F.desc(F.coalesce("chapters", F.lit(0))), "item_id"], k)
+
+
+def resolver_ranking(candidates: DataFrame, k: int = 10) -> DataFrame:
+    """Order fetched candidates by resolver score, stable: (query_id, rank, item_id, title, score)."""
+    scored = candidates.withColumn("score", SIM.resolver_title_score(T.title_norm(F.col("query")), T.title_norm(F.col("title"))))
+    return top_k(scored, ["query_id"], [F.asc_nulls_last("score"), "pos"], k).select("query_id", "rank", "item_id", "title", "score")
+
+
 # --- alias lookup similarity --------------------------------------------------
 
 def alias_lookup_pairs(queries: DataFrame, titles: DataFrame, at_least: float = L.ALIAS_CANDIDATE_MIN) -> DataFrame:
