@@ -221,9 +221,10 @@ def convex_scaling(t):
 
 _POOL = _LEX + character_queries_sql() + f""", d AS (SELECT doc_id AS doc, payload AS text FROM lab WHERE NOT regexp_matches(lower(ttl || syn), '(type|title|genres|synopsis|characters|aliases):')),
 qs AS (SELECT query_id, qtext AS text FROM qc), """ + bm25("", "", "").split("qs AS (),\n", 1)[-1] + """,
-pool AS (SELECT * FROM (SELECT query_id, doc, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) AS input_pos FROM sc) WHERE input_pos <= 80),
-mt AS (SELECT p.*, qc.is_character, qc.qtok, a.a AS aliases, lab.ttl AS title, list_distinct(regexp_extract_all(""" + q.norm("lab.payload") + """, '[a-z0-9]+')) AS st
-  FROM pool p JOIN qc USING (query_id) JOIN a ON a.doc_id = p.doc JOIN lab ON lab.doc_id = p.doc),
+ld AS MATERIALIZED (SELECT doc_id, ttl AS title, list_distinct(regexp_extract_all(""" + q.norm("payload") + """, '[a-z0-9]+')) AS st FROM lab),
+pool AS MATERIALIZED (SELECT * FROM (SELECT query_id, doc, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) AS input_pos FROM sc) WHERE input_pos <= 80),
+mt AS (SELECT p.*, qc.is_character, qc.qtok, a.a AS aliases, ld.title, ld.st
+  FROM pool p JOIN qc USING (query_id) JOIN a ON a.doc_id = p.doc JOIN ld ON ld.doc_id = p.doc),
 m2 AS (SELECT *, array_to_string(qtok, ' ') <> '' AND list_contains(aliases, array_to_string(qtok, ' ')) AS ex,
   list_distinct(flatten(list_transform(aliases, lambda z: regexp_extract_all(z, '[a-z0-9]+')))) AS atk FROM mt),
 m3 AS (SELECT *, CASE WHEN ex THEN len(list_distinct(qtok)) ELSE greatest(len(list_intersect(list_distinct(qtok), atk)),
