@@ -99,7 +99,7 @@ def build_cases(
 
     `corpus` has doc_id, medium, title, synopsis, aliases; `aliases` optionally
     maps doc_id to alternative titles. Draws are by hash, so a seed gives the
-    same suite on every run (not the reference generator's sequence).
+    same suite on every run and cluster.
     """
     n_semantic = int(round(per_medium * semantic_ratio))
     n_keyword = per_medium - n_semantic
