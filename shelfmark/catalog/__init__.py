@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = [
-    "corpus", "text_functions", "titles", "retrieval", "similarity", "dedupe", "matching", "lifecycle", "evaluation", "pages", "chapters",
+    "corpus", "text_functions", "titles", "retrieval", "similarity", "dedupe", "matching", "lifecycle", "evaluation", "pages", "chapters", "state",
 ]
 
 TABLE_NAMES = [

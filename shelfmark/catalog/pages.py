@@ -142,7 +142,11 @@ def same_series_filter(t):
     return C.same_series_or_all(rows, ["page_id"], "base").select("page_id", "pos")
 
 
-@query("content_image_f21", """SELECT page_id, page_id % 5 IN (0, 1) AS content FROM pages""")
+# A host label such as "ads" rejects a URL as much as a path segment does.
+_NOT_AD = r"NOT regexp_matches({c}, '(?i)(?:^|[/._-])(logo|avatar|icon|banner|sprite|thumb|cover|ads?)(?:[/._-]|$)')"
+
+
+@query("content_image_f21", f"SELECT page_id, page_id % 5 IN (0, 1) AND {_NOT_AD.format(c=ORIGIN)} AS content FROM pages")
 def content_image(t):
     tails = ["/a/page-1.JPG?x=1", "/uploads/z", "/img/logo.png", "/plain", "/ads/x.webp"]
     k = F.col("page_id") % 5
@@ -157,9 +161,8 @@ def earliest_chapter(t):
     k = F.col("page_id") % 3
     refs = F.when(k == 0, T.lit_array(["/s/chapter-10", "/s/chapter-2", "/about"])).when(k == 1, T.lit_array(["/chapters/uuid/0003", "/chapters/other/00012"])).otherwise(
         T.lit_array(["/chapters/4", "/chapters/99999", "/chapters/5"]))
-    rows = T.exploded(t.pages.select("page_id", o.alias("o")), F.concat(F.transform(refs, lambda r: F.concat(o, r)), F.array(F.lit("https://elsewhere.example/chapter-1"))), "url") \
-        if False else T.exploded(t.pages.select("page_id", o.alias("o"), refs.alias("refs")), F.concat(
-            F.transform("refs", lambda r: F.concat(F.col("o"), r)), F.array(F.lit("https://elsewhere.example/chapter-1"))), "url")
+    rows = T.exploded(t.pages.select("page_id", o.alias("o"), refs.alias("refs")), F.concat(
+        F.transform("refs", lambda r: F.concat(F.col("o"), r)), F.array(F.lit("https://elsewhere.example/chapter-1"))), "url")
     kept = rows.where(U.parts(F.col("url"))["origin"] == F.col("o")).withColumn("number", U.listed_number(F.col("url"))).where(F.col("number").isNotNull())
     return kept.groupBy("page_id").agg(F.min_by("url", F.struct("number", "url")).alias("url"), F.min("number").alias("number"))
 
@@ -196,7 +199,7 @@ def link_extraction(t):
     return PG.chapter_links(reader_elements(t), reader_pages(t.pages)).select("page_id", "url", "number", "title")
 
 
-@query("image_extraction_h2", f"SELECT page_id, o || '/uploads/p' || page_id || '-' || i || '.jpg' AS url, 100 AS width, i * 100 AS height FROM {_RP}, (VALUES (1), (2), (3)) v(i) WHERE page_id % 4 <> 0")
+@query("image_extraction_h2", f"SELECT page_id, o || '/uploads/p' || page_id || '-' || i || '.jpg' AS url, 100 AS width, i * 100 AS height FROM {_RP}, (VALUES (1), (2), (3)) v(i) WHERE page_id % 4 <> 0 AND {_NOT_AD.format(c='o')}")
 def image_extraction(t):
     return PG.images(reader_elements(t), reader_pages(t.pages)).select("page_id", "url", "width", "height")
 
@@ -244,7 +247,8 @@ def site_chapter_lists(t):
     return links.select("page_id", U.absolute(F.col("url"), F.col("x.web_url")).alias("url"), U.inferred_number(F.col("x.name"), F.col("x.web_url")).alias("number"))
 
 
-@query("heuristic_merge_h6", """SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN 'chapter' ELSE 'series' END AS page_type, CASE WHEN page_id % 4 <> 0 THEN 3 ELSE 0 END AS n_images, 3 AS n_links FROM pages""")
+@query("heuristic_merge_h6", f"""SELECT page_id, CASE WHEN ok THEN 'chapter' ELSE 'series' END AS page_type, CASE WHEN ok THEN 3 ELSE 0 END AS n_images, 3 AS n_links
+FROM (SELECT page_id, page_id % 4 <> 0 AND {_NOT_AD.format(c=ORIGIN)} AS ok FROM pages)""")
 def heuristic_merge(t):
     pages, rows = reader_pages(t.pages), reader_elements(t)
     generic = PR.site_extraction(rows, pages, {})
@@ -285,8 +289,8 @@ def sanitise(t):
     return t.pages.select("page_id", F.length(PG.sanitised(html)).alias("chars"), PG.sanitised(html, 800).alias("head"))
 
 
-@query("cascading_images_u5", f"SELECT page_id, o || '/uploads/p' || page_id || '-' || i || '.jpg' AS url, 1 AS stage FROM {_RP}, (VALUES (1), (2), (3)) v(i) WHERE page_id % 4 <> 0 "
-       f"UNION ALL SELECT page_id, o || '/i/' || page_id || '.png', 4 FROM {_RP} WHERE page_id % 4 = 0")
+@query("cascading_images_u5", f"SELECT page_id, o || '/uploads/p' || page_id || '-' || i || '.jpg' AS url, 1 AS stage FROM {_RP}, (VALUES (1), (2), (3)) v(i) WHERE page_id % 4 <> 0 AND {_NOT_AD.format(c='o')} "
+       f"UNION ALL SELECT page_id, o || '/i/' || page_id || '.png', 4 FROM {_RP} WHERE page_id % 4 = 0 AND {_NOT_AD.format(c='o')}")
 def cascading_images(t):
     """Reader images where there are any; script URLs on the pages that have none."""
     pages = reader_pages(t.pages)
