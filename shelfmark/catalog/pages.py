@@ -223,15 +223,10 @@ SITE_SELECTORS = {
 @query("site_selectors_h4", f"""SELECT page_id, 'net' AS site, 3 AS n_links FROM pages WHERE ends_with({HOST}, 'example.net') UNION ALL SELECT page_id, 'com', 3 FROM pages WHERE ends_with({HOST}, 'example.com')""")
 def site_selectors(t):
     pages = PG.site_of(reader_pages(t.pages), registry(t.spark))
-    rows = reader_elements(t)
-    out = None
-    for site, selectors in SITE_SELECTORS.items():
-        of_site = pages.where(F.col("site") == site)
-        got = PR.site_extraction(rows.join(of_site.select("page_id"), "page_id", "left_semi"), of_site, selectors)
-        part = got["meta"].join(got["links"].groupBy("page_id").agg(F.count("*").alias("n_links")), "page_id", "left").select(
-            "page_id", F.lit(site).alias("site"), "n_links")
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = reader_elements(t).join(pages.select("page_id", "site"), "page_id")
+    got = PR.site_extraction(rows, pages, SITE_SELECTORS)
+    n_links = got["links"].groupBy("page_id").agg(F.count("*").alias("n_links"))
+    return got["meta"].join(n_links, "page_id", "left").join(pages.select("page_id", "site"), "page_id").select("page_id", "site", "n_links")
 
 
 @query("site_chapter_lists_h5", f"SELECT page_id, o || '/c/' || page_id || '-' || i AS url, CAST(i AS VARCHAR) AS number FROM {_RP}, (VALUES (1), (2)) v(i)")
@@ -251,8 +246,10 @@ def site_chapter_lists(t):
 FROM (SELECT page_id, page_id % 4 <> 0 AND {_NOT_AD.format(c=ORIGIN)} AS ok FROM pages)""")
 def heuristic_merge(t):
     pages, rows = reader_pages(t.pages), reader_elements(t)
-    generic = PR.site_extraction(rows, pages, {})
-    adapter = PR.site_extraction(rows, pages, {"title": ["h1"], "links": [".chapters a"]})
+    generic = {k: materialize(v, k) for k, v in PR.site_extraction(rows, pages).items()}
+    one = F.lit("one").alias("site")
+    adapter = PR.site_extraction(rows.select("*", one), pages.select("*", one), {"one": {"title": ["h1"], "links": [".chapters a"]}})
+    adapter = {k: materialize(v, k) for k, v in adapter.items()}
     return PR.heuristic_records(adapter, generic)["meta"].select("page_id", "page_type", "n_images", "n_links")
 
 

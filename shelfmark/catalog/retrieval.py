@@ -8,7 +8,7 @@ from shelfmark.functions import lexicon as L, sections as S, similarity as SIM,
 from shelfmark.operators import corpus as C, lexicon as LEX, ranking as R, results as RES, sparse as SP
 from shelfmark.operators.dense import DenseIndex, dot, embedded
 from shelfmark.plans import search as P
-from shelfmark.session import materialize
+from shelfmark.session import materialize, spread
 
 from . import query, sql as q, views
 from .sql import CAT, LAB
@@ -170,7 +170,7 @@ def chunk_table(t):
         F.col("doc_id").alias("item_id"), "media_type", F.lit("main").alias("namespace"),
         T.collapse(F.col("title")).alias("title"), "text",
     )
-    rows = C.token_chunks(docs, "text").withColumnRenamed("chunk_text", "snippet").withColumn(
+    rows = C.token_chunks(spread(docs), "text").withColumnRenamed("chunk_text", "snippet").withColumn(
         "chunk_id", F.col("item_id") * 100_000 + F.col("chunk_index")
     )
     return materialize(embedded(P.with_match_fields(rows), "snippet"), "chunk-table")
@@ -240,7 +240,7 @@ rr AS (SELECT *, boosted + adj AS final, row_number() OVER (PARTITION BY query_i
 
 def character_pool(t):
     """The 80 best labelled documents per character-style query, with match fields."""
-    docs = materialize(P.with_match_fields(_unlabelled(t).select(
+    docs = materialize(P.with_match_fields(spread(_unlabelled(t)).select(
         F.col("doc_id"), F.col("ttl").alias("title"), F.col("kind").alias("media_type"), F.col("payload").alias("snippet")
     )), "labelled-docs")
     lex = LEX.alias_lexicon(docs.select(F.col("snippet").alias("text")))

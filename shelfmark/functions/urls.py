@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 from . import lexicon as L
 from .text import let, lit_array, text_or_empty, trim_ws
@@ -27,7 +23,9 @@ def parts(url: Column) -> Column:
 
 def comparable(url: Column) -> Column:
     """Without fragment; text that is not an absolute URL is unchanged."""
-    return let(parts(url), lambda p: F.when(p.isNull(), url).otherwise(F.concat(p["origin"], p["path"], p["search"])))
+    plain = F.regexp_like(text_or_empty(url), F.lit(r"^[a-z][a-z0-9+.\-]*://[a-z0-9.\-]+(:\d+)?/[^#]*$"))
+    rebuilt = let(parts(url), lambda p: F.when(p.isNull(), url).otherwise(F.concat(p["origin"], p["path"], p["search"])))
+    return F.when(plain, url).otherwise(rebuilt)
 
 
 def host(url: Column) -> Column:
@@ -43,40 +41,44 @@ def domain(url: Column) -> Column:
     return F.regexp_replace(host(url), r"^www\.", "")
 
 
-@F.pandas_udf(StringType())
-def _joined(base: pd.Series, ref: pd.Series) -> pd.Series:
-    def one(b, r):
-        if b is None or r is None:
-            return None
-        try:
-            return urljoin(b, r)
-        except ValueError:
-            return None
+def _without_dots(path: Column) -> Column:
+    """Path with its dot segments resolved; a trailing dot segment leaves a trailing slash."""
+    def step(kept: Column, s: Column) -> Column:
+        return (
+            F.when(s == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+            .when(s == ".", kept).otherwise(F.concat(kept, F.array(s)))
+        )
 
-    return pd.Series([one(b, r) for b, r in zip(base, ref)], dtype="object")
+    # The leading empty segment stands for the root and is put back at the end.
+    body = F.regexp_replace(F.regexp_replace(path, r"/\.\.?$", "$0/"), "^/", "")
+    resolved = F.aggregate(F.split(body, "/"), lit_array([]), step)
+    return F.when(F.regexp_like(path, F.lit(r"(^|/)\.\.?(/|$)")), F.concat(F.lit("/"), F.array_join(resolved, "/"))).otherwise(path)
 
 
 def absolute(base: Column, ref: Column, reject_data: bool = False) -> Column:
-    """Resolved link; null for empty, fragment-only, javascript/about (and data) references.
-
-    The common shapes stay in the JVM; only references with dot segments or
-    document-relative paths go through the resolver.
-    """
-    r = trim_ws(text_or_empty(ref))
+    """Resolved link; null for empty, fragment-only, javascript/about (and data) references."""
     schemes = "javascript|about|data" if reject_data else "javascript|about"
-    bad = (r == "") | F.startswith(r, F.lit("#")) | F.regexp_like(r, F.lit(rf"(?i)^({schemes}):"))
-    has_scheme = F.regexp_like(r, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:"))
-    dotted = F.regexp_like(r, F.lit(r"(^|/)\.\.?(/|$|\?|#)"))
-    p = parts(base)
-    scheme_relative = F.startswith(r, F.lit("//")) & ~dotted
-    root_relative = F.startswith(r, F.lit("/")) & ~F.startswith(r, F.lit("//")) & ~dotted
-    complex_ref = ~bad & ~(has_scheme & ~dotted) & ~scheme_relative & ~root_relative
-    resolved = _joined(F.when(complex_ref, base), F.when(complex_ref, r))
-    return (
-        F.when(bad, F.lit(None).cast("string")).when(has_scheme & ~dotted, r)
-        .when(scheme_relative, F.concat(F.regexp_extract(p["origin"], "^([a-z][a-z0-9+.\\-]*:)", 1), r))
-        .when(root_relative, F.concat(p["origin"], r)).otherwise(resolved)
-    )
+
+    def resolve(r: Column) -> Column:
+        bad = (r == "") | F.startswith(r, F.lit("#")) | F.regexp_like(r, F.lit(rf"(?i)^({schemes}):"))
+        ref_path = F.regexp_extract(r, r"^([^?#]*)", 1)
+        rest = F.substr(r, F.length(ref_path) + 1)
+
+        def against(p: Column) -> Column:
+            folder = F.regexp_extract(p["path"], r"^(.*/)", 1)
+            return (
+                F.when(F.startswith(r, F.lit("//")), F.concat(F.regexp_extract(p["origin"], "^([a-z][a-z0-9+.\\-]*:)", 1), r))
+                .when(F.startswith(r, F.lit("/")), F.concat(p["origin"], _without_dots(ref_path), rest))
+                .when(ref_path == "", F.concat(p["origin"], p["path"], r))
+                .otherwise(F.concat(p["origin"], _without_dots(F.concat(folder, ref_path)), rest))
+            )
+
+        return (
+            F.when(bad, F.lit(None).cast("string")).when(F.regexp_like(r, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), r)
+            .otherwise(let(parts(base), against))
+        )
+
+    return let(trim_ws(text_or_empty(ref)), resolve)
 
 
 def segments(path: Column) -> Column:
@@ -249,24 +251,37 @@ def number_in(c: Column) -> Column:
 _PARAM = r"(?i)^([?].*?|[?])([^=&?]*(?:chapter|chap|ch|episode|ep|c)[^=&]*=)([^&]*)(.*)$"
 
 
-def rendered_chapter(url: Column, number: Column) -> Column:
-    """The URL with its chapter token (or chapter-like parameter) replaced by a number; null if it has none."""
+def chapter_frame(url: Column) -> Column:
+    """struct(prefix, raw, suffix) around the number of a chapter URL; raw is empty where a chapter-like
+    parameter holds no number, the struct null where the URL has neither token nor such a parameter.
+    """
+    def frame(prefix: Column, raw: Column, suffix: Column) -> Column:
+        return F.struct(prefix.alias("prefix"), raw.alias("raw"), suffix.alias("suffix"))
+
     def build(p: Column) -> Column:
-        n = number_in(number)
+        value = F.regexp_extract(p["search"], _PARAM, 3)
+        raw = F.regexp_extract(value, L.NUMBER_RE, 0)
+        head, tail = (F.regexp_extract(value, rf"^(.*?){L.NUMBER_RE}(.*)$", i) for i in (1, 2))
+        lead = F.concat(p["origin"], p["path"], F.regexp_extract(p["search"], _PARAM, 1), F.regexp_extract(p["search"], _PARAM, 2))
+        rest = F.regexp_extract(p["search"], _PARAM, 4)
+        in_search = F.when(F.regexp_like(p["search"], F.lit(_PARAM)), frame(F.concat(lead, head), raw, F.concat(tail, rest)))
+        in_path = let(chapter_token(p["path"]), lambda t: F.when(t.isNotNull(), frame(
+            F.concat(p["origin"], t["head"]), t["raw"], F.concat(t["tail"], p["search"]))))
+        return F.coalesce(in_path, in_search)
 
-        def in_path(t: Column) -> Column:
-            shown = F.when(n.isNotNull(), format_like(t["raw"], n)).otherwise(F.trim(number))
-            return F.when(t.isNotNull(), F.concat(p["origin"], t["head"], shown, t["tail"], p["search"]))
-
-        old = F.regexp_extract(p["search"], _PARAM, 3)
-        raw = F.regexp_extract(old, L.NUMBER_RE, 0)
-        fresh = F.when(raw != "", F.replace(old, raw, F.when(n.isNotNull(), format_like(raw, n)).otherwise(F.trim(number)))).otherwise(F.trim(number))
-        in_search = F.when(F.regexp_like(p["search"], F.lit(_PARAM)), F.concat(
-            p["origin"], p["path"], F.regexp_extract(p["search"], _PARAM, 1), F.regexp_extract(p["search"], _PARAM, 2), fresh,
-            F.regexp_extract(p["search"], _PARAM, 4)))
-        return F.coalesce(let(chapter_token(p["path"]), in_path), in_search)
+    return let(parts(url), lambda p: F.when(p.isNotNull(), build(p)))
 
-    return let(parts(url), lambda p: F.when(p.isNotNull() & (F.trim(number) != ""), build(p)))
+
+def filled_frame(frame: Column, number: Column) -> Column:
+    """A chapter frame with a number (or, when it holds no number, its text) in place."""
+    n = number_in(number)
+    shown = F.when(n.isNotNull() & (frame["raw"] != ""), format_like(frame["raw"], n)).otherwise(F.trim(number))
+    return F.when(frame.isNotNull() & (F.trim(number) != ""), F.concat(frame["prefix"], shown, frame["suffix"]))
+
+
+def rendered_chapter(url: Column, number: Column) -> Column:
+    """The URL with its chapter token (or chapter-like parameter) replaced by a number; null if it has none."""
+    return let(chapter_frame(url), lambda f: filled_frame(f, number))
 
 
 def rendered_pattern(url: Column, pattern: Column, number: Column) -> Column:

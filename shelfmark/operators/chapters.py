@@ -71,10 +71,11 @@ def gap_rows(chapters: DataFrame, keys: list[str], base_url: str, known: str) ->
     existing = chapters.select(*keys, base_url, known, U.number_in(F.col("number")).alias("_n"))
     heads = existing.groupBy(*keys).agg(F.first(base_url).alias("_u"), F.max(known).alias("_k"), F.max("_n").alias("_m"))
     top = F.floor(F.greatest(F.coalesce("_m", F.lit(0.0)), F.coalesce(F.col("_k").cast("double"), F.lit(0.0)))).cast("int")
-    every = T.exploded(heads.select(*keys, "_u", top.alias("_top")).where(F.col("_top") > 0), F.sequence(F.lit(1), F.col("_top")), "n")
+    framed = heads.select(*keys, U.chapter_frame(F.col("_u")).alias("_f"), top.alias("_top"))
+    every = T.exploded(framed, F.when(F.col("_top") > 0, F.sequence(F.lit(1), F.col("_top"))), "n")
     have = existing.where(F.col("_n") == F.floor("_n")).select(*keys, F.col("_n").cast("int").alias("n")).distinct()
     missing = every.join(have, [*keys, "n"], "left_anti")
-    return missing.select(*keys, F.col("n").cast("string").alias("number"), U.rendered_chapter(F.col("_u"), F.col("n").cast("string")).alias("url")).where(
+    return missing.select(*keys, F.col("n").cast("string").alias("number"), U.filled_frame(F.col("_f"), F.col("n").cast("string")).alias("url")).where(
         F.col("url").isNotNull())
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions import lexicon as L, text as T, urls as U
 
+from shelfmark.session import spread
+
 from .ranking import top_k
 
 ELEMENT_SCHEMA = (
@@ -87,7 +89,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def elements(pages: DataFrame) -> DataFrame:
     """One row per relevant element; the only step in which Python sees the html."""
-    return pages.select("page_id", "html").mapInPandas(_parse, ELEMENT_SCHEMA)
+    return spread(pages.select("page_id", "html")).mapInPandas(_parse, ELEMENT_SCHEMA)
 
 
 def matches(selector: str) -> Column:
@@ -110,29 +112,43 @@ def matches(selector: str) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def first_match(rows: DataFrame, selectors: list[str], value: Column, name: str) -> DataFrame:
-    """(page_id, name): the first non-blank value, trying selectors in order and elements in page order.
+def rules(selectors: list[str] | dict[str, list[str]]) -> list[tuple[Column, int]]:
+    """(condition, rank) pairs of an ordered selector list, or of one list per value of a `site` column."""
+    if isinstance(selectors, dict):
+        return [((F.col("site") == site) & matches(s), i) for site, listed in selectors.items() for i, s in enumerate(listed)]
+    return [(matches(s), i) for i, s in enumerate(selectors)]
 
-    Only the first element of each selector counts.
-    """
-    ranked = None
-    for rank, selector in enumerate(selectors):
-        hit = F.when(matches(selector), F.struct(F.lit(rank).alias("rank"), F.col("pos").alias("pos"), value.alias("v")))
-        ranked = [hit] if ranked is None else ranked + [hit]
-    hits = T.exploded(rows.select("page_id", F.array(*ranked).alias("h")), F.filter("h", lambda x: x.isNotNull()), "x").select("page_id", "x.*")
-    per_selector = hits.groupBy("page_id", "rank").agg(F.min_by("v", "pos").alias("v"))
-    filled = per_selector.where(F.coalesce("v", F.lit("")) != "")
-    return filled.groupBy("page_id").agg(F.min_by("v", "rank").alias(name))
+
+def first_rank(selectors) -> Column:
+    """Rank of the first selector that matches the element; null when none does."""
+    return F.least(*[F.when(c, F.lit(i)) for c, i in rules(selectors)], F.lit(None).cast("int"))
 
 
 def text_of() -> Column:
     return T.collapse(F.when(F.col("tag") == "meta", F.col("attrs")["content"]).otherwise(F.col("text")))
 
 
-def texts(rows: DataFrame, selectors: list[str], cap: int, name: str) -> DataFrame:
+def first_values(rows: DataFrame, fields: dict[str, tuple[list[str] | dict[str, list[str]], Column]]) -> DataFrame:
+    """One column per field: its first non-blank value, trying selectors in order; the first element of each counts.
+
+    All fields come from one pass over the elements.
+    """
+    hits = [
+        F.when(c, F.struct(F.lit(name).alias("field"), F.lit(i).alias("rank"), value.alias("v")))
+        for name, (selectors, value) in fields.items() for c, i in rules(selectors)
+    ]
+    found = T.exploded(rows.select("page_id", "pos", F.array(*hits).alias("h")), F.filter("h", lambda x: x.isNotNull()), "x")
+    per_selector = found.select("page_id", "pos", "x.*").groupBy("page_id", "field", "rank").agg(F.min_by("v", "pos").alias("v"))
+    filled = per_selector.where(F.coalesce("v", F.lit("")) != "")
+    return filled.groupBy("page_id").agg(*[
+        F.min_by(F.when(F.col("field") == name, F.col("v")), F.when(F.col("field") == name, F.col("rank"))).alias(name) for name in fields
+    ])
+
+
+def texts(rows: DataFrame, selectors, cap: int, name: str) -> DataFrame:
     """(page_id, name array): distinct texts in selector then page order, at most `cap`."""
-    rank = F.least(*[F.when(matches(s), F.lit(i)) for i, s in enumerate(selectors)], F.lit(None).cast("int"))
-    found = rows.withColumn("_s", rank).where(F.col("_s").isNotNull()).select("page_id", "_s", "pos", text_of().alias("v")).where(F.col("v") != "")
+    found = rows.select("page_id", "pos", text_of().alias("v"), first_rank(selectors).alias("_s")).where(
+        F.col("_s").isNotNull() & (F.col("v") != ""))
     distinct = found.groupBy("page_id", "v").agg(F.min(F.struct("_s", "pos")).alias("o"))
     kept = top_k(distinct, ["page_id"], ["o"], cap, "_n")
     return kept.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "v"))), lambda e: e["v"]).alias(name))
@@ -162,30 +178,35 @@ def any_of(selectors: list[str]) -> Column:
     return out
 
 
-def chapter_links(rows: DataFrame, pages: DataFrame, selectors: list[str] | None = None) -> DataFrame:
+def chapter_links(rows: DataFrame, pages: DataFrame, selectors=None) -> DataFrame:
     """(page_id, url, number, title, pos): chapter links of each page, the last entry per URL at its first place.
 
     Same host and series, no taxonomy paths, and a chapter word, a number or a
-    previous / next hint.
+    previous / next hint. Host and series of the page are computed once per
+    page, a link is resolved once and judged in the same expression.
     """
-    selectors = selectors or LINK_SELECTORS
-    base = pages.select("page_id", "url").withColumnRenamed("url", "base")
-    rank = F.coalesce(*[F.when(matches(s), F.lit(i)) for i, s in enumerate(selectors)])
-    last_rank = F.coalesce(*[F.when(matches(s), F.lit(i)) for i, s in reversed(list(enumerate(selectors)))])
-    a = rows.where((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull()).withColumns({"_f": rank, "_l": last_rank}).where(
-        F.col("_f").isNotNull()
-    ).select("page_id", "pos", "_f", "_l", F.col("attrs")["href"].alias("href"),
-             T.collapse(F.col("text")).alias("label"), F.lower(F.coalesce(F.col("attrs")["rel"], F.lit(""))).alias("rel"))
-    linked = a.join(base, "page_id").withColumn("url", U.absolute(F.col("base"), F.col("href"))).where(F.col("url").isNotNull())
-    hint = (
-        F.regexp_like("label", F.lit(r"(?i)chapter|ch\.?|episode|ep\.?")) | F.regexp_like("label", F.lit(r"\d"))
-        | F.regexp_like("url", F.lit(r"(?i)chapter[-_/ ]?\d|episode[-_/ ]?\d|/c(?:h(?:apter)?)?[-_/ ]?\d+"))
-        | F.regexp_like("label", F.lit(r"(?i)\b(prev(?:ious)?|next)\b")) | F.regexp_like("rel", F.lit(r"\b(prev|next)\b"))
-    )
-    kept = linked.where(
-        (U.normal_host(F.col("url")) == U.normal_host(F.col("base"))) & U.same_series(F.col("base"), F.col("url"))
-        & ~F.regexp_like("url", F.lit(L.TAXONOMY_PATH_RE)) & hint
+    listed = rules(selectors or LINK_SELECTORS)
+    base = pages.select("page_id", F.col("url").alias("base"), U.normal_host(F.col("url")).alias("b_host"), U.series_key(F.col("url")).alias("b_key"))
+    first = F.least(*[F.when(c, F.lit(i)) for c, i in listed], F.lit(None).cast("int"))
+    last = F.greatest(*[F.when(c, F.lit(i)) for c, i in listed], F.lit(None).cast("int"))
+    a = rows.where((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull()).select(
+        "page_id", "pos", first.alias("_f"), last.alias("_l"), F.col("attrs")["href"].alias("href"),
+        T.collapse(F.col("text")).alias("label"), F.lower(F.coalesce(F.col("attrs")["rel"], F.lit(""))).alias("rel"),
+    ).where(F.col("_f").isNotNull())
+    hinted = (
+        F.regexp_like("label", F.lit(r"(?i)chapter|ch\.?|episode|ep\.?|\d|\b(prev(?:ious)?|next)\b"))
+        | F.regexp_like("rel", F.lit(r"\b(prev|next)\b"))
     )
+
+    def accepted(u: Column) -> Column:
+        ok = (
+            u.isNotNull() & (U.normal_host(u) == F.col("b_host")) & F.coalesce(U.series_key(u) == F.col("b_key"), F.lit(False))
+            & ~F.regexp_like(u, F.lit(L.TAXONOMY_PATH_RE))
+            & (hinted | F.regexp_like(u, F.lit(r"(?i)chapter[-_/ ]?\d|episode[-_/ ]?\d|/c(?:h(?:apter)?)?[-_/ ]?\d+")))
+        )
+        return F.when(ok, F.array(u))
+
+    kept = T.exploded(a.join(base, "page_id"), T.let(U.absolute(F.col("base"), F.col("href")), accepted), "url")
     merged = kept.groupBy("page_id", "url").agg(
         F.max_by("label", F.struct("_l", "pos")).alias("title"), F.min(F.struct("_f", "pos")).alias("pos")
     )
@@ -210,9 +231,11 @@ def images(rows: DataFrame, pages: DataFrame) -> DataFrame:
     base = pages.select("page_id", F.col("url").alias("base"))
     imgs = rows.where(F.col("tag").isin("img", "amp-img", "source")).select("*", _image_sources().alias("_srcs"))
     refs = T.exploded(imgs, F.col("_srcs"), "ref", "i").join(base, "page_id")
-    found = refs.withColumn("url", U.absolute(F.col("base"), F.col("ref"))).where(
-        F.col("url").isNotNull() & ~F.startswith("url", F.lit("data:")) & U.is_content_image(F.col("url"))
-    )
+
+    def accepted(u: Column) -> Column:
+        return F.when(u.isNotNull() & ~F.startswith(u, F.lit("data:")) & U.is_content_image(u), F.array(u))
+
+    found = T.exploded(refs, T.let(U.absolute(F.col("base"), F.col("ref")), accepted), "url")
 
     def size(name: str) -> Column:
         n = F.nullif(F.regexp_extract(F.coalesce(F.col("attrs")[name], F.lit("")), r"^\s*(\d+)", 1), F.lit("")).try_cast("int")
@@ -303,19 +326,20 @@ def site_of(pages: DataFrame, registry: DataFrame) -> DataFrame:
     return pages.join(best, "page_id", "left").select(*pages.columns, F.col("r.site").alias("site"), F.col("r.default_mode").alias("default_mode"))
 
 
-def page_metadata(rows: DataFrame, pages: DataFrame, selectors: dict[str, list[str]] | None = None) -> DataFrame:
+def page_metadata(rows: DataFrame, pages: DataFrame, selectors: dict | None = None) -> DataFrame:
     """Title, chapter title, cover, genres and status of each page by ordered selectors."""
     s = {"title": TITLE_SELECTORS, "chapter_title": CHAPTER_TITLE_SELECTORS, "cover": COVER_SELECTORS,
          "genres": GENRE_SELECTORS, "status": STATUS_SELECTORS, **(selectors or {})}
-    out = pages.select("page_id", "url")
-    for name in ("title", "chapter_title", "status"):
-        out = out.join(first_match(rows, s[name], text_of(), name), "page_id", "left")
-    cover = first_match(rows, s["cover"], F.coalesce(F.col("attrs")["src"], F.col("attrs")["content"]), "_cover")
-    out = out.join(cover, "page_id", "left").join(texts(rows, s["genres"], 20, "genres"), "page_id", "left")
-    return out.withColumns({
-        "cover": U.absolute(F.col("url"), F.col("_cover")), "status": T.status_norm(F.col("status")),
-        "genres": F.coalesce("genres", F.array().cast("array<string>")),
-    }).drop("_cover")
+    image = F.coalesce(F.col("attrs")["src"], F.col("attrs")["content"])
+    values = first_values(rows, {
+        "title": (s["title"], text_of()), "chapter_title": (s["chapter_title"], text_of()), "status": (s["status"], text_of()),
+        "_cover": (s["cover"], image),
+    })
+    out = pages.select("page_id", "url").join(values, "page_id", "left").join(texts(rows, s["genres"], 20, "genres"), "page_id", "left")
+    return out.select(
+        "page_id", "url", "title", "chapter_title", U.absolute(F.col("url"), F.col("_cover")).alias("cover"),
+        F.coalesce("genres", F.array().cast("array<string>")).alias("genres"), T.status_norm(F.col("status")).alias("status"),
+    )
 
 
 def first_series_link(links: DataFrame, pages: DataFrame, is_series: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfmark.functions import lexicon as L, text as T
-from shelfmark.session import materialize
+from shelfmark.session import materialize, spread
 
 from .ranking import top_k
 
@@ -15,7 +15,7 @@ SALT_ROWS = 1_000_000
 
 def term_counts(docs: DataFrame, doc: str, text: str, tokenize=T.tokens) -> DataFrame:
     """(doc, term, tf, doc_len); a document's terms are combined before the shuffle."""
-    toks = docs.select(doc, tokenize(F.col(text)).alias("_t"))
+    toks = spread(docs.select(doc, text)).select(doc, tokenize(F.col(text)).alias("_t"))
     terms = T.exploded(toks.select(doc, "_t", F.size("_t").alias("doc_len")), F.col("_t"), "term")
     return terms.groupBy(doc, "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
 
@@ -82,12 +82,14 @@ class SparseIndex:
         n_docs = docs.select(doc).agg(F.count("*").alias("n_docs"))
         tokens = counts.agg(F.sum("tf").alias("tokens"))
         stats = keep(n_docs.select("n_docs", (tokens.scalar() / F.col("n_docs")).alias("avgdl")), "stats")
+        # Raw counts are what is stored; weights follow from the statistics when postings are read.
+        weights = document_weights(counts, stats, doc)
         hot = df_table.where(F.col("salts") > 1).select("term", "salts")
-        postings = (
-            document_weights(counts, stats, doc).join(hot, "term", "left")
-            .withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(doc), F.col("salts"))).cast("int"))
-            .drop("salts")
-        )
+        if hot.isEmpty():
+            return cls(weights.withColumn("salt", F.lit(0)), df_table, stats, doc)
+        postings = weights.join(hot, "term", "left").withColumn(
+            "salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(doc), F.col("salts"))).cast("int")
+        ).drop("salts")
         return cls(keep(postings, "postings"), df_table, stats, doc)
 
     def query_terms(self, queries: DataFrame, query: str = "query_id", text: str = "query", tokenize=T.tokens) -> DataFrame:

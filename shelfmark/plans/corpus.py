@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfmark.functions import sections as S, text as T
 from shelfmark.operators import corpus as C, sparse as SP
 from shelfmark.operators.dense import embedded
-from shelfmark.session import materialize
+from shelfmark.session import materialize, spread
 from shelfmark.sources.sinks import VersionedTable
 
 
@@ -35,7 +35,7 @@ def load_or_fit(spark: SparkSession, docs: DataFrame, path: str, doc: str = "doc
 
 def chunked(docs: DataFrame) -> DataFrame:
     """Chunks with their ids: type, item_id, title, chunk_index, chunk_id, chunk_text."""
-    return C.with_chunk_id(C.token_chunks(docs.select("type", "item_id", "title", "text"), "text"))
+    return C.with_chunk_id(C.token_chunks(spread(docs.select("type", "item_id", "title", "text")), "text"))
 
 
 def records(chunks: DataFrame, parameters: SparseParameters | None = None, encoder=None) -> tuple[DataFrame, DataFrame]:

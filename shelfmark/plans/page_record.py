@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions import jsonfn as J, text as T, urls as U
@@ -11,13 +9,23 @@ from shelfmark.operators import chapters as C, lists as LS, pages as PG
 from shelfmark.session import materialize
 
 
-def site_extraction(rows: DataFrame, pages: DataFrame, selectors: dict[str, list[str]]) -> dict[str, DataFrame]:
-    """Metadata, links and image candidates of pages under one site's selectors."""
-    names = {k: selectors[k] for k in ("title", "chapter_title", "cover", "genres", "status") if k in selectors}
+def site_extraction(rows: DataFrame, pages: DataFrame, sites: dict[str, dict[str, list[str]]] | None = None) -> dict[str, DataFrame]:
+    """Metadata, links and image candidates of pages: generic, or under each page's site selectors in one pass.
+
+    With `sites`, `rows` and `pages` carry a `site` column and only pages of a
+    known site take part.
+    """
+    if not sites:
+        return {"meta": PG.page_metadata(rows, pages), "links": PG.chapter_links(rows, pages), "images": PG.panel_candidates(rows, pages)}
+    rows, pages = rows.where(F.col("site").isin(*sites)), pages.where(F.col("site").isin(*sites))
+    by_field = {
+        field: {site: listed[field] for site, listed in sites.items() if field in listed}
+        for field in ("title", "chapter_title", "cover", "genres", "status", "links")
+    }
+    listed = {k: v for k, v in by_field.items() if v}
     return {
-        "meta": PG.page_metadata(rows, pages, names),
-        "links": PG.chapter_links(rows, pages, selectors.get("links")),
-        "images": PG.panel_candidates(rows, pages),
+        "meta": PG.page_metadata(rows, pages, {k: v for k, v in listed.items() if k != "links"}),
+        "links": PG.chapter_links(rows, pages, listed.get("links")), "images": PG.panel_candidates(rows, pages),
     }
 
 
@@ -84,17 +92,14 @@ def chapter_records(pages: DataFrame, registry: DataFrame, sites: dict[str, dict
     fetched = pages if "status" in pages.columns else pages.withColumn("status", F.lit(200))
     sited = PG.site_of(fetched, registry)
     known = materialize(sited.select("page_id", "url", "status", "site", "default_mode"), "pages-known")
-    rows = materialize(PG.elements(pages.select("page_id", PG.sanitised(F.col("html")).alias("html"))), "page-elements")
-    generic = site_extraction(rows, known, {})
-    parts = []
-    for site, selectors in sites.items():
-        of_site = known.where(F.col("site") == site)
-        parts.append(site_extraction(rows.join(of_site.select("page_id"), "page_id", "left_semi"), of_site, selectors))
-    adapter = {k: reduce(DataFrame.unionByName, [p[k] for p in parts]) for k in ("meta", "links", "images")} if parts else None
-    record = heuristic_records(adapter, generic)
+    parsed = PG.elements(pages.select("page_id", PG.sanitised(F.col("html")).alias("html")))
+    rows = materialize(parsed.join(known.select("page_id", "site"), "page_id"), "page-elements")
+    generic = {k: materialize(v, f"generic-{k}") for k, v in site_extraction(rows, known).items()}
+    adapter = {k: materialize(v, f"adapter-{k}") for k, v in site_extraction(rows, known, sites).items()} if sites else None
+    record = {k: materialize(v, f"page-{k}") for k, v in heuristic_records(adapter, generic).items()}
     html = pages.select("page_id", "html")
-    images = materialize(record["images"].join(html, "page_id").where(U.has_evidence(F.col("html"), F.col("url"))).drop("html"), "page-images")
-    links = materialize(record["links"], "page-links")
+    images = materialize(record["images"].join(html, "page_id").where(U.has_evidence(F.col("html"), F.col("url"))).drop("html"), "page-evidence")
+    links = record["links"]
     # The mode vote sees all candidates, the page count only those with evidence in the html.
     modes = LS.reading_mode(record["images"].join(known.select("page_id", "default_mode"), "page_id"), ["page_id", "default_mode"],
                             F.coalesce("default_mode", F.lit("paginated"))).select("page_id", "mode")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -20,6 +19,10 @@ DEFAULTS = {
 }
 
 
+# Folder per local application whose session names none (tests).
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def build_session(app_name: str = "shelfmark", master: str | None = None, **conf: str) -> SparkSession:
     """Create (or reuse) a session with the library defaults; `conf` wins."""
     builder = SparkSession.builder.appName(app_name)
@@ -41,9 +44,10 @@ def work_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL_DIRS[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -73,3 +77,14 @@ def bound_arrow_batches(spark: SparkSession, limit: str = "67108864") -> None:
     current = int(spark.conf.get(key, "2147483646"))
     if current > int(limit):
         spark.conf.set(key, limit)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over the session's cores before CPU-heavy work.
+
+    A table that arrives in fewer partitions than there are cores (one small
+    file, say) is repartitioned; a large one already has more and is untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if have * 2 <= cores else df
