@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import urls as U
 from shelfmark.operators import chapters as C
+from shelfmark.session import spread
 
 from . import query
 
@@ -15,7 +16,7 @@ _URL = "'https://h.example/manga/o' || l_orderkey || '/chapter-' || lpad(CAST(l_
 def lines(t):
     """Lines as chapters: series, number, title, url, pos; a line number may repeat within an order."""
     url = F.format_string("https://h.example/manga/o%d/chapter-%03d", "l_orderkey", F.col("l_linenumber").cast("long"))
-    return t.lineitem.select(
+    return spread(t.lineitem).select(
         F.col("l_orderkey").alias("series"), F.col("l_linenumber").cast("string").alias("number"), F.col("l_returnflag").alias("title"),
         url.alias("url"), (F.col("l_partkey") * 1_000_000 + F.col("l_suppkey") * 1000 + F.floor("l_quantity")).alias("pos"),
         F.col("l_linenumber").alias("n"), "l_quantity", "l_linestatus",

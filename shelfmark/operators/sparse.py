@@ -29,6 +29,13 @@ def document_frequency(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def term_table(weights: DataFrame) -> DataFrame:
+    """(term, df, max_weight, salts): frequency, largest document weight, and how far the postings are spread."""
+    return weights.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("max_weight")).withColumn(
+        "salts", F.ceil(F.col("df") / F.lit(SALT_ROWS)).cast("int")
+    )
+
+
 def document_weight(tf: Column, doc_len: Column, avgdl: Column, k1: float = L.BM25_K1, b: float = L.BM25_B) -> Column:
     return tf / (tf + k1 * (1.0 - b + b * doc_len / avgdl))
 
@@ -76,14 +83,12 @@ class SparseIndex:
         """
         keep = (lambda d, name: materialize(d, name)) if durable else (lambda d, name: d)
         counts = keep(term_counts(docs, doc, text, tokenize), "term-counts")
-        df_table = keep(document_frequency(counts).withColumn(
-            "salts", F.ceil(F.col("df") / F.lit(SALT_ROWS)).cast("int")
-        ), "term-df")
         n_docs = docs.select(doc).agg(F.count("*").alias("n_docs"))
         tokens = counts.agg(F.sum("tf").alias("tokens"))
         stats = keep(n_docs.select("n_docs", (tokens.scalar() / F.col("n_docs")).alias("avgdl")), "stats")
         # Raw counts are what is stored; weights follow from the statistics when postings are read.
         weights = document_weights(counts, stats, doc)
+        df_table = keep(term_table(weights), "term-df")
         hot = df_table.where(F.col("salts") > 1).select("term", "salts")
         if hot.isEmpty():
             return cls(weights.withColumn("salt", F.lit(0)), df_table, stats, doc)
@@ -94,7 +99,7 @@ class SparseIndex:
 
     def query_terms(self, queries: DataFrame, query: str = "query_id", text: str = "query", tokenize=T.tokens) -> DataFrame:
         w = query_weights(queries, self.df_table.select("term", "df"), self.stats, query, text, tokenize)
-        return w.where(F.col("df").isNotNull()).join(self.df_table.select("term", "salts"), "term")
+        return w.where(F.col("df").isNotNull()).join(self.df_table.select("term", "salts", "max_weight"), "term")
 
     def scores(self, query_terms: DataFrame, query: str = "query_id") -> DataFrame:
         """Dot products of every query with every document sharing one of the given terms."""
@@ -109,35 +114,41 @@ class SparseIndex:
             probe_terms: int = 6, margin: float = 1e-9) -> DataFrame:
         """Exact top-k per query without scoring all documents that share a common word.
 
-        A document weight is below 1, so a query term can add at most its query
-        weight. The rarest terms give a first k-th best score; the terms whose
-        weights together stay below it cannot lift a document on their own, so
-        only documents holding one of the other (essential) terms are
-        candidates, and only candidates are scored in full.
+        A query term adds at most its query weight times its largest document
+        weight. The documents found by the rarest terms, scored in full, give a
+        floor for the k-th best score; the terms whose bounds together stay below
+        it cannot lift a document on their own, so only documents holding one of
+        the other (essential) terms are candidates, and only those whose partial
+        score can still reach the floor are scored in full.
         """
         terms = materialize(self.query_terms(queries, query, text, tokenize), "query-terms")
+        weighted = terms.select(query, "term", F.col("weight").alias("q_weight"))
+
+        def in_full(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+            return pairs.join(wanted, query).join(self.postings, [self.doc, "term"]).select(
+                query, self.doc, (F.col("weight") * F.col("q_weight")).alias("score")
+            )
+
         rare = top_k(terms, [query], [F.asc("df"), F.asc("term")], probe_terms, "_r").drop("_r")
-        first = top_k(self.scores(rare, query), [query], [F.desc("score"), F.asc(self.doc)], k, "_r")
-        floor = first.groupBy(query).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-        by_weight = Window.partitionBy(query).orderBy(F.asc("weight"), F.asc("term")).rowsBetween(Window.unboundedPreceding, 0)
+        first = top_k(self.scores(rare, query), [query], [F.desc("score"), F.asc(self.doc)], k, "_r").select(query, self.doc)
+        probed = in_full(first, weighted).groupBy(query, self.doc).agg(F.sum("score").alias("score"))
+        floor = probed.groupBy(query).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+        by_bound = Window.partitionBy(query).orderBy(F.asc("_bound"), F.asc("term")).rowsBetween(Window.unboundedPreceding, 0)
         split = materialize(
-            terms.join(floor, query, "left")
-            .withColumn("_sum", F.sum("weight").over(by_weight))
+            terms.join(floor, query, "left").withColumn("_bound", F.col("weight") * F.col("max_weight"))
+            .withColumn("_sum", F.sum("_bound").over(by_bound))
             .withColumn("essential", F.coalesce(F.col("_sum") >= F.col("floor") - margin, F.lit(True))),
             "query-terms-split",
         )
         essential = self.scores(split.where("essential"), query)
         rest = split.where(~F.col("essential"))
-        rest_bound = rest.groupBy(query).agg(F.sum("weight").alias("_rest"))
+        rest_bound = rest.groupBy(query).agg(F.sum("_bound").alias("_rest"))
         floors = split.groupBy(query).agg(F.max("floor").alias("floor")).join(rest_bound, query, "left")
         candidates = materialize(
             essential.join(floors, query)
             .where(F.col("floor").isNull() | (F.col("score") + F.coalesce("_rest", F.lit(0.0)) >= F.col("floor") - margin))
             .select(query, self.doc, "score"), "candidates",
         )
-        wanted = candidates.select(query, self.doc).join(rest.select(query, "term", F.col("weight").alias("q_weight")), query)
-        extra = wanted.join(self.postings, [self.doc, "term"]).select(
-            query, self.doc, (F.col("weight") * F.col("q_weight")).alias("score")
-        )
+        extra = in_full(candidates.select(query, self.doc), rest.select(query, "term", F.col("weight").alias("q_weight")))
         total = candidates.unionByName(extra).groupBy(query, self.doc).agg(F.sum("score").alias("score"))
         return top_k(total, [query], [F.desc(F.round("score", 9)), F.asc(self.doc)], k)

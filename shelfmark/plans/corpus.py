@@ -24,12 +24,10 @@ def load_or_fit(spark: SparkSession, docs: DataFrame, path: str, doc: str = "doc
     df_store, stat_store = VersionedTable(spark, f"{path}/df"), VersionedTable(spark, f"{path}/stats")
     if not (df_store.exists() and stat_store.exists()):
         counts = materialize(SP.term_counts(docs, doc, text), "fit-counts")
-        df_store.write(SP.document_frequency(counts).withColumn(
-            "salts", F.ceil(F.col("df") / F.lit(SP.SALT_ROWS)).cast("int")
-        ))
         n = docs.agg(F.count("*").alias("n_docs"))
         tokens = counts.agg(F.sum("tf").alias("t"))
-        stat_store.write(n.select("n_docs", (tokens.scalar() / F.greatest("n_docs", F.lit(1))).alias("avgdl")))
+        stats = stat_store.write(n.select("n_docs", (tokens.scalar() / F.greatest("n_docs", F.lit(1))).alias("avgdl")))
+        df_store.write(SP.term_table(SP.document_weights(counts, stats, doc)))
     return SparseParameters(df_store.read(), stat_store.read())
 
 
