@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import bpe, line_dedup, mixing, simhash, toxicity
+from shelfmark.llm import ann, bpe, langid, licenses, line_dedup, mixing, sharding, simhash, spotsigs, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,66 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= toxicity.DECISION, 1).otherwise(0).alias("predicted")
     )
+
+
+@query
+def op2_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors by cosine of every vector whose id is divisible by 50."""
+    vectors = _table(spark, folder, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence notices found in documents."""
+    return licenses.scan(_table(spark, folder, "documents"))
+
+
+OP4_SQL = r"""
+WITH templates(license, text) AS (VALUES {values}),
+t AS (SELECT license, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM templates),
+tb AS (SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS tb FROM t),
+texts AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL),
+units AS (
+  SELECT doc_id, unnest(l) AS u FROM texts
+  UNION ALL SELECT doc_id, text AS u FROM texts WHERE len(l) > 1
+), words AS (
+  SELECT doc_id, string_split(trim(regexp_replace(lower(u), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units
+), ub AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS ub
+  FROM words WHERE w <> ['']
+), d AS (
+  SELECT doc_id, license, 2.0::DOUBLE * len(list_intersect(ub, tb)) / (len(ub) + len(tb)) AS dice FROM ub, tb
+  WHERE len(ub) <= 1.5 * len(tb) + 1 AND len(tb) <= 1.5 * len(ub) + 1
+)
+SELECT doc_id, license, max(dice) AS dice, count(*) AS n_units FROM d WHERE dice >= 0.8 GROUP BY doc_id, license
+"""
+query(op4_license_scan, OP4_SQL.replace("{values}", ", ".join(f"('{n}', '{t}')" for n, t in licenses.TEMPLATES)))
+
+
+@query
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's shard of 40 in the hash tree, its slot there, and its shard if there were 41."""
+    rows = sharding.sizes(_table(spark, folder, "documents"))
+    key = F.col("doc_id")
+    rows = sharding.placed(sharding.placed(rows, key, 40, "now"), key, 41, "grown")
+    rows = rows.select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("now.shard").alias("shard"), F.col("grown.shard").alias("grown_shard"),
+        F.col("now.region").alias("region"), F.col("now.rack").alias("rack"),
+    )
+    return sharding.numbered(rows, ["doc_id", "text_crc32", "size"]).withColumn("slot", F.col("slot").cast("long"))
+
+
+@query
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document its predicted language; learnt from three quarters of the table."""
+    documents = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(_crc(F.col("doc_id")) % 4 == 2, F.lit(False))
+    model = langid.train(documents.where(F.col("doc_id").isNotNull() & ~held_out))
+    rows = langid.identified(documents.select("doc_id", "text"), model)
+    return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_spot_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document its fingerprint, that of its edited text, and likeness to that and to the next document."""
+    return spotsigs.compared(_table(spark, folder, "documents"))
