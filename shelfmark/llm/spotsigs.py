@@ -39,23 +39,27 @@ COMMON = (
 ).split()
 
 
-def signatures(text: Column) -> Column:
-    """The ordered set of hashed signatures of a text."""
+def with_signatures(rows: DataFrame, text: str, name: str = "_set") -> DataFrame:
+    """`rows` with the ordered set of hashed signatures of column `text`.
+
+    Staged columns: an array used several times is computed once.
+    """
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    words = F.filter(F.split(plain, " "), lambda w: w != "")
-    words = F.concat(F.array(F.lit("^")), words, F.array(F.lit("$")))
+    rows = rows.withColumn("_words", F.concat(F.array(F.lit("^")), F.split(plain, " "), F.array(F.lit("$"))))
+    words = F.col("_words")
     anchored = F.zip_with(
-        F.slice(words, 2, F.size(words)), F.slice(words, 1, F.size(words) - 1),
+        F.slice(words, 2, F.size(words)), words,
         lambda w, before: F.when(
             ~w.isin(*COMMON), F.struct(w.alias("w"), F.when((before == "^") | before.isin(*COMMON), before).alias("anchor"))
         ),
     )
-    content = F.array_compact(anchored)
+    rows = rows.withColumn("_content", F.array_compact(anchored))
+    content = F.col("_content")
     chains = F.zip_with(
         content, F.slice(content, 2, F.size(content)),
         lambda a, b: F.when(a["anchor"].isNotNull(), F.xxhash64(a["anchor"], a["w"], b["w"])),
     )
-    return F.array_sort(F.array_distinct(F.array_compact(chains)))
+    return rows.withColumn(name, F.sort_array(F.array_distinct(F.array_compact(chains)))).drop("_words", "_content")
 
 
 def fingerprint(sets: Column) -> Column:
@@ -88,24 +92,24 @@ def _bounds(documents: DataFrame) -> list[int]:
     return sorted(set(documents.agg(at.alias("b")).first()["b"]))
 
 
-def _group(doc_id: Column, bounds: list[int]) -> Column:
-    """Number of the group of an id: how many bounds are below it; ids ascend with groups, null ids come first."""
+def _with_group(rows: DataFrame, bounds: list[int]) -> DataFrame:
+    """Adds `_g`, the number of bounds below the id: groups ascend with ids, null ids are in the first.
+
+    A binary search over a constant array, one column per step.
+    """
     if not bounds:
-        return F.lit(0)
-    listed = F.array(*[F.lit(b) for b in bounds])
-    # Binary search by halves over a constant array.
-    steps = max(1, math.ceil(math.log2(len(bounds) + 1)))
-    low = F.lit(0)
-    width = 1 << (steps - 1)
+        return rows.withColumn("_g", F.lit(0))
+    listed = F.array(*[F.lit(b).cast("long") for b in bounds])
+    rows, width = rows.withColumn("_g", F.lit(0)), 1 << (len(bounds).bit_length() - 1)
     while width:
-        probe = low + F.lit(width)
-        low = F.when((probe <= len(bounds)) & (F.coalesce(F.get(listed, probe - 1), F.lit(2 ** 63 - 1)) < doc_id), probe).otherwise(low)
+        probe = F.col("_g") + width
+        rows = rows.withColumn("_g", F.when((probe <= len(bounds)) & (F.get(listed, probe - 1) < F.col("doc_id")), probe).otherwise(F.col("_g")))
         width >>= 1
-    return F.coalesce(F.when(doc_id.isNotNull(), low), F.lit(0))
+    return rows
 
 
-def with_next(documents: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """(doc_id, text, *columns, and each of text and columns of the next document as next_*).
+def with_next(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, _set, next_text, next__set): every document beside the next one.
 
     The next document is that with the next smaller id; the smallest is followed
     by the largest. The table is dealt once, by ranges of id; the first document
@@ -113,13 +117,12 @@ def with_next(documents: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """
     rows = documents.select("doc_id", "text")
     bounds = _bounds(rows)
-    group = _group(F.col("doc_id"), bounds)
     order = F.struct(F.col("doc_id").isNotNull().alias("f"), "doc_id", F.xxhash64("text").alias("h"))
-    keyed = rows.select("doc_id", "text", group.cast("int").alias("_g"), order.alias("_o"))
+    keyed = _with_group(rows, bounds).select("doc_id", "text", "_g", order.alias("_o"))
     # One row per range: at most MAX_GROUPS.
     heads = keyed.groupBy("_g").agg(F.max("_o").alias("o")).orderBy("_g").collect()
     if not heads:
-        return _led(keyed.withColumn("_end", F.lit(False)), columns)
+        return _led(keyed.withColumn("_end", F.lit(False)))
     before = {heads[i]["_g"]: heads[(i + 1) % len(heads)]["_g"] for i in range(len(heads))}
     listed = [(h["o"]["doc_id"], h["o"]["h"], before[h["_g"]]) for h in heads]
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -128,14 +131,14 @@ def with_next(documents: DataFrame, columns: dict[str, Column]) -> DataFrame:
         "doc_id", "text", F.col("_to").alias("_g"), "_o"
     ).dropDuplicates(["_g"])
     everything = keyed.withColumn("_end", F.lit(False)).unionByName(ghosts.withColumn("_end", F.lit(True)))
-    return _led(everything, columns)
+    return _led(everything)
 
 
-def _led(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    rows = rows.repartition("_g").withColumns(columns)
+def _led(rows: DataFrame) -> DataFrame:
+    rows = with_signatures(rows.repartition("_g"), "text")
     w = Window.partitionBy("_g").orderBy("_end", F.desc("_o"))
-    names = ["text", *columns]
-    return rows.withColumns({f"next_{c}": F.lead(c).over(w) for c in names}).where("NOT _end").drop("_g", "_o", "_end")
+    rows = rows.withColumns({"next_text": F.lead("text").over(w), "next__set": F.lead("_set").over(w)})
+    return rows.where("NOT _end").drop("_g", "_o", "_end")
 
 
 def compared(documents: DataFrame) -> DataFrame:
@@ -144,13 +147,13 @@ def compared(documents: DataFrame) -> DataFrame:
     The edited text has the last floor(n/2) code points replaced by the first as
     many of the next document, or by all of it.
     """
-    rows = with_next(documents, {"_set": signatures(F.col("text"))})
+    rows = with_next(documents)
     text, after = F.coalesce("text", F.lit("")), F.coalesce("next_text", F.lit(""))
     n = F.char_length(text)
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr(text, F.lit(1), n - half), F.substr(after, F.lit(1), half))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("_edited"), "_set", F.col("next__set").alias("_next"))
-    rows = rows.withColumn("_edited_set", signatures(F.col("_edited")))
+    rows = with_signatures(rows, "_edited", "_edited_set")
     return rows.select(
         "doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), fingerprint(F.col("_set")).alias("fingerprint"),
         fingerprint(F.col("_edited_set")).alias("edited_fingerprint"), likeness(F.col("_set"), F.col("_edited_set")).alias("near_edited"),
@@ -160,7 +163,7 @@ def compared(documents: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, least: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(members, links): members maps doc_id to its fingerprint, links are pairs of fingerprints with their likeness."""
-    sets = documents.select("doc_id", signatures(F.col("text")).alias("s")).withColumn("f", fingerprint(F.col("s")))
+    sets = with_signatures(documents.select("doc_id", "text"), "text", "s").select("doc_id", "s", fingerprint(F.col("s")).alias("f"))
     sets = materialize(sets, "signature-sets")
     # Equal fingerprints are equal sets: one row of the index.
     own = materialize(sets.groupBy("f").agg(F.min("s").alias("s")).withColumn("n", F.size("s")), "distinct-sets")
