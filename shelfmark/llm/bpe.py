@@ -86,16 +86,21 @@ def split(documents: DataFrame) -> DataFrame:
     """
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         word, special = regex.compile(WORD_PATTERN), regex.compile(SPECIAL_PATTERN)
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=9)
         task = TaskContext.get().partitionId()
         made = 0
 
         def packed(ids, lengths, parts, table):
             numbers = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
+            # Frequent words get small numbers, equally frequent ones follow the alphabet: both pack better.
+            uses = np.bincount(numbers, minlength=len(table)).tolist()
+            ordered = sorted((-n, w, i) for (w, i), n in zip(table.items(), uses))
+            renumbered = np.empty(len(table), dtype=np.uint32)
+            renumbered[[i for _, _, i in ordered]] = np.arange(len(table), dtype=np.uint32)
             return pd.DataFrame({
                 "block": [f"{task}-{made}"], "doc_ids": [ids], "lengths": [lengths],
-                "numbers": [packer.compress(numbers.astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes())],
-                "words": [packer.compress(" ".join(table).encode("utf-8", "surrogatepass"))], "n_words": [len(table)],
+                "numbers": [packer.compress(_varints(renumbered[numbers]))],
+                "words": [packer.compress(" ".join(w for _, w, _ in ordered).encode("utf-8", "surrogatepass"))], "n_words": [len(table)],
             })
 
         ids, lengths, parts, table, chars = [], [], [], _Numbers(), 0
@@ -135,18 +140,51 @@ def _bucket_of(words: list[str], buckets: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint32, count=len(words)) % buckets
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit values by byte position: equal high bytes lie together."""
+    return values.astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def _varints(values: np.ndarray) -> bytes:
+    """Seven bits to a byte, lowest first, the high bit on all but the last byte of a value."""
+    values = values.astype(np.uint64)
+    size = np.ones(len(values), dtype=np.int64)
+    for bits in (7, 14, 21, 28):
+        size += values >= (1 << bits)
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), dtype=np.uint8)
+    for i in range(5):
+        has = size > i
+        byte = (values[has] >> np.uint64(7 * i)) & np.uint64(127)
+        out[start[has] + i] = byte + (size[has] > i + 1) * np.uint64(128)
+    return out.tobytes()
+
+
+def _from_varints(raw: bytes) -> np.ndarray:
+    data = np.frombuffer(raw, dtype=np.uint8)
+    if not len(data):
+        return np.zeros(0, dtype=np.int64)
+    ends = np.flatnonzero(data < 128)
+    start = np.concatenate(([0], ends[:-1] + 1))
+    place = np.arange(len(data)) - np.repeat(start, ends - start + 1)
+    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), start)
+
+
 def _pack_ids(lists: list[list[int]]) -> bytes:
-    n = np.fromiter(map(len, lists), dtype="<u2", count=len(lists))
-    ids = np.fromiter((i for ids in lists for i in ids), dtype="<u4", count=int(n.sum()))
+    n = np.fromiter(map(len, lists), dtype=np.uint32, count=len(lists))
+    ids = np.fromiter((i for ids in lists for i in ids), dtype=np.uint32, count=int(n.sum()))
     head = np.array([len(lists)], dtype="<u4").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + n.tobytes() + ids.tobytes())
+    return zstandard.ZstdCompressor(level=9).compress(head + _planes(n) + _planes(ids))
 
 
 def _unpack_ids(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     k = int(np.frombuffer(raw, dtype="<u4", count=1)[0])
-    n = np.frombuffer(raw, dtype="<u2", count=k, offset=4)
-    return n.astype(np.int64), np.frombuffer(raw, dtype="<u4", offset=4 + 2 * k)
+    return _from_planes(raw[4:4 + 4 * k]).astype(np.int64), _from_planes(raw[4 + 4 * k:])
 
 
 def word_ids(blocks: DataFrame, vocabulary: str) -> DataFrame:
@@ -155,7 +193,7 @@ def word_ids(blocks: DataFrame, vocabulary: str) -> DataFrame:
     buckets = 1 << max(4, int(total // BUCKET_WORDS).bit_length())
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=9)
         for pdf in batches:
             for block, blob in zip(pdf["block"], pdf["words"]):
                 words = np.array(_unpack_words(blob), dtype=object)
@@ -226,8 +264,7 @@ def encoded(documents: DataFrame, vocabulary: str | None = None, digests: bool =
 
 def _block_rows(doc_ids, lengths, numbers, words, bucket, ids, buckets, pieces, digests) -> Iterator[pd.DataFrame]:
     """Joins ids back to the words of one block by position, a few documents at a time."""
-    raw = zstandard.ZstdDecompressor().decompress(numbers)
-    numbers = np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+    numbers = _from_varints(zstandard.ZstdDecompressor().decompress(numbers))
     table = _unpack_words(words)
     size = np.zeros(len(table), dtype=np.int64)
     flat, start = np.zeros(0, dtype=np.uint32), np.zeros(len(table), dtype=np.int64)
