@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.session import bound_arrow_batches, materialize
 
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 10_000_000
 BUCKET_WORDS = 65_536
 PIECE_CHARS = 200_000      # texts are split piece by piece at white space
 
@@ -167,11 +167,17 @@ def _varints(values: np.ndarray) -> bytes:
 def _from_varints(raw: bytes) -> np.ndarray:
     data = np.frombuffer(raw, dtype=np.uint8)
     if not len(data):
-        return np.zeros(0, dtype=np.int64)
-    ends = np.flatnonzero(data < 128)
-    start = np.concatenate(([0], ends[:-1] + 1))
-    place = np.arange(len(data)) - np.repeat(start, ends - start + 1)
-    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), start)
+        return np.zeros(0, dtype=np.uint32)
+    ends = np.flatnonzero(data < 128).astype(np.uint32)
+    start = np.concatenate((np.zeros(1, dtype=np.uint32), ends[:-1] + np.uint32(1)))
+    size = ends - start
+    out = (data[start] & 127).astype(np.uint32)
+    for i in range(1, 5):
+        has = np.flatnonzero(size >= i)
+        if not len(has):
+            break
+        out[has] |= (data[start[has] + i] & 127).astype(np.uint32) << np.uint32(7 * i)
+    return out
 
 
 def _pack_ids(lists: list[list[int]]) -> bytes:
@@ -208,18 +214,22 @@ def word_ids(blocks: DataFrame, vocabulary: str) -> DataFrame:
                     "words": [packer.compress(" ".join(words[p]).encode("utf-8", "surrogatepass")) for p in parts],
                 })
 
-    def encoded(pdf: pd.DataFrame) -> pd.DataFrame:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    loaded: list = []   # one tokenizer for all buckets of a task
 
-        tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+    def encoded(pdf: pd.DataFrame) -> pd.DataFrame:
+        if not loaded:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            loaded.append(Tokenizer.from_file(vocabulary))
+            loaded[0].no_truncation()
+            loaded[0].no_padding()
+        tokenizer = loaded[0]
         lists = [_unpack_words(blob) for blob in pdf["words"]]
         distinct = list(dict.fromkeys(w for words in lists for w in words))
         table: dict[str, list[int]] = {}
-        for at in range(0, len(distinct), 4096):
-            part = distinct[at:at + 4096]
+        for at in range(0, len(distinct), 1024):
+            part = distinct[at:at + 1024]
             table.update(zip(part, (e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False))))
         return pd.DataFrame({
             "block": pdf["block"], "bucket": pdf["bucket"], "ids": [_pack_ids([table[w] for w in words]) for words in lists],
@@ -253,6 +263,7 @@ def encoded(documents: DataFrame, vocabulary: str | None = None, digests: bool =
         tokenizer = Tokenizer.from_file(vocabulary)
         # The id-to-piece table: as long as the vocabulary.
         pieces = np.array([tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size(with_added_tokens=True))], dtype=object)
+        del tokenizer
         for pdf in batches:
             for doc_ids, lengths, numbers, words, bucket, ids, buckets in pdf.itertuples(index=False):
                 yield from _block_rows(doc_ids, lengths, numbers, words, bucket, ids, buckets, pieces, digests)
