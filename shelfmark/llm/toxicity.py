@@ -18,6 +18,7 @@ rows are scored independently, so repeated rows agree; extra columns stay.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -136,32 +137,35 @@ def fit(toxic_texts: list[str], ordinary_texts: list[str]) -> ToxicityModel | No
     """Train both dictionaries and the calibration on bounded lists of texts."""
     if not toxic_texts or not ordinary_texts:
         return None
-    toxic = [normalised(t).split() for t in toxic_texts]
-    ordinary = [normalised(t).split() for t in ordinary_texts]
+    # Texts are split again where they are needed, so that no list of all words is held.
+    toxic, ordinary = [normalised(t) for t in toxic_texts], [normalised(t) for t in ordinary_texts]
     seen: Counter = Counter()
-    for words in toxic:
-        seen.update(set().union(*map(_grams, set(words))) if words else ())
+    for text in toxic:
+        seen.update({g for w in set(text.split()) for g in _grams(w)})
     least = max(3, len(toxic) // 50)
-    frequent = {g for g, k in seen.items() if k >= least}
+    frequent = {g: k for g, k in seen.items() if k >= least}
+    seen.clear()
     plain: Counter = Counter()
-    for words in ordinary:
-        found: set[bytes] = set()
-        for w in set(words):
-            found |= _grams(w) & frequent
-        plain.update(found)
-    marked = {g for g in frequent if seen[g] / len(toxic) >= 20 * (plain[g] + 1) / (len(ordinary) + 1)}
+    n_windows = 0
+    for text in ordinary:
+        words = text.split()
+        n_windows += -(-len(words) // 8)
+        plain.update({g for w in set(words) for g in _grams(w) if g in frequent})
+    marked = {g for g, k in frequent.items() if k / len(toxic) >= 20 * (plain[g] + 1) / (len(ordinary) + 1)}
     if not marked:
-        marked = {g for g in frequent if seen[g] / len(toxic) >= 5 * (plain[g] + 1) / (len(ordinary) + 1)}
+        marked = {g for g, k in frequent.items() if k / len(toxic) >= 5 * (plain[g] + 1) / (len(ordinary) + 1)}
     telling: Counter = Counter()
-    for words in toxic:
-        for w in words:
+    for text in toxic:
+        for w in text.split():
             if _grams(w) & marked:
                 telling[b" " + w + b" "] += 1
     words = [w for w, k in sorted(telling.items()) for _ in range(min(k, 50))]
     words = _shuffled(words, 1)
     toxic_dictionary = _trained([b"".join(words[i:i + 6]) for i in range(0, len(words), 6)], TOXIC_BYTES, 32)
-    cut = [w for ws in ordinary for w in windows(ws, 8)]
-    ordinary_dictionary = _trained(_shuffled(cut, 2)[:20000], ORDINARY_BYTES, 64)
+    # Every so many windows of ordinary text: about 20,000 to train on.
+    every = max(1, n_windows // 20000)
+    cut = list(itertools.islice((w for text in ordinary for w in windows(text.split(), 8)), 0, None, every))
+    ordinary_dictionary = _trained(_shuffled(cut, 2), ORDINARY_BYTES, 64)
     draft = ToxicityModel(ordinary_dictionary, toxic_dictionary, 0.0, 1.0)
     scorer = _Scorer(draft)
     xs = np.array([_share(*scorer.count(t)) for t in [*toxic_texts, *ordinary_texts]])
