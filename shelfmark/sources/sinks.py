@@ -11,13 +11,18 @@ from shelfmark.session import new_path
 
 
 def upserted(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """Existing rows without an incoming key, plus the last incoming row of each key."""
-    if order:
-        latest = F.struct(*[F.col(c) for c in order])
-        rest = [c for c in incoming.columns if c not in keys]
+    """Existing rows without an incoming key, plus the last incoming row of each key.
+
+    Without `order`, the row whose values come last as JSON text counts as the last.
+    """
+    rest = [c for c in incoming.columns if c not in keys]
+    if rest:
+        latest = F.struct(*[F.col(c) for c in order]) if order else F.to_json(F.struct(*rest))
         incoming = incoming.groupBy(*keys).agg(
             F.max_by(F.struct(*rest), latest).alias("_r")
         ).select(*keys, "_r.*").select(*incoming.columns)
+    else:
+        incoming = incoming.distinct()
     return existing.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming)
 
 

@@ -163,3 +163,21 @@ def test_streaming_dedupe_and_progressive(spark, tmp_path):
 def test_collapse_handles_unicode_spaces(spark):
     df = spark.createDataFrame([("a b\x85c ",)], "s string")
     assert df.select(T.collapse(F.col("s")).alias("v")).first()["v"] == "a b c"
+
+
+def test_upsert_reduces_incoming_duplicates(spark):
+    from shelfmark.sources.sinks import upserted
+
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "e"), (3, "d")], "k long, v string")
+    assert sorted(map(tuple, upserted(old, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "e")]
+
+
+def test_alias_choices_score_every_item_of_a_title(spark):
+    from shelfmark.plans.search import alias_choices
+
+    queries = spark.createDataFrame([(1, "thunder garden saga")], "query_id long, query string")
+    titles = spark.createDataFrame(
+        [(1, 0, "Blue Bolt"), (2, 0, "Blue Bolt"), (2, 1, "Thunder Garden Saga")], "item_id long, pos int, title string"
+    )
+    assert [(r.item_id, round(r.score, 6)) for r in alias_choices(queries, titles).collect()] == [(2, 1.0)]
