@@ -62,10 +62,12 @@ def scan(documents: DataFrame, templates: DataFrame | None = None, least: float
     sized = known.withColumn("_n", F.explode(F.sequence(F.greatest(low, F.lit(1)), high).cast("array<int>")))
     widest = known.agg(F.max(high).alias("w"), F.count("*").alias("n")).first()
     # Words a unit can have: repeated bigrams make it longer than its set, so only the set is bounded above.
-    texts = documents.where("text IS NOT NULL").select("doc_id", "text")
     lines = F.filter(F.split("text", "\n"), lambda r: r != "")
-    units = texts.select("doc_id", F.explode(F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)).alias("_u"))
-    rows = units.select("doc_id", bigrams(F.split(normalised(F.col("_u")), " ")).alias("_b"))
+    texts = documents.where("text IS NOT NULL").select("doc_id", "text", lines.alias("_l"))
+    units = texts.select("doc_id", F.explode(F.when(F.size("_l") > 1, F.concat("_l", F.array("text"))).otherwise(F.col("_l"))).alias("_u"))
+    # Words are a column of their own: the bigrams use them several times.
+    words = units.select("doc_id", F.split(normalised(F.col("_u")), " ").alias("_w"))
+    rows = words.select("doc_id", bigrams(F.col("_w")).alias("_b"))
     rows = rows.withColumn("_n", F.size("_b")).where((F.col("_n") <= F.lit(widest["w"] or 0)) & (F.get("_b", F.lit(0)) != ""))
     small = F.broadcast(sized) if widest["n"] <= MAX_TEMPLATES else sized
     both = F.size(F.array_intersect("_b", "_t"))

@@ -138,9 +138,8 @@ def kept_lines(documents: DataFrame) -> DataFrame:
     return kept.groupBy("doc_id").agg(F.collect_list("line_no").alias("kept"))
 
 
-def _numbers(text: Column) -> tuple[Column, Column]:
-    """Line numbers of a text, and those of its non-blank lines."""
-    rows = F.split(text, "\n")
+def _numbers(rows: Column) -> tuple[Column, Column]:
+    """Numbers of all lines, and those of the non-blank ones."""
     everything = F.sequence(F.lit(0), F.size(rows) - 1)
     flags = F.transform(rows, lambda r, i: F.when(F.regexp_like(r, F.lit(r"[^\x20\x09-\x0D]")), i))
     return everything, F.array_compact(flags)
@@ -148,7 +147,7 @@ def _numbers(text: Column) -> tuple[Column, Column]:
 
 def decisions(documents: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, dropped): per document the numbers of the lines that go, ascending."""
-    own = documents.select("doc_id", _numbers(F.col("text"))[1].alias("_filled"))
+    own = documents.select("doc_id", _numbers(F.split("text", "\n"))[1].alias("_filled"))
     joined = own.join(kept_lines(documents), "doc_id", "left")
     none = F.array().cast("array<int>")
     dropped = F.when(F.col("doc_id").isNull(), none).otherwise(
@@ -162,10 +161,11 @@ def decisions(documents: DataFrame) -> DataFrame:
 def deduplicated(documents: DataFrame) -> DataFrame:
     """`documents` with duplicate lines taken out of `text`; a document that loses all its lines keeps an empty text."""
     kept = kept_lines(documents).select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
-    everything, filled = _numbers(F.col("text"))
+    joined = documents.join(kept, F.col("doc_id") == F.col("__id"), "left").withColumn("__rows", F.split("text", "\n"))
+    # The split text is a column, not repeated in the expression that picks single lines of it.
+    everything, filled = _numbers(F.col("__rows"))
     none = F.array().cast("array<int>")
     dropped = F.array_except(filled, F.coalesce("__kept", none))
-    rows = F.split("text", "\n")
-    rebuilt = F.array_join(F.transform(F.array_except(everything, dropped), lambda i: F.get(rows, i)), "\n")
+    rebuilt = F.array_join(F.transform(F.array_except(everything, dropped), lambda i: F.get("__rows", i)), "\n")
     text = F.when(F.col("doc_id").isNull() | F.col("text").isNull() | (F.size(dropped) == 0), F.col("text")).otherwise(rebuilt)
-    return documents.join(kept, F.col("doc_id") == F.col("__id"), "left").withColumn("text", text).select(*documents.columns)
+    return joined.withColumn("text", text).select(*documents.columns)
