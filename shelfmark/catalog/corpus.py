@@ -30,7 +30,7 @@ def corpus_scan(t):
     return readers.read_corpus(t.spark, path).select("item_id", "title", "type", F.md5("text").alias("text_md5"))
 
 
-@query("seed_scan_s2")
+@query("seed_scan_s2", "SELECT doc_id, lang FROM documents")
 def seed_scan(t):
     """Seed scan falling back from an absent JSON path to Parquet."""
     return readers.read_seed(

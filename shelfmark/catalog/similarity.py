@@ -13,7 +13,7 @@ from shelfmark.functions import lexicon as L
 
 # Each part with the next one's name: plain, shortened, with a suffix, or with two letters swapped.
 _PAIR = """WITH pr AS (SELECT a.p_partkey, a.p_name || ' of ' || lower(a.p_type) AS x, CASE a.p_partkey % 4 WHEN 0 THEN a.p_name WHEN 1 THEN 'The ' || a.p_name || ': extra'
-WHEN 2 THEN replace(a.p_name, 'i', 'ie') ELSE b.p_name || ' ' || lower(a.p_type) END AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)"""
+WHEN 2 THEN replace(a.p_name, 'i', 'ie') ELSE coalesce(b.p_name, a.p_name) || ' ' || lower(a.p_type) END AS y FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey + 1)"""
 
 
 def pairs(part):

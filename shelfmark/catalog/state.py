@@ -31,12 +31,12 @@ def membership_flags(t):
     return ST.flagged(read, rows.where("event_type = 'purchase' AND value > 40"), ["user_id"], "favoured").select("event_id", "has_read", "favoured")
 
 
-@query("progressive_view_z1", """WITH s AS (SELECT user_id AS query_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS stage, event_id FROM events WHERE value < 3)
+@query("progressive_view_z1", """WITH s AS (SELECT user_id AS query_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS stage, event_id FROM events)
 SELECT query_id, stage, event_id FROM s WHERE (query_id, stage) IN (SELECT query_id, max(stage) FROM s GROUP BY 1)""")
 def progressive_view(t):
     """Consumer view of staged result rows."""
     stage = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).otherwise(2)
-    rows = t.events.where("value < 3").select(F.col("user_id").alias("query_id"), stage.alias("stage"), "event_id")
+    rows = t.events.select(F.col("user_id").alias("query_id"), stage.alias("stage"), "event_id")
     return ST.newest_stage(rows, ["query_id"]).select("query_id", "stage", "event_id")
 
 

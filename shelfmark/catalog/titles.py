@@ -145,12 +145,13 @@ def specific_variant(t):
 
 
 def _neighbours(part):
-    """Each part with the next key's name: an equi-join, not a window over the table."""
+    """Each part with the next key's name (the last with its own): an equi-join, not a window over the table."""
     nxt = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
-    return part.select("p_partkey", "p_name", "p_brand", "p_type").join(nxt, "p_partkey")
+    return part.select("p_partkey", "p_name", "p_brand", "p_type").join(nxt, "p_partkey", "left").withColumn(
+        "other", F.coalesce("other", "p_name"))
 
 
-_NEXT = "SELECT a.p_partkey, a.p_name, a.p_brand, a.p_type, b.p_name AS other FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1"
+_NEXT = "SELECT a.p_partkey, a.p_name, a.p_brand, a.p_type, coalesce(b.p_name, a.p_name) AS other FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey + 1"
 
 
 @query("title_relevance_f12", f"""WITH v AS ({_NEXT}), w AS (SELECT *, list_filter(string_split(lower(other), ' '), lambda x: length(x) > 2) AS ws, lower(p_name || ' ' || p_brand) AS t FROM v)

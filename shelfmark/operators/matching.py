@@ -216,10 +216,11 @@ def relevant_results(matches: DataFrame, queries: DataFrame, cap: int = 6) -> Da
     return top_k(first_per_key(rows, ["query_id", "_k"], ["_r"]), ["query_id"], ["_r"], cap).drop("_k", "_r", "query")
 
 
-def ordinal_candidates(queries: DataFrame, catalogue: DataFrame, at_most: float = 2.5) -> DataFrame:
+def ordinal_candidates(queries: DataFrame, catalogue: DataFrame, at_most: float = 2.5, keep: int = 20) -> DataFrame:
     """(query_id, item_id, score, chapters) of entries whose ordinal title score is at most `at_most`.
 
-    `catalogue`: item_id, title, chapters. Scores are computed once per distinct
+    `catalogue`: item_id, title, chapters. Of entries with one title the first
+    `keep` stay, enough to rank `keep` results per query. Scores are computed once per distinct
     pair of strings; equality, prefixes and containment come from grams, token
     cover from the rarest token of the smaller side.
     """
@@ -238,7 +239,7 @@ def ordinal_candidates(queries: DataFrame, catalogue: DataFrame, at_most: float
     entries = catalogue.withColumn("c", F.lower(T.collapse(F.col("title"))))
     # For a query, entries with one title differ only by chapter count and id.
     lead = top_k(entries.select("c", "item_id", "chapters"), ["c"],
-                 [F.desc(F.coalesce("chapters", F.lit(0))), "item_id"], 20, "_n").drop("_n")
+                 [F.desc(F.coalesce("chapters", F.lit(0))), "item_id"], keep, "_n").drop("_n")
     wanted = queries.select("query_id", F.lower(T.collapse(F.col("query"))).alias("q"))
     return wanted.join(scored, "q").join(lead, "c").select("query_id", "item_id", "score", "chapters")
 

@@ -119,7 +119,8 @@ class SparseIndex:
         floor for the k-th best score; the terms whose bounds together stay below
         it cannot lift a document on their own, so only documents holding one of
         the other (essential) terms are candidates, and only those whose partial
-        score can still reach the floor are scored in full.
+        score can still reach the floor are scored in full. There is a floor for
+        every query with a term that k documents hold.
         """
         terms = materialize(self.query_terms(queries, query, text, tokenize), "query-terms")
         weighted = terms.select(query, "term", F.col("weight").alias("q_weight"))
@@ -129,7 +130,13 @@ class SparseIndex:
                 query, self.doc, (F.col("weight") * F.col("q_weight")).alias("score")
             )
 
-        rare = top_k(terms, [query], [F.asc("df"), F.asc("term")], probe_terms, "_r").drop("_r")
+        # The rarest terms up to the first that k documents hold: then the probe alone finds k documents.
+        by_rarity = Window.partitionBy(query).orderBy(F.asc("df"), F.asc("term"))
+        ranked = terms.withColumn("_r", F.row_number().over(by_rarity))
+        enough = F.min(F.when(F.col("df") >= k, F.col("_r"))).over(Window.partitionBy(query))
+        rare = ranked.withColumn("_enough", enough).where(
+            F.col("_enough").isNull() | (F.col("_r") <= F.greatest("_enough", F.lit(probe_terms)))
+        ).drop("_r", "_enough")
         first = top_k(self.scores(rare, query), [query], [F.desc("score"), F.asc(self.doc)], k, "_r").select(query, self.doc)
         probed = in_full(first, weighted).groupBy(query, self.doc).agg(F.sum("score").alias("score"))
         floor = probed.groupBy(query).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))

@@ -46,17 +46,19 @@ class VersionedTable:
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root, jvm
 
-    def versions(self) -> list[int]:
+    def _folders(self) -> list[tuple[int, bool]]:
+        """Number of every version folder, and whether it is committed."""
         fs, root, jvm = self._fs()
         if not fs.exists(root):
             return []
-        out = []
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if name.startswith("v=") and fs.exists(done):
-                out.append(int(name[2:]))
-        return sorted(out)
+        paths = [status.getPath() for status in fs.listStatus(root)]
+        return sorted(
+            (int(p.getName()[2:]), fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+            for p in paths if p.getName().startswith("v=")
+        )
+
+    def versions(self) -> list[int]:
+        return [version for version, committed in self._folders() if committed]
 
     def exists(self) -> bool:
         return bool(self.versions())
@@ -68,8 +70,9 @@ class VersionedTable:
         return self.spark.read.parquet(f"{self.path}/v={versions[-1]}")
 
     def write(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        version = (self.versions() or [-1])[-1] + 1
-        writer = df.write.mode("overwrite")
+        # After every folder, failed writes included; a second writer of the same number fails instead of replacing it.
+        version = max((v for v, _ in self._folders()), default=-1) + 1
+        writer = df.write.mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(f"{self.path}/v={version}")

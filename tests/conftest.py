@@ -7,12 +7,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from shelfmark.session import build_session
 
     session = build_session("tests", "local[4]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "4g",
+        "spark.driver.memory": "4g", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("tables")),
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session

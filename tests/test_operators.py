@@ -181,3 +181,22 @@ def test_alias_choices_score_every_item_of_a_title(spark):
         [(1, 0, "Blue Bolt"), (2, 0, "Blue Bolt"), (2, 1, "Thunder Garden Saga")], "item_id long, pos int, title string"
     )
     assert [(r.item_id, round(r.score, 6)) for r in alias_choices(queries, titles).collect()] == [(2, 1.0)]
+
+
+def test_equal_vectors_are_cut_inside_the_block():
+    import pandas as pd
+
+    from shelfmark.operators.dense import _block_top
+
+    block = pd.DataFrame({"q_ids": [[7, 8]], "q_vectors": [[[1.0, 0.0], [0.0, 1.0]]], "ids": [list(range(500, 0, -1))], "vectors": [[[0.6, 0.8]] * 500]})
+    found = pd.concat(_block_top(3, False)(iter([block])))
+    assert sorted(zip(found["q_id"], found["v_id"])) == [(q, v) for q in (7, 8) for v in (1, 2, 3)]
+
+
+def test_two_writers_never_replace_a_version(spark):
+    store = sinks.scratch_table(spark, "versions")
+    store.write(spark.range(3).toDF("k"))
+    spark.range(9).toDF("k").write.parquet(f"{store.path}/v=1/part")  # an unfinished write of another writer
+    assert store.versions() == [0]
+    assert store.write(spark.range(4).toDF("k")).count() == 4
+    assert store.versions() == [0, 2]
