@@ -65,9 +65,9 @@ def scan(documents: DataFrame, templates: DataFrame | None = None, least: float
     lines = F.filter(F.split("text", "\n"), lambda r: r != "")
     texts = documents.where("text IS NOT NULL").select("doc_id", "text", lines.alias("_l"))
     units = texts.select("doc_id", F.explode(F.when(F.size("_l") > 1, F.concat("_l", F.array("text"))).otherwise(F.col("_l"))).alias("_u"))
-    # Words are a column of their own: the bigrams use them several times.
-    words = units.select("doc_id", F.split(normalised(F.col("_u")), " ").alias("_w"))
-    rows = words.select("doc_id", bigrams(F.col("_w")).alias("_b"))
+    # Words and bigrams come out of generators: the filters on them are then not pushed below, which would compute both again per use.
+    words = units.select("doc_id", F.explode(F.array(F.split(normalised(F.col("_u")), " "))).alias("_w"))
+    rows = words.select("doc_id", F.explode(F.array(bigrams(F.col("_w")))).alias("_b"))
     rows = rows.withColumn("_n", F.size("_b")).where((F.col("_n") <= F.lit(widest["w"] or 0)) & (F.get("_b", F.lit(0)) != ""))
     small = F.broadcast(sized) if widest["n"] <= MAX_TEMPLATES else sized
     both = F.size(F.array_intersect("_b", "_t"))
