@@ -279,14 +279,10 @@ def link_map(t):
 @query("result_enrichment_p11", f"""WITH {LAB} SELECT doc_id, kind AS media_type, kind AS display_type,
 CASE WHEN syn = '' THEN 'No synopsis available.' ELSE syn END AS synopsis,
 array_to_string(list_transform(chars, lambda c: c), '; ') AS characters, source || ', ' || media_type AS genres,
-'[Source: MAL-ID ' || doc_id || ' - ' || ttl || ']' AS citations FROM lab
-WHERE NOT regexp_matches(lower(ttl || syn), '(type|title|genres|synopsis|characters|aliases):') AND NOT contains(ttl || syn, '<')""")
+'[Source: MAL-ID ' || doc_id || ' - ' || ttl || ']' AS citations FROM lab""")
 def result_enrichment(t):
-    """Snippet fields of every labelled document (texts that contain a section label themselves are left to the unit tests)."""
-    rows = views.labelled(t.documents).where(
-        ~F.regexp_like(F.lower(F.concat("ttl", "syn")), F.lit("(type|title|genres|synopsis|characters|aliases):"))
-        & ~F.contains(F.concat("ttl", "syn"), F.lit("<"))
-    )
+    """Snippet fields of every labelled document."""
+    rows = views.labelled(t.documents)
     out = enriched_results(rows.select("doc_id", F.col("doc_id").alias("item_id"), F.col("ttl").alias("title"),
                              T.collapse(F.col("payload")).alias("snippet")))
     return out.select(

@@ -9,7 +9,6 @@ from shelfmark.operators import corpus as C, lexicon as LEX, lists as LS, rankin
 
 from . import query, sql as q, views
 from .sql import CAT, LAB  # noqa: F401
-from .text_functions import _unlabelled
 from .titles import _LEX
 
 
@@ -100,14 +99,14 @@ def merged_titles(t):
 
 @query("alias_lexicon_a18", _LEX + " SELECT 'phrase' AS kind, p AS value FROM ph UNION ALL SELECT 'token', t FROM ltk")
 def alias_lexicon(t):
-    phrases, tokens = LEX.alias_lexicon(_unlabelled(t).select("payload"), "payload")
+    phrases, tokens = LEX.alias_lexicon(views.labelled(t.documents).select("payload"), "payload")
     return phrases.select(F.lit("phrase").alias("kind"), F.col("phrase").alias("value")).unionByName(
         tokens.select(F.lit("token").alias("kind"), F.col("token").alias("value")))
 
 
 @query("alias_membership_j9", _LEX + f""", w AS (SELECT DISTINCT unnest({q.toks('text')}) AS token FROM benchmark) SELECT token, token IN (SELECT t FROM ltk) AS known FROM w""")
 def alias_membership(t):
-    _, tokens = LEX.alias_lexicon(_unlabelled(t).select("payload"), "payload")
+    _, tokens = LEX.alias_lexicon(views.labelled(t.documents).select("payload"), "payload")
     words = T.exploded(t.benchmark, T.tokens(F.col("text")), "token").select("token").distinct()
     return words.join(tokens.withColumn("known", F.lit(True)), "token", "left").select("token", F.coalesce("known", F.lit(False)).alias("known"))
 

@@ -13,7 +13,6 @@ from shelfmark.sources import readers, sinks
 
 from . import query, sql as q, views
 from .retrieval import CHUNK_SQL
-from .text_functions import _unlabelled
 
 
 @query("upsert_k1", """SELECT vec_id, CASE WHEN label >= 5 THEN 'new' ELSE 'old' END AS version, label FROM embeddings""")
@@ -90,9 +89,9 @@ def dense_backfill(t):
     return chunks.join(stored, "chunk_id").select("chunk_id", "label")
 
 
-@query("payload_join_j10", "SELECT o_orderkey, o_orderstatus, l_linenumber, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber <= 2")
+@query("payload_join_j10", "SELECT o_orderkey, o_orderstatus, l_linenumber, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def payload_join(t):
-    roster = t.lineitem.where("l_linenumber <= 2").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
+    roster = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
     return t.orders.select("o_orderkey", "o_orderstatus").join(roster, "o_orderkey")
 
 
@@ -168,7 +167,7 @@ def initial_load(t):
 @query("alias_enrichment_r7")
 def alias_enrichment(t):
     """Enrich labelled documents with conversation rosters, re-upsert, drop stale records, count."""
-    docs = _unlabelled(t).select(F.lit("manga").alias("type"), F.col("doc_id").alias("item_id"), F.col("ttl").alias("title"), F.col("payload").alias("text"))
+    docs = views.labelled(t.documents).select(F.lit("manga").alias("type"), F.col("doc_id").alias("item_id"), F.col("ttl").alias("title"), F.col("payload").alias("text"))
     rosters = t.conversations.select(
         F.lit("manga").alias("type"), F.col("conv_id").alias("item_id"), F.col("turn").alias("pos"),
         F.regexp_extract("text", "[A-Za-z]+", 0).alias("name"), "role")

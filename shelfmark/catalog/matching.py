@@ -10,7 +10,7 @@ from shelfmark.plans import search as P
 from shelfmark.session import materialize
 from shelfmark.sources import readers
 
-from . import query, sql as q
+from . import query, sql as q, views
 from .corpus import _ALIAS_SQL, alias_entries
 from .retrieval import chunk_table
 from .similarity import LISTING_SCORE, listing_parts, ordinal_sql, suggestion_set
@@ -87,14 +87,14 @@ def external_hit_join(t):
     return M.external_hits(title_queries(t.part), hits.select("query_id", "item_id", "title"), index(t))
 
 
-@query("title_acceptance_f22", f"""WITH v AS (SELECT item_id AS query_id, {q.toks("array_to_string(list_slice(string_split(text, ' '), 1, CAST(1 + item_id % 15 AS INT)), ' ')")} AS r, 0.9 + item_id % 6 * 0.01 AS best FROM benchmark)
+@query("title_acceptance_f22", f"""WITH {views.windows_sql(15)}, v AS (SELECT item_id || '-' || nth AS query_id, {q.toks("c")} AS r, 0.9 + item_id % 6 * 0.01 AS best FROM win)
 SELECT query_id, item_id FROM v, (VALUES (1), (2)) i(item_id) WHERE len(r) <= 12 AND (best >= 0.935 OR (len(r) < 4 AND NOT list_has_any(r, {q.lst(L.TITLE_QUERY_HINTS)})))""")
 def title_acceptance(t):
-    words = F.array_join(F.slice(F.split("text", " "), F.lit(1), (F.col("item_id") % 15 + 1).cast("int")), " ")
-    queries = t.benchmark.select(F.col("item_id").alias("query_id"), T.tokens(words).alias("raw_tokens"))
-    cands = queries.select("query_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("item_id")).withColumn(
-        "score", 0.9 + F.col("query_id") % 6 * 0.01 - (F.col("item_id") - 1) * 0.005)
-    return M.accept_title_results(queries, cands).select("query_id", "item_id")
+    windows = views.word_windows(t.benchmark, 15)
+    queries = windows.select(F.concat_ws("-", "item_id", "nth").alias("query_id"), F.col("item_id").alias("_item"), T.tokens(F.col("c")).alias("raw_tokens"))
+    cands = queries.select("query_id", "_item", F.explode(F.array(F.lit(1), F.lit(2))).alias("item_id")).withColumn(
+        "score", 0.9 + F.col("_item") % 6 * 0.01 - (F.col("item_id") - 1) * 0.005)
+    return M.accept_title_results(queries.drop("_item"), cands.drop("_item")).select("query_id", "item_id")
 
 
 _T1 = f"""WITH b AS (SELECT DISTINCT p_name || ' ' || p_size % 5 AS query, p_name FROM part),
@@ -278,9 +278,9 @@ def recommendations(t):
         "p_brand", "rank", F.col("p_name").alias("title"))
 
 
-@query("popularity_listing_t5", "SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 25")
+@query("popularity_listing_t5", "SELECT p_partkey, p_size FROM part")
 def popularity_listing(t):
-    return t.part.select("p_partkey", "p_size").orderBy(F.desc("p_size"), "p_partkey").limit(25)
+    return t.part.select("p_partkey", "p_size").orderBy(F.desc("p_size"), "p_partkey")
 
 
 # --- searches ---------------------------------------------------------------------
@@ -315,13 +315,12 @@ def full_search(t):
 def search_queries(t):
     """Passages, and one query per distinct short document title without its last letter."""
     from shelfmark.operators.dense import embedded
-    from .text_functions import _unlabelled
 
     title = T.collapse(F.substring_index("text", "\n", 1))
     named = t.documents.select(title.alias("title"), "doc_id").where(F.length("title").between(8, 40)).groupBy("title").agg(
         F.min("doc_id").alias("k")).select((F.col("k") + 1_000_000).alias("query_id"), F.substr("title", F.lit(1), F.length("title") - 2).alias("query"))
     passages = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    lex = LEX.alias_lexicon(_unlabelled(t).select("payload"), "payload")
+    lex = LEX.alias_lexicon(views.labelled(t.documents).select("payload"), "payload")
     return materialize(embedded(LEX.classified_queries(passages.unionByName(named), *lex), "query"), "search-queries")
 
 

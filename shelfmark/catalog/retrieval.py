@@ -12,7 +12,6 @@ from shelfmark.session import materialize, spread
 
 from . import query, sql as q, views
 from .sql import CAT, LAB
-from .text_functions import _unlabelled
 from .titles import _LEX, character_queries, character_queries_sql
 
 # BM25 in SQL over a CTE `d(doc, text)` and queries `qs(query_id, text)`.
@@ -177,7 +176,7 @@ def chunk_table(t):
 
 
 def classified_passages(t):
-    lex = LEX.alias_lexicon(_unlabelled(t).select("payload"), "payload")
+    lex = LEX.alias_lexicon(views.labelled(t.documents).select("payload"), "payload")
     queries = LEX.classified_queries(passages(t), *lex)
     return materialize(embedded(queries, "query"), "queries")
 
@@ -219,7 +218,7 @@ def convex_scaling(t):
 
 # --- character queries: boosts, rerank, promotion ------------------------------
 
-_POOL = _LEX + character_queries_sql() + f""", d AS (SELECT doc_id AS doc, payload AS text FROM lab WHERE NOT regexp_matches(lower(ttl || syn), '(type|title|genres|synopsis|characters|aliases):')),
+_POOL = _LEX + character_queries_sql() + f""", d AS (SELECT doc_id AS doc, payload AS text FROM lab),
 qs AS (SELECT query_id, qtext AS text FROM qc), """ + bm25("", "", "").split("qs AS (),\n", 1)[-1] + """,
 ld AS MATERIALIZED (SELECT doc_id, ttl AS title, list_distinct(regexp_extract_all(""" + q.norm("payload") + """, '[a-z0-9]+')) AS st FROM lab),
 pool AS MATERIALIZED (SELECT * FROM (SELECT query_id, doc, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) AS input_pos FROM sc) WHERE input_pos <= 80),
@@ -240,7 +239,7 @@ rr AS (SELECT *, boosted + adj AS final, row_number() OVER (PARTITION BY query_i
 
 def character_pool(t):
     """The 80 best labelled documents per character-style query, with match fields."""
-    docs = materialize(P.with_match_fields(spread(_unlabelled(t)).select(
+    docs = materialize(P.with_match_fields(spread(views.labelled(t.documents)).select(
         F.col("doc_id"), F.col("ttl").alias("title"), F.col("kind").alias("media_type"), F.col("payload").alias("snippet")
     )), "labelled-docs")
     lex = LEX.alias_lexicon(docs.select(F.col("snippet").alias("text")))
@@ -361,7 +360,7 @@ def result_rank(t):
 
 @query("cut_sizes_t4", _LEX + character_queries_sql() + " SELECT query_id, CASE WHEN is_character THEN 80 ELSE 30 END AS pool FROM qc")
 def cut_sizes(t):
-    lex = LEX.alias_lexicon(_unlabelled(t).select("payload"), "payload")
+    lex = LEX.alias_lexicon(views.labelled(t.documents).select("payload"), "payload")
     rows = LEX.classified_queries(character_queries(t), *lex)
     return rows.select("query_id", P.pool_size(F.col("is_character")).alias("pool"))
 

@@ -105,22 +105,12 @@ def name_aliases(t):
     return out.select("doc_id", F.array_join("aliases", "; ").alias("aliases"))
 
 
-_NO_LABEL = "NOT regexp_matches(lower(ttl || syn), '(type|title|genres|synopsis|characters|aliases):')"
-
-
-def _unlabelled(t):
-    """Labelled documents whose own prose contains no section label (those are covered by unit tests)."""
-    return views.labelled(t.documents).where(
-        ~F.regexp_like(F.lower(F.concat("ttl", "syn")), F.lit("(type|title|genres|synopsis|characters|aliases):"))
-    )
-
-
 @query("section_x9", f"""WITH {LAB} SELECT doc_id, CASE WHEN syn = '' THEN 'No synopsis available.' ELSE syn END AS synopsis,
 source || ', ' || media_type AS genres, CASE WHEN len(chars) = 0 THEN 'Unknown' ELSE array_to_string(chars, '; ') END AS characters,
-'' AS aliases FROM lab WHERE {_NO_LABEL}""")
+'' AS aliases FROM lab""")
 def section(t):
     p = F.col("payload")
-    return _unlabelled(t).select(
+    return views.labelled(t.documents).select(
         "doc_id", S.section(p, "Synopsis:").alias("synopsis"), S.section(p, "Genres:").alias("genres"),
         S.section(p, "Characters:").alias("characters"), S.section(p, "Character Search Aliases:").alias("aliases"),
     )
@@ -133,37 +123,37 @@ def line_fields(t):
 
 
 _ALIASES = f"""WITH {LAB}, o AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN [w[1] || ', ' || w[2], w[2] || ' ' || w[1], w[1] || ' ' || w[2], w[3] || ' ' || w[4]]
-  WHEN len(w) >= 1 THEN [w[1]] ELSE CAST([] AS VARCHAR[]) END AS o FROM lab WHERE {_NO_LABEL}),
+  WHEN len(w) >= 1 THEN [w[1]] ELSE CAST([] AS VARCHAR[]) END AS o FROM lab),
 e AS (SELECT doc_id, list_filter(flatten(list_transform(o, lambda v: [v, {q.loose('lower(v)')}])), lambda v: lower(v) <> 'unknown') AS a FROM o)
 SELECT doc_id, array_to_string({_first_wins('a', 'lower({0})')}, '; ') AS aliases FROM e"""
 
 
 @query("text_aliases_x11", _ALIASES)
 def text_aliases(t):
-    out = S.with_text_aliases(_unlabelled(t).select("doc_id", "payload"), "payload")
+    out = S.with_text_aliases(views.labelled(t.documents).select("doc_id", "payload"), "payload")
     return out.select("doc_id", F.array_join("aliases", "; ").alias("aliases"))
 
 
 SERVICE_SQL = f"""WITH {LAB}, o AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN [w[1] || ', ' || w[2], w[2] || ' ' || w[1], w[1] || ' ' || w[2], w[3] || ' ' || w[4]]
-  WHEN len(w) >= 1 THEN [w[1]] ELSE CAST([] AS VARCHAR[]) END AS o FROM lab WHERE {_NO_LABEL}),
+  WHEN len(w) >= 1 THEN [w[1]] ELSE CAST([] AS VARCHAR[]) END AS o FROM lab),
 a AS (SELECT doc_id, list_transform(o, lambda v: {q.norm('v')}) AS a FROM o)"""
 
 
 @query("service_aliases_x11_twin", SERVICE_SQL + f" SELECT doc_id, array_to_string({_first_wins('a', '{0}')}, '; ') AS aliases FROM a")
 def service_aliases(t):
-    return _unlabelled(t).select("doc_id", F.array_join(S.service_aliases(F.col("payload")), "; ").alias("aliases"))
+    return views.labelled(t.documents).select("doc_id", F.array_join(S.service_aliases(F.col("payload")), "; ").alias("aliases"))
 
 
 @query("eval_aliases_x11_eval", f"""WITH {LAB} SELECT doc_id, CASE WHEN len(w) >= 4 THEN CASE WHEN lower(w[1] || ', ' || w[2]) = lower(w[3] || ' ' || w[4])
-THEN w[1] || ', ' || w[2] ELSE w[1] || ', ' || w[2] || '; ' || w[3] || ' ' || w[4] END WHEN len(w) >= 1 THEN w[1] ELSE '' END AS aliases FROM lab WHERE {_NO_LABEL}""")
+THEN w[1] || ', ' || w[2] ELSE w[1] || ', ' || w[2] || '; ' || w[3] || ' ' || w[4] END WHEN len(w) >= 1 THEN w[1] ELSE '' END AS aliases FROM lab""")
 def eval_aliases(t):
-    return _unlabelled(t).select("doc_id", F.array_join(S.eval_aliases(F.col("payload")), "; ").alias("aliases"))
+    return views.labelled(t.documents).select("doc_id", F.array_join(S.eval_aliases(F.col("payload")), "; ").alias("aliases"))
 
 
-@query("snippet_fields_x12", f"""WITH {LAB}, c AS (SELECT *, CASE WHEN len(chars) = 0 THEN [] ELSE chars END AS ch FROM lab WHERE {_NO_LABEL} AND NOT contains(ttl || syn, '<'))
+@query("snippet_fields_x12", f"""WITH {LAB}, c AS (SELECT *, CASE WHEN len(chars) = 0 THEN [] ELSE chars END AS ch FROM lab)
 SELECT doc_id, kind AS display_type, kind AS media_type, source || ' / ' || media_type AS genres, array_to_string(ch, ' / ') AS characters FROM c""")
 def snippet_fields(t):
-    rows = _unlabelled(t).where(~F.contains(F.concat("ttl", "syn"), F.lit("<"))).select(
+    rows = views.labelled(t.documents).select(
         "doc_id", "payload", *[S.snippet_section(F.col("payload"), f"{n}:").alias(n) for n in ("type", "genres", "characters")]
     )
     return rows.select(

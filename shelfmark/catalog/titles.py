@@ -9,7 +9,7 @@ from shelfmark.operators import evaluation as EV, lexicon as LEX
 
 from . import query, sql as q, views
 from .sql import CAT, LAB
-from .text_functions import PAGE_TITLE, SERVICE_SQL, _unlabelled, page_title
+from .text_functions import PAGE_TITLE, SERVICE_SQL, page_title
 
 
 @query("trailing_media_filter_f2", f"""WITH v AS (SELECT item_id, {q.strip_tags('text')} AS c, CASE item_id % 4 WHEN 0 THEN 'manga' WHEN 1 THEN 'anime' END AS m FROM benchmark)
@@ -27,7 +27,7 @@ _STOP, _HINT = q.lst(L.QUERY_STOPWORDS), q.lst(L.CHARACTER_HINTS)
 def character_queries_sql():
     """Query texts: first four words of a document's synopsis, with a hint word on every third."""
     return f""", cq0 AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN 'character ' ELSE '' END ||
-  array_to_string(w[1:CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 3 END], ' ') AS qtext FROM lab WHERE len(w) >= 1 AND {_no_label()}),
+  array_to_string(w[1:CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 3 END], ' ') AS qtext FROM lab WHERE len(w) >= 1),
 cq1 AS (SELECT query_id, qtext, {q.norm('qtext')} AS qn, {q.toks('qtext')} AS raw FROM cq0),
 kn AS (SELECT query_id, list(DISTINCT x.t) AS known FROM (SELECT query_id, unnest(raw) AS t FROM cq1) x SEMI JOIN ltk ON x.t = ltk.t GROUP BY 1),
 qk AS (SELECT cq1.*, coalesce(known, []) AS known, qn IN (SELECT p FROM ph) AS phrase,
@@ -38,15 +38,9 @@ qc AS (SELECT *, CASE WHEN len(raw) = 0 THEN false WHEN phrase THEN true WHEN li
   AND len(list_filter(raw, lambda z: list_contains(known, z))) = len(raw) END AS is_character, {q.qtoks('raw')} AS qtok FROM qk)"""
 
 
-def _no_label():
-    from .text_functions import _NO_LABEL
-
-    return _NO_LABEL
-
-
 def character_queries(t):
     n = F.when(F.col("doc_id") % 2 == 0, 2).otherwise(3)
-    return _unlabelled(t).where(F.size("w") >= 1).select(
+    return views.labelled(t.documents).where(F.size("w") >= 1).select(
         F.col("doc_id").alias("query_id"),
         F.concat(F.when(F.col("doc_id") % 3 == 0, "character ").otherwise(""),
                  F.array_join(F.slice("w", F.lit(1), n), " ")).alias("query"),
@@ -55,20 +49,19 @@ def character_queries(t):
 
 @query("character_query_f4", _LEX + character_queries_sql() + " SELECT query_id, is_character FROM qc")
 def character_query(t):
-    lex = LEX.alias_lexicon(_unlabelled(t).select("payload"), "payload")
+    lex = LEX.alias_lexicon(views.labelled(t.documents).select("payload"), "payload")
     return LEX.classified_queries(character_queries(t), *lex).select("query_id", "is_character")
 
 
 _PLOT = L.PLOT_WORDS_RE.replace("'", "''")
 
 
-@query("title_search_test_f5", f"""WITH v AS (SELECT item_id, {q.strip_tags("array_to_string(list_slice(string_split(text, ' '), 1, CAST(1 + item_id % 9 AS INT)), ' ')")} AS c FROM benchmark)
-SELECT item_id, len(list_filter(string_split(c, ' '), lambda w: w <> '')) <= 6 AND NOT regexp_matches(c, '{_PLOT}') AS loose_test,
+@query("title_search_test_f5", f"""WITH {views.windows_sql(9)}, v AS (SELECT item_id, nth, {q.strip_tags("c")} AS c FROM win)
+SELECT item_id, nth, len(list_filter(string_split(c, ' '), lambda w: w <> '')) <= 6 AND NOT regexp_matches(c, '{_PLOT}') AS loose_test,
 len(regexp_extract_all(c, '(?i)[a-z0-9]+(?:''[a-z0-9]+)?')) BETWEEN 1 AND 8 AND NOT regexp_matches(lower(c), '{"|".join(L.VAGUE_SIGNALS)}') AS strict_test FROM v""")
 def title_search_test(t):
-    words = F.array_join(F.slice(F.split("text", " "), F.lit(1), (F.col("item_id") % 9 + 1).cast("int")), " ")
-    rows = t.benchmark.select("item_id", words.alias("c"))
-    return rows.select("item_id", TT.looks_like_title(F.col("c")).alias("loose_test"),
+    rows = views.word_windows(t.benchmark, 9)
+    return rows.select("item_id", "nth", TT.looks_like_title(F.col("c")).alias("loose_test"),
                        TT.looks_like_exact_title(F.col("c")).alias("strict_test"))
 
 
@@ -104,7 +97,7 @@ def eval_corpus(t):
     """Distinct evaluation aliases of each labelled document, as rows."""
     from shelfmark.functions import sections as S
 
-    return _unlabelled(t).select(
+    return views.labelled(t.documents).select(
         "doc_id", F.col("kind").alias("medium"), F.col("ttl").alias("title"), F.col("syn").alias("synopsis"),
         S.eval_aliases(F.col("payload")).alias("aliases"),
     )
@@ -112,7 +105,7 @@ def eval_corpus(t):
 
 EVAL_SQL = f"""WITH {LAB}, al AS (SELECT doc_id, kind AS medium, ttl AS title, syn AS synopsis, CASE WHEN len(w) >= 4 THEN
   CASE WHEN lower(w[1] || ', ' || w[2]) = lower(w[3] || ' ' || w[4]) THEN [w[1] || ', ' || w[2]] ELSE [w[1] || ', ' || w[2], w[3] || ' ' || w[4]] END
-  WHEN len(w) >= 1 THEN [w[1]] ELSE CAST([] AS VARCHAR[]) END AS aliases FROM lab WHERE {_no_label()}),
+  WHEN len(w) >= 1 THEN [w[1]] ELSE CAST([] AS VARCHAR[]) END AS aliases FROM lab),
 ar AS (SELECT doc_id, unnest(aliases) AS alias, unnest(range(1, len(aliases) + 1)) AS pos FROM al),
 fr AS (SELECT {q.alnum('alias')} AS k, count(DISTINCT doc_id) AS frequency FROM ar WHERE {q.alnum('alias')} <> '' GROUP BY 1),
 ak AS (SELECT doc_id, arg_min({{'a': alias, 'f': coalesce(frequency, 9999)}}, [CASE WHEN contains(alias, ' ') THEN 0 ELSE 1 END, coalesce(frequency, 9999), -length(alias), pos]) AS b

@@ -40,3 +40,19 @@ def labelled(documents: DataFrame) -> DataFrame:
             F.col("kind"), F.col("ttl"), F.array("source", "media_type"), F.col("syn"), F.col("chars")
         ))
     )
+
+
+def windows_sql(most: int) -> str:
+    """Statement of `word_windows` over `benchmark`, as the table `win`."""
+    return f"""wd AS (SELECT item_id, string_split(text, ' ') AS w, 1 + item_id % {most} AS n FROM benchmark),
+wa AS (SELECT *, unnest(range(0, (len(w) - 1) // n + 1)) AS nth FROM wd),
+win AS (SELECT item_id, nth, array_to_string(list_slice(w, nth * n + 1, nth * n + n), ' ') AS c FROM wa)"""
+
+
+def word_windows(benchmark, most: int):
+    """(item_id, nth, c): every passage whole, cut into consecutive windows of one to `most` words by its id."""
+    n = F.col("item_id") % most + 1
+    rows = benchmark.select("item_id", F.split("text", " ").alias("_w"), n.alias("_n"))
+    cut = rows.select("item_id", "_w", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(size(_w) - 1) div _n"))).alias("nth"))
+    window = F.slice("_w", (F.col("nth") * F.col("_n") + 1).cast("int"), F.col("_n").cast("int"))
+    return cut.select("item_id", "nth", F.array_join(window, " ").alias("c"))
