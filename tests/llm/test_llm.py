@@ -166,6 +166,44 @@ def test_license_scan(spark, odd):
     assert licenses.scan(odd).count() == 0
 
 
+def test_license_windows(spark):
+    templates = dict(licenses.TEMPLATES)
+    grant, cc = templates["MIT-grant"], templates["CC-BY-4.0"]
+    wrapped = "Some text first\n# " + grant.replace("obtaining a copy ", "obtaining a copy\n# ") + "\nand more text after it"
+    texts = [
+        wrapped, f"2020 X. {cc} All rights reserved.", "word " * 500 + cc + " word" * 500, f"a\n{cc}\n{wrapped}\n{wrapped}", f"{cc}\nb",
+        "\n".join(["Title"] + [dict(licenses.PASSAGES)["MIT-text"][i:i + 60] for i in range(0, 600, 60)]),
+        "intro words\nThis program is free software: you can\nredistribute it and/or modify it under\nthe terms of the GNU General Public License as published by the Free\nSoftware Foundation, either version 3 of the License",
+        "we were granted a licence under the terms of the public works",
+    ]
+    got = {(r.doc_id, r.license): (round(r.dice, 6), r.n_units) for r in licenses.scan(table(spark, texts)).collect()}
+    assert got[0, "MIT-grant"] == (1.0, 1) and got[1, "CC-BY-4.0"] == (1.0, 1) and got[1, "All-Rights-Reserved"] == (1.0, 1)
+    assert got[2, "CC-BY-4.0"] == (1.0, 1) and got[3, "CC-BY-4.0"] == (1.0, 1) and got[3, "MIT-grant"] == (1.0, 2)
+    # The alike line is no second notice as a window (the document of line 4 is alike too: two units).
+    assert got[4, "CC-BY-4.0"] == (1.0, 2) and (5, "MIT-grant") in got and (6, "GPL-3.0-header") in got
+    assert not [key for key in got if key[0] == 7]
+
+
+def test_license_windows_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    template = "a b c d e f"
+    t = set(zip(template.split(), template.split()[1:]))
+    texts = [" ".join(rng.choice(list("abcdefgh"), 14)) for _ in range(150)]
+    texts += [" ".join([*rng.choice(list("gh"), 9), *(w for w in template.split() if rng.random() < 0.9), *rng.choice(list("gh"), 9)]) for _ in range(80)]
+    want = {}
+    for i, text in enumerate(texts):
+        w = text.split()
+        for a in range(len(w)):
+            for b in range(a + 2, min(len(w), a + 8) + 1):
+                s = set(zip(w[a:b], w[a + 1:b]))
+                dice = 2 * len(s & t) / (len(s) + len(t))
+                if dice >= 0.8:
+                    want[i] = max(want.get(i, 0), dice)
+    frame = spark.createDataFrame([("L", template)], "license string, text string")
+    got = {r.doc_id: r.dice for r in licenses.scan(table(spark, texts), frame).collect()}
+    assert got == pytest.approx(want) and len(want) > 40
+
+
 def brute_print(text):
     w = (text or "").encode().lower().split()
     if not w:
