@@ -5,7 +5,8 @@ Texts are lower-cased, everything but letters becomes one space, and the
 text times inverse document frequency. Document frequencies are counted over all
 rows that may be learnt from. The weights are fitted by follow-the-regularised-
 leader with an elastic net on a bounded sample, `SAMPLE` rows of each language
-(smallest hash of the id first); a fifth of the sample is kept back to fit the
+(smallest hash of the id first; of rows that share an id and a language the one
+with the smallest hash of its text); a fifth of the sample is kept back to fit the
 temperature that calibrates the probabilities. Every text is scored whole.
 
 Defined cases: a null text or one without letters is `und` with score 0, and so
@@ -108,7 +109,9 @@ def sample_of(rows: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
     ids = rows.select("doc_id", "lang").distinct().withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= SAMPLE)
     ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "_k")
     # At most SAMPLE ids per language to be told apart: a bound for the hint.
-    chosen = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("_k", "lang", "doc_id", "text")
+    chosen = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    # One row per id and language, reduced before the shuffle; features of a text are bounded by BUCKETS.
+    chosen = chosen.groupBy("_k", "lang", "doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         other, letter = _patterns()

@@ -9,7 +9,11 @@ calibrated to a score in which `DECISION` is the best threshold found in trainin
 
 The dictionaries and the calibration are fitted on a bounded, deterministic
 sample of labelled rows (`MAX_TOXIC`, `MAX_ORDINARY`, smallest hash of the id
-first). Scoring reads every document whole.
+first; of rows that share an id the one with the smallest hash of its text) and
+of each text on its first `MAX_CHARS` characters at most. Where the sample has
+more than `TOTAL_CHARS` characters, its longest texts are cut to one length that
+fits, so the driver holds a bounded number of characters. Scoring reads every
+document whole.
 
 Defined cases: a null or empty text has no toxic window and gets the lowest
 score; without a toxic or without an ordinary training row every score is 0;
@@ -30,8 +34,12 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from shelfmark.session import materialize
+
 MAX_TOXIC = 1500
 MAX_ORDINARY = 4000
+MAX_CHARS = 200_000         # of a text that is learnt from
+TOTAL_CHARS = 40_000_000    # of all texts that are learnt from
 DECISION = 0.7
 WINDOW_WORDS = 4
 GAIN = 3            # bytes a window must be shorter with the toxic dictionary
@@ -184,9 +192,10 @@ def fit(toxic_texts: list[str], ordinary_texts: list[str]) -> ToxicityModel | No
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, admitted=None) -> DataFrame:
-    """The bounded sample (text, toxic): per class the labelled rows with the smallest hash of their id.
+    """The bounded sample (_id, _text, _toxic): per class the labelled ids with the smallest hash, one row each.
 
-    The ids are chosen from the labels alone; only the chosen texts are read.
+    The ids are chosen from the labels alone; only the chosen texts are read, and
+    rows that repeat an id are reduced to one before the shuffle.
     A document with contradicting labels counts as toxic.
     """
     rows = labels.select(F.col("doc_id").alias("_id"), "toxic").where("_id IS NOT NULL AND toxic IN (0, 1)")
@@ -199,16 +208,27 @@ def training_rows(documents: DataFrame, labels: DataFrame, admitted=None) -> Dat
     )
     texts = documents.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
     # `chosen` has at most MAX_TOXIC + MAX_ORDINARY ids: a proven bound for the hint.
-    return texts.join(F.broadcast(chosen), "_id").where("_text IS NOT NULL")
+    met = texts.join(F.broadcast(chosen), "_id").where("_text IS NOT NULL")
+    # The hash of the whole text chooses; what is kept of it is bounded.
+    return met.groupBy("_id", "_toxic").agg(F.min_by(F.left("_text", F.lit(MAX_CHARS)), F.struct(F.xxhash64("_text"), F.left("_text", F.lit(MAX_CHARS)))).alias("_text"))
+
+
+def _level(lengths: list[int], total: int) -> int:
+    """The largest length to cut texts to so that all together have `total` characters at most."""
+    left = total
+    for k, n in enumerate(sorted(lengths)):
+        if n * (len(lengths) - k) > left:
+            return left // (len(lengths) - k)
+        left -= n
+    return max(lengths, default=0)
 
 
 def train(documents: DataFrame, labels: DataFrame, admitted=None) -> ToxicityModel | None:
     """Fit on the bounded sample; `admitted` narrows the ids that may be learnt from."""
-    rows = training_rows(documents, labels, admitted).orderBy("_id", "_text").collect()
-    texts: dict[int, dict] = {0: {}, 1: {}}
-    for r in rows:
-        texts[r["_toxic"]].setdefault((r["_id"], r["_text"]), r["_text"])
-    return fit(list(texts[1].values())[:2 * MAX_TOXIC], list(texts[0].values())[:2 * MAX_ORDINARY])
+    rows = materialize(training_rows(documents, labels, admitted), "toxicity-sample")
+    most = _level([r[0] for r in rows.select(F.length("_text")).collect()], TOTAL_CHARS)
+    rows = rows.select("_id", F.left("_text", F.lit(most)).alias("_text"), "_toxic").orderBy("_id").collect()
+    return fit([r["_text"] for r in rows if r["_toxic"] == 1], [r["_text"] for r in rows if r["_toxic"] == 0])
 
 
 def scored(documents: DataFrame, model: ToxicityModel | None, name: str = "score") -> DataFrame:

@@ -402,6 +402,21 @@ def test_toxicity(spark, odd):
     assert {r.s for r in toxicity.scored(odd, toxicity.train(odd, labels.limit(0)), "s").collect()} == {0.0}
 
 
+def test_training_samples_hold_one_row_per_id(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_CHARS", 40)
+    many = [f"text number {i} " + "and more words " * 9 for i in range(300)]
+    docs = table(spark, many + ["other words", None, "third"], [1] * 300 + [2, 3, 3])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    rows = {r._id: r for r in toxicity.training_rows(docs, labels).collect()}
+    assert toxicity.training_rows(docs, labels).count() == 3 and rows[1]._text in {t[:40] for t in many} and rows[3]._text == "third"
+    again = {r._id: r._text for r in toxicity.training_rows(docs.repartition(5), labels).collect()}
+    assert again == {i: r._text for i, r in rows.items()}
+    assert toxicity._level([5, 1, 9], 100) == 9 and toxicity._level([5, 1, 9], 11) == 5 and toxicity._level([5, 5, 5], 7) == 2
+    named = docs.withColumn("lang", F.when(F.col("doc_id") == 2, "de").otherwise("en"))
+    sample = langid.sample_of(named.select("doc_id", "text", "lang").where("text IS NOT NULL"))
+    assert sorted(lang for lang, _, _ in sample) == ["de", "en", "en"]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
