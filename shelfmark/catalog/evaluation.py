@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import lexicon as L, text as T
 from shelfmark.operators import evaluation as EV, sparse as SP
+from shelfmark.operators.ranking import global_index
 from shelfmark.session import materialize
 
 from . import query, sql as q, views
@@ -111,3 +112,24 @@ def hit_ranks(t):
         "doc_id", (F.col("k") * 3 + F.col("rank") - 3) % 100)
     results = ranks.join(titles, "doc_id").select("case_id", "rank", F.col("doc_id").alias("item_id"), "title")
     return EV.hit_ranks(cases, results).select("item_id", "hit_rank")
+
+
+@query("golden_suite_r14_whole")
+def golden_suite_whole(t):
+    """Semantic, keyword and title cases."""
+    return golden_cases(t).select("case_id", "medium", "query_type", "target_id", "target_title", "query")
+
+
+@query("hit_ranks_r15_whole", f"""WITH d AS (SELECT doc_id, {q.ws("split_part(text, chr(10), 1)")} AS title, row_number() OVER (ORDER BY doc_id) - 1 AS at, count(*) OVER () AS n FROM documents),
+r AS (SELECT a.doc_id AS target_id, v.rank, x.doc_id, a.title AS tt, x.title FROM d a, (VALUES (1), (2), (3), (4), (5)) v(rank) JOIN d x ON x.at = (a.at * 3 + v.rank - 3 + a.n) % a.n)
+SELECT target_id, min(CASE WHEN doc_id = target_id OR ({q.alnum('tt')} <> '' AND {q.alnum('title')} <> '' AND (contains({q.alnum('tt')}, {q.alnum('title')}) OR contains({q.alnum('title')}, {q.alnum('tt')}))) THEN rank END) AS hit_rank FROM r GROUP BY 1""")
+def hit_ranks_whole(t):
+    """Every document is the target of a case whose results are five documents from anywhere in the table."""
+    titles = views.catalogue(t.documents).select("doc_id", T.collapse(F.col("title")).alias("title"))
+    placed = materialize(global_index(titles, F.floor(F.col("doc_id") / 4096), [F.col("doc_id")], "at"), "placed-titles")
+    n = placed.count()
+    cases = placed.select(F.col("doc_id").cast("string").alias("case_id"), F.col("doc_id").alias("target_id"), F.col("title").alias("target_title"))
+    asked = placed.select(F.col("doc_id").cast("string").alias("case_id"), F.col("at").alias("_k"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank"))
+    asked = asked.select("case_id", "rank", ((F.col("_k") * 3 + F.col("rank") - 3 + n) % n).alias("at"))
+    results = asked.join(placed, "at").select("case_id", "rank", F.col("doc_id").alias("item_id"), "title")
+    return EV.hit_ranks(cases, results).select("target_id", "hit_rank")

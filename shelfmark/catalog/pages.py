@@ -78,6 +78,14 @@ def chapter_token(t):
     return rows.select("page_id", keyed.alias("path"), U.chapter_token(keyed)["raw"].alias("raw"), U.chapter_token(F.col("p"))["raw"].alias("plain"))
 
 
+@query("chapter_token_x41_whole")
+def chapter_token_whole(t):
+    """Every page's own token, and the token after a keyed part is added to its path."""
+    p = U.parts(F.col("url"))["path"]
+    keyed = F.concat(p, F.lit("/ch-0"), F.col("page_id").cast("string"), F.lit(".5/"))
+    return t.pages.select("page_id", keyed.alias("path"), U.chapter_token(keyed)["raw"].alias("raw"), U.chapter_token(p)["raw"].alias("plain"))
+
+
 REGISTRY = [("net", "example.net", "scroll"), ("com", "example.com", "paginated"), ("blog", "blog.example.org", "scroll"), ("org", "example.org", "paginated")]
 
 

@@ -376,3 +376,27 @@ def external_order(t):
     )).alias("pos", "candidate"))
     rows = _passage_results(t)
     return RES.externally_ordered(rows, order, ["query_id"], 8).select("query_id", "item_id", "rank")
+
+
+# --- whole jobs beside statements that state a smaller one ----------------------
+
+@query("namespace_union_u1_whole", f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, {_DOT} AS s FROM embeddings a, embeddings b WHERE b.label IS NOT NULL AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY round(s, 9) DESC, vec_id) AS rank FROM p)
+SELECT query_id, label AS namespace, vec_id, round(s, 6) AS score, rank FROM r WHERE rank <= 5""")
+def namespace_union_whole(t):
+    """Candidates of every namespace present, for every vector."""
+    queries = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
+    found = None
+    for (namespace,) in t.embeddings.select("label").where("label IS NOT NULL").distinct().orderBy("label").collect():
+        index = DenseIndex(t.embeddings.where(F.col("label") == namespace), "vec_id", "embedding", n_pivots=16)
+        part = index.top(queries, 5, exclude_same_id=True).withColumn("namespace", F.lit(namespace))
+        found = part if found is None else found.unionByName(part)
+    return found.select("query_id", "namespace", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("blend_weight_x30_whole", f"""WITH {views.windows_sql(5)} SELECT item_id AS query_id, nth, CASE WHEN len({q.qtoks("r")}) <= 2 THEN 0.60 ELSE 0.35 END AS alpha
+FROM (SELECT item_id, nth, {q.toks("c")} AS r FROM win)""")
+def blend_weight_whole(t):
+    """The weight of every window of one to five words of every passage."""
+    rows = views.word_windows(t.benchmark, 5).select(F.col("item_id").alias("query_id"), "nth", T.query_tokens(T.tokens(F.col("c"))).alias("tk"))
+    return rows.select("query_id", "nth", SIM.blend_weight(F.col("tk"), F.lit(False)).alias("alpha"))

@@ -105,6 +105,17 @@ def name_aliases(t):
     return out.select("doc_id", F.array_join("aliases", "; ").alias("aliases"))
 
 
+@query("name_aliases_x8_whole")
+def name_aliases_whole(t):
+    """Aliases of the names in whole first lines: two words a name, a last single word a name of its own."""
+    words = F.regexp_extract_all(F.substring_index("text", "\n", 1), F.lit("[^ .,!%&*#$|]{2,}"), F.lit(0))
+    starts = F.filter(F.transform("w", lambda _, i: i), lambda i: i % 2 == 0)
+    name = lambda i: F.concat_ws(", ", F.get("w", i), F.get("w", i + 1))
+    named = t.documents.select("doc_id", words.alias("w")).select("doc_id", F.transform(starts, name).alias("names"))
+    out = S.with_name_aliases(named, F.col("names"))
+    return out.select("doc_id", F.array_join("aliases", "; ").alias("aliases"))
+
+
 @query("section_x9", f"""WITH {LAB} SELECT doc_id, CASE WHEN syn = '' THEN 'No synopsis available.' ELSE syn END AS synopsis,
 source || ', ' || media_type AS genres, CASE WHEN len(chars) = 0 THEN 'Unknown' ELSE array_to_string(chars, '; ') END AS characters,
 '' AS aliases FROM lab""")

@@ -73,3 +73,33 @@ def test_against_statement(spark, name):
     assert sorted(columns) == sorted(got.columns)
     want = sorted(str([cell(v) for v in row]) for row in cur.fetchall())
     assert sorted(str([cell(row[c]) for c in columns]) for row in got.collect()) == want
+
+
+@pytest.mark.parametrize("name", ["namespace_union_u1_whole", "blend_weight_x30_whole", "hit_ranks_r15_whole"])
+def test_whole_jobs_against_statement(spark, name):
+    test_against_statement(spark, name)
+
+
+def test_whole_jobs_read_every_row(spark, tables):
+    vectors, found = tables.embeddings.collect(), catalog.bind("namespace_union_u1_whole")(spark, FOLDER).collect()
+    assert {r.query_id for r in found} == {r.vec_id for r in vectors} and {r.namespace for r in found} == {r.label for r in vectors}
+    ids = {r.doc_id: r.text for r in tables.documents.collect()}
+    assert {r.target_id for r in catalog.bind("hit_ranks_r15_whole")(spark, FOLDER).collect()} == set(ids)
+    # X8: names are the pairs of words of whole first lines; the first pair gives what the narrow query gives.
+    whole = {r.doc_id: (r.aliases or "").split("; ") for r in catalog.bind("name_aliases_x8_whole")(spark, FOLDER).collect()}
+    assert set(whole) == set(ids)
+    for r in catalog.bind("name_aliases_x8")(spark, FOLDER).collect():
+        first = r.aliases.split("; ")
+        assert whole[r.doc_id][:len(first)] == first
+    for i, text in ids.items():
+        w = re.findall("[^ .,!%&*#$|]{2,}", text.split("\n")[0])
+        lowered = {a.lower() for a in whole[i]}
+        assert all(re.sub(r"\s+", " ", f"{w[k]} {w[k + 1]}" if k + 1 < len(w) else w[k]).strip().lower() in lowered for k in range(0, len(w), 2))
+    # X41: by brute force.
+    pages = {r.page_id: r for r in catalog.bind("chapter_token_x41_whole")(spark, FOLDER).collect()}
+    narrow = catalog.bind("chapter_token_x41")(spark, FOLDER).collect()
+    assert set(pages) == {r.page_id for r in tables.pages.collect()} and all(pages[r.page_id] == r for r in narrow)
+    assert all(r.raw == f"0{i}.5" for i, r in pages.items())
+    # R14: title cases too.
+    cases = catalog.bind("golden_suite_r14_whole")(spark, FOLDER).collect()
+    assert {r.query_type for r in cases} == {"semantic", "keyword", "title"}
