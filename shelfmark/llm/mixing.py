@@ -14,7 +14,9 @@ that changes neither total, and a coin in proportion to the two distances picks
 the end. A block leaves `LANDING` documents undecided at most; those fly again
 together, round by round, until no more remain in the whole source. The landing
 problem is solved over all their outcomes: the one nearest to the required
-totals. Coins come from hashes of ids, so reruns agree.
+totals. Order and coins come from hashes of ids, so reruns agree; the coins of each
+round have a hash of their own, independent of the order, so that every step keeps
+the expected probabilities.
 
 Defined cases: a null or empty text has size 0 and is never needed for the
 totals; a null source is a source of its own, ordered last; repeated rows are
@@ -117,10 +119,17 @@ def _land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def _round(rows: DataFrame, group: list[str], landing: bool) -> DataFrame:
-    """One flight over each group of units (_unit, source, size, p, coin, _block); groups are bounded by their making."""
+def _hashed(seed: int) -> Column:
+    """A hash of the unit in [0, 1)."""
+    return F.pmod(F.xxhash64("_unit", F.lit(seed)), F.lit(2 ** 30)) / F.lit(float(2 ** 30))
+
+
+def _round(rows: DataFrame, group: list[str], landing: bool, number: int) -> DataFrame:
+    """One flight over each group of units (_unit, source, size, p, order, coin, _block); groups are bounded by their making."""
+    rows = rows.withColumn("coin", _hashed(1000 + number))
+
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["coin", "_unit"], kind="stable")
+        pdf = pdf.sort_values(["order", "_unit"], kind="stable")
         sizes = pdf["size"].to_numpy(dtype=float)
         p = _fly(pdf["p"].to_numpy(dtype=float), sizes, pdf["coin"].to_numpy(dtype=float))
         return pdf.assign(p=_land(p, sizes) if landing else p)
@@ -150,22 +159,20 @@ def draws(documents: DataFrame, **options) -> DataFrame:
         .select(F.col("source").alias("_s"), "source_size", "target", "_n", ratio.alias("_ratio")),
         "source-targets",
     )
-    # A hash in [0, 1) orders the flight and is its coin.
-    coin = F.pmod(F.xxhash64("_unit", F.lit(17)), F.lit(2 ** 30)) / F.lit(float(2 ** 30))
     rows = units.join(goals, F.col("source").eqNullSafe(F.col("_s"))).select(
-        "_unit", "source", "size", (F.col("_ratio") - F.floor("_ratio")).alias("p"), coin.alias("coin"),
+        "_unit", "source", "size", (F.col("_ratio") - F.floor("_ratio")).alias("p"), _hashed(17).alias("order"), F.lit(0.0).alias("coin"),
         F.pmod(F.xxhash64("_unit", F.lit(5)), F.ceil(F.col("_n") / BLOCK)).alias("_block"),
     )
-    flown = materialize(_round(rows, ["source", "_block"], False), "flight")
+    flown = materialize(_round(rows, ["source", "_block"], False, 0), "flight")
     decided, left = [flown.where("p <= 0 OR p >= 1")], flown.where("p > 0 AND p < 1")
-    while True:
+    for number in itertools.count(1):
         most = left.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
         if most <= LANDING:
-            decided.append(_round(left, ["source"], True))
+            decided.append(_round(left, ["source"], True, number))
             break
         # LANDING undecided units per block: at most BLOCK of them meet in the next round.
         merged = left.withColumn("_block", F.floor(F.col("_block") / (BLOCK // LANDING)))
-        flown = materialize(_round(merged, ["source", "_block"], False), "flight")
+        flown = materialize(_round(merged, ["source", "_block"], False, number), "flight")
         decided.append(flown.where("p <= 0 OR p >= 1"))
         left = flown.where("p > 0 AND p < 1")
     drawn = decided[0]

@@ -306,6 +306,15 @@ def test_mixing_totals(spark, documents, odd):
     assert mixing.draws(odd).count() == len(ODD) and mixing.draws(odd.limit(0)).count() == 0
 
 
+def test_mixing_keeps_inclusion_probabilities(spark):
+    sizes = np.maximum(1, np.random.default_rng(2).lognormal(4, 1, 1500)).astype(int).tolist()
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "at long, n int").crossJoin(spark.range(40).withColumnRenamed("id", "s"))
+    docs = rows.select((F.col("s") * 1500 + F.col("at")).alias("doc_id"), F.repeat(F.lit("w "), F.col("n")).alias("text"), F.col("s").cast("string").alias("source"))
+    got = mixing.draws(docs, weights=(1,), share=0.3).select("size", "copies").toPandas().sort_values("size", kind="stable")
+    for part in np.array_split(got["copies"].to_numpy(), 4):
+        assert part.mean() == pytest.approx(0.3, abs=0.01)
+
+
 def test_hash_tree_moves_only_into_the_new_shard(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"))
     places = rows.select(
