@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import ann, bpe, langid, licenses, line_dedup, mixing, sharding, simhash, spotsigs, toxicity
+from shelfmark.llm import ann, bpe, byte_bpe, langid, licenses, line_dedup, mixing, sharding, simhash, spotsigs, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -155,3 +155,11 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op9_spot_signatures(spark: SparkSession, folder: str) -> DataFrame:
     """Per document its fingerprint, that of its edited text, and likeness to that and to the next document."""
     return spotsigs.compared(_table(spark, folder, "documents"))
+
+
+@query
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document the number of byte-level BPE ids, a digest of the ids and one of the bytes they decode to."""
+    rows = byte_bpe.encoded(_table(spark, folder, "documents"))
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return rows.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
