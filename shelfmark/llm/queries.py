@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import ann, bpe, byte_bpe, langid, licenses, line_dedup, mixing, sharding, simhash, spotsigs, toxicity
+from shelfmark.llm import ann, bpe, byte_bpe, langid, licenses, line_dedup, mixing, periodic, sharding, simhash, spotsigs, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +163,26 @@ def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     rows = byte_bpe.encoded(_table(spark, folder, "documents"))
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return rows.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document its periodic runs of words, the strongest of them, and a digest of the text without repeats.
+
+    Each tenth document is given a repeated tail first; a null id is given none.
+    """
+    h = _crc(F.col("doc_id"))
+    chosen = _table(spark, folder, "documents").select("doc_id", "text", F.floor(h / 10).alias("g"), (h % 10 == 0).alias("planted"))
+    words = chosen.withColumn("w", F.when(F.col("planted"), periodic.word_list(F.col("text"))))
+    n = F.size("w")
+    start = (F.col("g") % n).cast("int")
+    period = (F.lit(1) + F.floor((n - start) / (3 + F.col("g") % 8))).cast("int")
+    tailed = F.array_join(periodic.repeated_tail(F.col("w"), start, period), " ")
+    texts = words.select("doc_id", F.when(F.col("planted") & (n > 0), tailed).otherwise(F.col("text")).alias("text"))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.col("strongest")
+    return periodic.runs(texts).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("(1000 * strongest.length) DIV strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
