@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import ann, bpe, byte_bpe, langid, licenses, line_dedup, mixing, periodic, sharding, simhash, spotsigs, toxicity
+from shelfmark.llm import ann, bpe, byte_bpe, dialogue, langid, licenses, line_dedup, mixing, periodic, sharding, simhash, spotsigs, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -186,3 +186,87 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
         best["period"].alias("period"), F.expr("(1000 * strongest.length) DIV strongest.period").alias("exponent_milli"),
         F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with every twentieth row lost, emptied, cut, repeated or given to the user, by a hash of its place."""
+    filled = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    place = rows.withColumn("_h", F.crc32(F.encode(F.concat(filled("conv_id"), F.lit(":"), filled("turn")), "UTF-8")) % 20)
+    text = F.when(F.col("_h") == 1, "").when(F.col("_h") == 2, F.translate(filled("text"), ".!?", "")).otherwise(filled("text"))
+    role = F.when(F.col("_h") == 4, "user").otherwise(filled("role"))
+    times = F.explode(F.when(F.col("_h") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return place.where("_h != 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("_t")).drop("_t")
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Per conversation, after damage, its faults and the cheapest edits that make it well formed."""
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    audits = dialogue.audits(_damaged(rows)).withColumnRenamed("conv_id", "_c")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return rows.select("conv_id").distinct().join(audits, F.col("conv_id").eqNullSafe(F.col("_c")), "left").select(
+        "conv_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+# The same result by dynamic programming over rows: states 0 nothing, 1 after s, 2 after u, 3 after a.
+OP12_SQL = r"""
+WITH RECURSIVE filled AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place
+  FROM conversations
+), hashed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(place, ''), lambda c: ascii(c)::BIGINT)), lambda c, b:
+    list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 20 AS h
+  FROM filled
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM hashed WHERE h <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    regexp_extract(text, '([^ 	-])[ 	-]*\z', 1) AS last, left(role, 1) AS c
+  FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair
+  FROM numbered
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM judged GROUP BY conv_id
+), inserts(s, t, letters, price, shown) AS (VALUES
+  (0, 0, '', 0, ''), (1, 1, '', 0, ''), (2, 2, '', 0, ''), (3, 3, '', 0, ''), (0, 2, 'I', 3, chr(10) || 'user:'), (1, 2, 'I', 3, chr(10) || 'user:'),
+  (3, 2, 'I', 3, chr(10) || 'user:'), (2, 3, 'I', 3, chr(10) || 'assistant:'), (1, 3, 'II', 6, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (0, 3, 'II', 6, chr(10) || 'user:' || chr(10) || 'assistant:')
+), moves(s, c, t, letter, price) AS (
+  SELECT s, NULL::VARCHAR, s, 'D', 4 FROM (VALUES (0), (1), (2), (3)) x(s)
+  UNION ALL SELECT * FROM (VALUES (0, 's', 1, 'K', 0), (0, 'u', 2, 'K', 0), (1, 'u', 2, 'K', 0), (3, 'u', 2, 'K', 0), (2, 'a', 3, 'K', 0),
+    (0, NULL::VARCHAR, 2, 'R', 3), (1, NULL, 2, 'R', 3), (2, NULL, 3, 'R', 3), (3, NULL, 2, 'R', 3)) y
+), best(conv_id, i, s, cost, audit, shown) AS (
+  SELECT conv_id, 0::BIGINT, 0, 0, '', '' FROM counts
+  UNION ALL
+  SELECT conv_id, i, t, cost, audit, shown FROM (
+    SELECT b.conv_id, j.i, m.t, b.cost + n.price + m.price + CASE WHEN m.letter <> 'D' AND j.fault = 'truncated' THEN 3 ELSE 0 END AS cost,
+      b.audit || n.letters || m.letter AS audit,
+      b.shown || n.shown || CASE m.letter WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || j.role || ':' || j.text
+        ELSE chr(10) || CASE m.t WHEN 2 THEN 'user' ELSE 'assistant' END || ':' || j.text END AS shown
+    FROM best b JOIN judged j ON j.conv_id IS NOT DISTINCT FROM b.conv_id AND j.i = b.i + 1 JOIN inserts n ON n.s = b.s
+    JOIN moves m ON m.s = n.t AND (m.c IS NULL OR m.c = j.c) AND (m.letter = 'D' OR j.fault NOT IN ('blank', 'duplicate'))
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, i, t ORDER BY cost, audit) = 1
+), repairs AS (
+  SELECT b.conv_id, b.cost + n.price AS cost, b.audit || n.letters AS audit, b.shown || n.shown AS shown
+  FROM best b JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.n = b.i JOIN inserts n ON n.s = b.s
+  WHERE (n.t = 0 OR n.t = 3)
+  QUALIFY row_number() OVER (PARTITION BY b.conv_id ORDER BY b.cost + n.price, b.audit || n.letters) = 1
+)
+SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+  coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, coalesce(r.cost, 0)::BIGINT AS cost, coalesce(r.audit, '') AS audit,
+  sha256(coalesce(substr(r.shown, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN repairs r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+query(op12_conversation_repair, OP12_SQL)
