@@ -10,8 +10,8 @@ of the pattern) are encoded separately; a pre-token that is itself a piece is
 that piece. Ids decode through the inverse byte mapping of their pieces.
 
 One narrow pass over the documents, no shuffle: a copy or a hot source costs no
-more than any other row. A task keeps the pre-tokens it has met (`CACHE_WORDS`
-at most, then it starts anew) and cuts long texts where white space begins, a
+more than any other row. A task keeps the pre-tokens it has met (about
+`CACHE_WORDS`, then it starts anew) and cuts long texts where white space begins, a
 place that no match crosses; a text without white space is one piece.
 
 Defined cases: null and empty texts have no ids and decode to no bytes;
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -120,6 +121,53 @@ def model(tokens: list[bytes]) -> bytes:
     return b"".join(parts) + _field(_MODEL_TRAINER, _BYTES, trainer) + _field(_MODEL_NORMALIZER, _BYTES, normaliser)
 
 
+class _Known:
+    """Ids of the strings a task has met, one after the other in one array."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.start, self.size = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.ids, self.end = np.zeros(4096, dtype=np.int32), 0
+
+    def add(self, strings: list[str], lists: list[list[int]]) -> None:
+        n, more = len(self.number), sum(map(len, lists))
+        while n + len(strings) > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        while self.end + more > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        size = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        self.size[n:n + len(lists)] = size
+        self.start[n:n + len(lists)] = self.end + np.cumsum(size) - size
+        self.ids[self.end:self.end + more] = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=more)
+        self.end += more
+        self.number.update(zip(strings, range(n, n + len(strings))))
+
+    def of(self, strings: list[str]) -> np.ndarray:
+        at = np.fromiter(map(self.number.__getitem__, strings), dtype=np.int64, count=len(strings))
+        return _gathered(self.ids, self.start[at], self.size[at])
+
+
+def _gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of an array, one after the other."""
+    ends = np.cumsum(size)
+    if not len(ends):
+        return values[:0]
+    return values[np.repeat(start - (ends - size), size) + np.arange(ends[-1])]
+
+
+class PieceBytes:
+    """The bytes that ids stand for, by the inverse mapping of their pieces; they need not be whole characters."""
+
+    def __init__(self, pieces: list[str]):
+        raw = [unmapped(piece) for piece in pieces]
+        self.size = np.array([len(r) for r in raw], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(raw), dtype=np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        return _gathered(self.bytes, self.start[ids], self.size[ids]).tobytes()
+
+
 class Encoder:
     """Ids of texts and bytes of ids, for one rank file and one pre-token pattern."""
 
@@ -131,31 +179,48 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         names = [self.processor.id_to_piece(i) for i in range(len(tokens))]
         self.whole = {piece: i for i, piece in enumerate(names)}
-        self.bytes_of = [unmapped(piece) for piece in names]
-        self.known: dict[str, list[int]] = {}
-
-    def ids(self, text: str) -> Iterator[list[int]]:
-        """The ids of a text, in lists of bounded size."""
+        self.pieces = PieceBytes(names)
+        self.known = _Known()
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.known.number) > CACHE_WORDS:
+            self.known = _Known()
+        new = [w for w in words if w not in self.known.number]
+        if new:
+            pieces = [mapped(w.encode()) for w in new]
+            found = self.processor.encode(pieces, num_threads=1)
+            self.known.add(new, [f if self.whole.get(p) is None else [self.whole[p]] for p, f in zip(pieces, found)])
+
+    def ids(self, text: str) -> Iterator[np.ndarray]:
+        """The ids of a text, in arrays of bounded size."""
         at = 0
         while at < len(text):
             cut = _CUT.search(text, at + PIECE_CHARS) if at + PIECE_CHARS < len(text) else None
             end = cut.start() if cut else len(text)
             words = self.pattern.findall(text[at:end])
-            new = list(set(words).difference(self.known))
-            if new:
-                if len(self.known) + len(new) > CACHE_WORDS:
-                    self.known.clear()
-                    new = list(set(words))
-                pieces = [mapped(w.encode()) for w in new]
-                for word, piece, found in zip(new, pieces, self.processor.encode(pieces, num_threads=1)):
-                    own = self.whole.get(piece)
-                    self.known[word] = found if own is None else [own]
-            yield [i for ids in map(self.known.__getitem__, words) for i in ids]
+            self._learn(set(words))
+            yield self.known.of(words)
             at = end
 
-    def text_of(self, ids: list[int]) -> bytes:
-        """The bytes that ids stand for, which need not be whole characters."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of several short texts."""
+        words = [self.pattern.findall(text) for text in texts]
+        self._learn(set(chain.from_iterable(words)))
+        return [self.known.of(own) for own in words]
+
+
+def _groups(pairs: Iterator[tuple]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts in groups of about PIECE_CHARS characters; a longer text is a group of its own."""
+    ids, texts, chars = [], [], 0
+    for doc_id, text in pairs:
+        if chars + len(text) > PIECE_CHARS and texts:
+            yield ids, texts
+            ids, texts, chars = [], [], 0
+        ids.append(doc_id)
+        texts.append(text)
+        chars += len(text)
+    if texts:
+        yield ids, texts
 
 
 def encoded(documents: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -166,14 +231,11 @@ def encoded(documents: DataFrame, vocabulary: str | None = None, pattern: str |
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(vocabulary, pattern)
         ready, held = [], 0
-        for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                parts, decoded = [], []
-                for ids in encoder.ids(text or ""):
-                    parts.append(np.array(ids, dtype=np.int32))
-                    decoded.append(encoder.text_of(ids))
-                ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
-                ready.append((doc_id, len(ids), ids, b"".join(decoded)))
+        for ids_of, texts in _groups((i, t or "") for pdf in batches for i, t in zip(pdf["doc_id"], pdf["text"])):
+            lists = encoder.ids_of(texts) if len(texts) > 1 else [np.concatenate([np.zeros(0, dtype=np.int32), *encoder.ids(texts[0])])]
+            for doc_id, ids in zip(ids_of, lists):
+                decoded = b"".join(encoder.pieces(ids[at:at + OUT_IDS]) for at in range(0, len(ids), OUT_IDS))
+                ready.append((doc_id, len(ids), ids, decoded))
                 held += len(ids) + 16
                 if held >= OUT_IDS:
                     yield pd.DataFrame(ready, columns=["doc_id", "n_tokens", "ids", "decoded"])
@@ -194,9 +256,8 @@ def decoded(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     @F.pandas_udf("binary")
     def shown(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = [mapped(token) for token in read_ranks(vocabulary)]
-        bytes_of = [unmapped(piece) for piece in pieces]
+        pieces = PieceBytes([mapped(token) for token in read_ranks(vocabulary)])
         for column in batches:
-            yield pd.Series([b"" if ids is None else b"".join(bytes_of[i] for i in ids) for ids in column], dtype=object)
+            yield pd.Series([b"" if ids is None else pieces(np.asarray(ids, dtype=np.int64)) for ids in column], dtype=object)
 
     return rows.select("doc_id", shown("ids").alias("decoded"))

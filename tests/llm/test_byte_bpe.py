@@ -1,24 +1,33 @@
 """Byte-level BPE against the tiktoken library, on whole texts and awkward rows."""
 
 import hashlib
+from functools import cache
 
+import numpy as np
 import pytest
 import regex
 import tiktoken
+from hypothesis import given, settings, strategies as st
 
 from shelfmark.llm import byte_bpe, queries
 from tests.llm.test_llm import FOLDER, LONG, ODD, table
 
 
-@pytest.fixture(scope="module")
-def encoding():
+@cache
+def _both():
     ranks = {t: i for i, t in enumerate(byte_bpe.read_ranks(byte_bpe.vocabulary_path()))}
-    return tiktoken.Encoding("own", pat_str=byte_bpe.split_pattern(), mergeable_ranks=ranks, special_tokens={})
+    pattern = byte_bpe.split_pattern()
+    return byte_bpe.Encoder(byte_bpe.vocabulary_path(), pattern), tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 @pytest.fixture(scope="module")
 def encoder():
-    return byte_bpe.Encoder(byte_bpe.vocabulary_path(), byte_bpe.split_pattern())
+    return _both()[0]
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    return _both()[1]
 
 
 AWKWARD = ODD + [
@@ -31,7 +40,14 @@ def test_ids_equal_the_library(encoding, encoder):
     for text in AWKWARD:
         got = [i for ids in encoder.ids(text or "") for i in ids]
         assert got == encoding.encode_ordinary(text or ""), repr((text or "")[:50])
-        assert encoder.text_of(got) == (text or "").encode()
+        assert encoder.pieces(np.array(got, dtype=np.int64)) == (text or "").encode()
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(" ab\n\t\r.,1's\x1c\u3000\xa0é", max_size=24))
+def test_units_and_white_space(text):
+    encoder, encoding = _both()
+    assert [i for ids in encoder.ids(text) for i in ids] == encoding.encode_ordinary(text)
 
 
 def test_every_token_and_every_character(encoding, encoder):
