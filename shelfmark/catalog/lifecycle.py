@@ -21,16 +21,16 @@ def upsert(t):
     old = t.embeddings.where("label <= 6").select("vec_id", F.lit("old").alias("version"), "label")
     new = t.embeddings.where("label >= 5").select("vec_id", F.explode(F.array(F.lit("stale"), F.lit("new"))).alias("version"), "label")
     new = new.withColumn("seq", F.when(F.col("version") == "new", 2).otherwise(1))
-    table = sinks.scratch_table(t.spark, "vectors")
+    table = sinks.scratch_table(t.spark, "vectors", ["vec_id"])
     table.write(old.withColumn("seq", F.lit(0)))
-    return table.upsert(new, ["vec_id"], ["seq"]).select("vec_id", "version", "label")
+    return table.upsert(new, ["seq"]).select("vec_id", "version", "label")
 
 
 @query("stale_delete_k3", "SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)")
 def stale_delete(t):
-    table = sinks.scratch_table(t.spark, "stale")
+    table = sinks.scratch_table(t.spark, "stale", ["vec_id"])
     table.write(t.embeddings.select("vec_id", "label"))
-    return table.delete_stale(t.labels.select(F.col("doc_id").alias("vec_id")), ["vec_id"])
+    return table.delete_stale(t.labels.select(F.col("doc_id").alias("vec_id")))
 
 
 @query("evaluation_report_k5")
@@ -160,7 +160,7 @@ def corpus_rows(t):
 
 @query("initial_load_r6", f"WITH {CHUNK_SQL} SELECT 'manga-' || doc_id || '-chunk-' || lpad(CAST(chunk_index AS VARCHAR), 3, '0') AS chunk_id, doc_id AS item_id, md5(chunk_text) AS text_md5, len(list_distinct({q.toks('chunk_text')})) AS n_terms FROM ch")
 def initial_load(t):
-    out = P.initial_load(corpus_rows(t), sinks.scratch_table(t.spark, "load"))
+    out = P.initial_load(corpus_rows(t), sinks.scratch_table(t.spark, "load", ["chunk_id"]))
     return out.select("chunk_id", "item_id", F.md5("chunk_text").alias("text_md5"), "n_terms")
 
 
@@ -171,7 +171,7 @@ def alias_enrichment(t):
     rosters = t.conversations.select(
         F.lit("manga").alias("type"), F.col("conv_id").alias("item_id"), F.col("turn").alias("pos"),
         F.regexp_extract("text", "[A-Za-z]+", 0).alias("name"), "role")
-    store = sinks.scratch_table(t.spark, "enriched")
+    store = sinks.scratch_table(t.spark, "enriched", ["chunk_id"])
     dense, _ = P.records(materialize(P.chunked(docs), "plain-chunks"))
     store.write(dense.select("chunk_id", "type", "item_id", "title", "chunk_index", "chunk_text", "embedding"))
     return P.enrich_and_reload(docs, rosters, store)
@@ -193,7 +193,7 @@ SELECT 'manga-' || doc_id || '-chunk-' || lpad(CAST(i AS VARCHAR), 3, '0') AS ch
 UNION ALL SELECT 'manga-' || doc_id || '-chunk-000', 'stored' FROM labels""")
 def delta_sync(t):
     """A store that knows the labelled documents, then a sync of the whole listing: only the others are added."""
-    store = sinks.scratch_table(t.spark, "delta")
+    store = sinks.scratch_table(t.spark, "delta", ["chunk_id"])
     doc = F.col("doc_id")
     store.write(t.labels.select(
         F.format_string("manga-%d-chunk-000", doc).alias("chunk_id"), F.lit("manga").alias("type"), doc.alias("item_id"),

@@ -42,13 +42,13 @@ def progressive_view(t):
 
 @query("incremental_sync_z2", "SELECT doc_id, CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS version, md5(text) AS text_md5 FROM documents")
 def incremental_sync(t):
-    """Two landings of the corpus (the second repeats English documents) streamed into one versioned table."""
+    """Two landings of the corpus (the second repeats English documents) streamed into one keyed table."""
     source, checkpoint = new_path(t.spark, "landing"), new_path(t.spark, "sync-checkpoint")
     rows = t.documents.select("doc_id", "text", F.lit(1).alias("version"))
     rows.write.mode("append").json(source)
     t.documents.where("lang = 'en'").select("doc_id", "text", F.lit(2).alias("version")).write.mode("append").json(source)
-    store = sinks.scratch_table(t.spark, "synced")
-    Z.sync_stream(t.spark, source, rows.schema, store, checkpoint, ["doc_id"], ["version"]).awaitTermination()
+    store = sinks.scratch_table(t.spark, "synced", ["doc_id"])
+    Z.sync_stream(t.spark, source, rows.schema, store, checkpoint, ["version"]).awaitTermination()
     return store.read().select("doc_id", "version", F.md5("text").alias("text_md5"))
 
 
@@ -87,6 +87,6 @@ def streamed_state(t):
     schema = t.events.schema
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
     rows = stream.select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
-    store = sinks.scratch_table(t.spark, "state")
-    Z.state_stream(rows, ["user_id", "k"], ["event_id"], store, new_path(t.spark, "state-checkpoint")).awaitTermination()
+    store = sinks.scratch_table(t.spark, "state", ["user_id", "k"])
+    Z.state_stream(rows, ["event_id"], store, new_path(t.spark, "state-checkpoint")).awaitTermination()
     return store.read().select("user_id", "k", "event_id", "event_type")

@@ -10,7 +10,7 @@ from shelfmark.functions import sections as S, text as T
 from shelfmark.operators import corpus as C, sparse as SP
 from shelfmark.operators.dense import embedded
 from shelfmark.session import materialize, spread
-from shelfmark.sources.sinks import VersionedTable
+from shelfmark.sources.sinks import KeyedTable, last_per_key
 
 
 @dataclass
@@ -21,14 +21,15 @@ class SparseParameters:
 
 def load_or_fit(spark: SparkSession, docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text") -> SparseParameters:
     """Stored BM25 parameters if there are any, else fitted on `docs` and stored."""
-    df_store, stat_store = VersionedTable(spark, f"{path}/df"), VersionedTable(spark, f"{path}/stats")
+    df_store, stat_store = KeyedTable(spark, f"{path}/df", ["term"]), KeyedTable(spark, f"{path}/stats", ["name"], 1)
     if not (df_store.exists() and stat_store.exists()):
         counts = materialize(SP.term_counts(docs, doc, text), "fit-counts")
         n = docs.agg(F.count("*").alias("n_docs"))
         tokens = counts.agg(F.sum("tf").alias("t"))
-        stats = stat_store.write(n.select("n_docs", (tokens.scalar() / F.greatest("n_docs", F.lit(1))).alias("avgdl")))
+        totals = n.select(F.lit("corpus").alias("name"), "n_docs", (tokens.scalar() / F.greatest("n_docs", F.lit(1))).alias("avgdl"))
+        stats = stat_store.write(totals).drop("name")
         df_store.write(SP.term_table(SP.document_weights(counts, stats, doc)))
-    return SparseParameters(df_store.read(), stat_store.read())
+    return SparseParameters(df_store.read(), stat_store.read().drop("name"))
 
 
 def chunked(docs: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def strict_zip(chunks: DataFrame, dense: DataFrame, sparse: DataFrame) -> DataFr
     ))
 
 
-def initial_load(docs: DataFrame, store: VersionedTable, position: str = "input_pos") -> DataFrame:
+def initial_load(docs: DataFrame, store: KeyedTable, position: str = "input_pos") -> DataFrame:
     """Validate, keep the longest text per item, chunk, encode and store as a new version."""
     kept = C.keep_longest(C.valid_documents(docs), ["type", "item_id"], position=position)
     chunks = materialize(chunked(kept), "load-chunks")
@@ -113,16 +114,17 @@ def enriched_documents(docs: DataFrame, rosters: DataFrame, cap: int = 40) -> Da
     )).drop("r", "names", "entries", "f")
 
 
-def enrich_and_reload(docs: DataFrame, rosters: DataFrame, store: VersionedTable, done: DataFrame | None = None) -> DataFrame:
+def enrich_and_reload(docs: DataFrame, rosters: DataFrame, store: KeyedTable, done: DataFrame | None = None) -> DataFrame:
     """Enrich unprocessed documents, upsert their records, delete stale ones, and count."""
     todo = docs if done is None else docs.join(done.select("type", "item_id"), ["type", "item_id"], "left_anti")
     chunks = materialize(chunked(enriched_documents(todo, rosters)), "enriched-chunks")
     dense, _ = records(chunks)
     before = store.read() if store.exists() else None
     incoming = materialize(dense.select("chunk_id", "type", "item_id", "title", "chunk_index", "chunk_text", "embedding"), "enriched-records")
-    after = store.upsert(incoming, ["chunk_id"])
+    before = before if before is None else materialize(before.select("chunk_id"), "enriched-before")
+    after = store.upsert(incoming, ["title", "chunk_text"])
     if done is None:
-        after = store.delete_stale(incoming, ["chunk_id"])
+        after = store.delete_stale(incoming)
     return load_counters(incoming.limit(0) if before is None else before, incoming, after)
 
 
@@ -140,20 +142,23 @@ def backfill(docs: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     return matched, unmatched
 
 
-def delta_sync(listing: DataFrame, payloads: DataFrame, store: VersionedTable, cap: int = 12) -> DataFrame:
+def delta_sync(listing: DataFrame, payloads: DataFrame, store: KeyedTable, cap: int = 12, position: str | None = None) -> DataFrame:
     """Add listed items the store does not hold: compose, chunk, encode, upsert.
 
     Known items are told by their (type, item_id) columns. `payloads`: type,
-    item_id, title, genres, synopsis, roster.
+    item_id, title, genres, synopsis, roster; of several payloads of one item
+    the last along the column `position` counts, without one the last by title
+    and text.
     """
     known = store.read().select("type", "item_id").distinct() if store.exists() else listing.limit(0).select("type", "item_id")
     new = listing.select("type", "item_id").distinct().join(known, ["type", "item_id"], "left_anti")
     rows = payloads.join(new, ["type", "item_id"], "left_semi").where(
         F.col("item_id").isNotNull() & (T.collapse(F.col("title")) != "")
     )
-    docs = rows.select("type", "item_id", "title", S.delta_text(
+    composed = rows.select("type", "item_id", "title", *([position] if position else []), S.delta_text(
         F.col("type"), T.collapse(F.col("title")), F.col("genres"), T.collapse(F.col("synopsis")),
         S.delta_character_lines(F.col("roster"), cap), cap,
     ).alias("text"))
+    docs = last_per_key(composed, ["type", "item_id"], [position] if position else ["title", "text"])
     dense, _ = records(materialize(chunked(docs), "delta-chunks"))
-    return store.upsert(dense.select("chunk_id", "type", "item_id", "title", "chunk_index", "chunk_text", "embedding"), ["chunk_id"])
+    return store.upsert(dense.select("chunk_id", "type", "item_id", "title", "chunk_index", "chunk_text", "embedding"), ["chunk_text"])

@@ -91,10 +91,10 @@ def test_grouped_rank_and_value_at_rank(spark):
 
 
 def test_upsert_twice_is_once_and_last_wins(spark):
-    table = sinks.scratch_table(spark, "t")
+    table = sinks.scratch_table(spark, "t", ["id"], 4)
     new = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], "id long, v string, seq int")
-    once = sorted(map(tuple, table.upsert(new, ["id"], ["seq"]).collect()))
-    twice = sorted(map(tuple, table.upsert(new, ["id"], ["seq"]).collect()))
+    once = sorted(map(tuple, table.upsert(new, ["seq"]).collect()))
+    twice = sorted(map(tuple, table.upsert(new, ["seq"]).collect()))
     assert once == twice == [(1, "b", 2), (2, "c", 1)]
 
 
@@ -170,7 +170,7 @@ def test_upsert_reduces_incoming_duplicates(spark):
 
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "e"), (3, "d")], "k long, v string")
-    assert sorted(map(tuple, upserted(old, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "e")]
+    assert sorted(map(tuple, upserted(old, new, ["k"], ["v"]).collect())) == [(1, "a"), (2, "c"), (3, "e")]
 
 
 def test_alias_choices_score_every_item_of_a_title(spark):
@@ -191,12 +191,3 @@ def test_equal_vectors_are_cut_inside_the_block():
     block = pd.DataFrame({"q_ids": [[7, 8]], "q_vectors": [[[1.0, 0.0], [0.0, 1.0]]], "ids": [list(range(500, 0, -1))], "vectors": [[[0.6, 0.8]] * 500]})
     found = pd.concat(_block_top(3, False)(iter([block])))
     assert sorted(zip(found["q_id"], found["v_id"])) == [(q, v) for q in (7, 8) for v in (1, 2, 3)]
-
-
-def test_two_writers_never_replace_a_version(spark):
-    store = sinks.scratch_table(spark, "versions")
-    store.write(spark.range(3).toDF("k"))
-    spark.range(9).toDF("k").write.parquet(f"{store.path}/v=1/part")  # an unfinished write of another writer
-    assert store.versions() == [0]
-    assert store.write(spark.range(4).toDF("k")).count() == 4
-    assert store.versions() == [0, 2]
