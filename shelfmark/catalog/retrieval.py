@@ -37,9 +37,7 @@ def passages(t):
 
 @query("bm25_fit_a7", _BM + " SELECT term, df, n AS n_docs, round(avgdl, 6) AS avgdl FROM dfq, st")
 def bm25_fit(t):
-    docs = t.documents.select("doc_id", "text")
-    terms = SP.term_counts(docs, "doc_id", "text")
-    stats = SP.corpus_stats(docs, "text")
+    terms, stats = SP.counted(t.documents.select("doc_id", "text"), "doc_id", "text")
     return SP.document_frequency(terms).select(
         "term", "df", stats.select("n_docs").scalar().alias("n_docs"),
         F.round(stats.select("avgdl").scalar(), 6).alias("avgdl"),
@@ -48,16 +46,14 @@ def bm25_fit(t):
 
 @query("bm25_document_weights_a8", _BM + " SELECT doc AS doc_id, term, round(w, 6) AS weight FROM dw")
 def bm25_document_weights(t):
-    docs = t.documents.select("doc_id", "text")
-    weights = SP.document_weights(SP.term_counts(docs, "doc_id", "text"), SP.corpus_stats(docs, "text"))
+    weights = SP.document_weights(*SP.counted(t.documents.select("doc_id", "text"), "doc_id", "text"))
     return weights.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query("bm25_query_weights_a9", _BM + " SELECT query_id, term, round(w, 6) AS weight FROM qw")
 def bm25_query_weights(t):
-    docs = t.documents.select("doc_id", "text")
-    df_table = SP.document_frequency(SP.term_counts(docs, "doc_id", "text"))
-    out = SP.query_weights(passages(t), df_table, SP.corpus_stats(docs, "text"))
+    terms, stats = SP.counted(t.documents.select("doc_id", "text"), "doc_id", "text")
+    out = SP.query_weights(passages(t), SP.document_frequency(terms), stats)
     return out.select("query_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -80,9 +76,8 @@ def bm25_parameters(t):
     path = new_path(t.spark, "bm25")
     load_or_fit(t.spark, docs, path)
     stored = load_or_fit(t.spark, docs.limit(0), path)
-    counts = SP.term_counts(docs, "doc_id", "text")
-    postings = SP.document_weights(counts, stored.stats).withColumn("salt", F.lit(0))
-    index = SP.SparseIndex(materialize(postings, "k4-postings"), stored.df_table, stored.stats)
+    built = SP.SparseIndex.build(docs)
+    index = SP.SparseIndex(built.blocks, stored.df_table, stored.stats, built.ranges, built.buckets)
     return index.top(passages(t), 3).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 

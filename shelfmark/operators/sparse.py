@@ -1,16 +1,23 @@
-"""BM25: statistics, document and query weights, exact pruned top-k."""
+"""BM25: statistics, document and query weights, exact top-k over block-max postings."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from shelfmark.functions import lexicon as L, text as T
-from shelfmark.session import materialize, spread
+from shelfmark.session import materialize, new_path, spread
 
 from .ranking import top_k
 
-# A term whose postings exceed this many rows is spread over several salts.
-SALT_ROWS = 1_000_000
+# Documents of a range (about) and of a folder of terms; both numbers are fixed when an index is first built.
+RANGE_DOCS = 256
+BUCKET_DOCS = 50_000
+# Ranges of a query that are scored first, for a floor under its k-th best score.
+PROBE_RANGES = 4
+
+_BLOCK = "range int, term string, postings array<struct<doc:{kind},tf:int,doc_len:int>>, n long, max_tf int, min_len int, tokens long, bucket int"
 
 
 def term_counts(docs: DataFrame, doc: str, text: str, tokenize=T.tokens) -> DataFrame:
@@ -20,22 +27,18 @@ def term_counts(docs: DataFrame, doc: str, text: str, tokenize=T.tokens) -> Data
     return terms.groupBy(doc, "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
-def corpus_stats(docs: DataFrame, text: str, tokenize=T.tokens) -> DataFrame:
-    """One row: number of documents and mean token count."""
-    return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokenize(F.col(text)))).alias("avgdl"))
+def counted(docs: DataFrame, doc: str, text: str, tokenize=T.tokens) -> tuple[DataFrame, DataFrame]:
+    """Written term counts and the one-row statistics that follow from them: the text is tokenised once."""
+    counts = materialize(term_counts(docs, doc, text, tokenize), "term-counts")
+    tokens = counts.agg(F.sum("tf").alias("tokens"))
+    n_docs = docs.select(doc).agg(F.count("*").alias("n_docs"))
+    return counts, n_docs.select("n_docs", (F.coalesce(tokens.scalar(), F.lit(0)) / F.greatest("n_docs", F.lit(1))).alias("avgdl"))
 
 
 def document_frequency(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def term_table(weights: DataFrame) -> DataFrame:
-    """(term, df, max_weight, salts): frequency, largest document weight, and how far the postings are spread."""
-    return weights.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("max_weight")).withColumn(
-        "salts", F.ceil(F.col("df") / F.lit(SALT_ROWS)).cast("int")
-    )
-
-
 def document_weight(tf: Column, doc_len: Column, avgdl: Column, k1: float = L.BM25_K1, b: float = L.BM25_B) -> Column:
     return tf / (tf + k1 * (1.0 - b + b * doc_len / avgdl))
 
@@ -65,97 +68,143 @@ def query_weights(queries: DataFrame, df_table: DataFrame, stats: DataFrame, que
 
 
 class SparseIndex:
-    """Postings with document frequencies and statistics, each a plain table.
-
-    `postings`: doc, term, weight (partial document weights) and `salt`, which
-    spreads the postings of frequent terms over several join keys.
+    """Stored postings in blocks, document frequencies and totals.
+
+    `blocks`: bucket, term, range, n, max_tf, min_len, postings (doc, tf,
+    doc_len). Documents fall into ranges of about `RANGE_DOCS` by a hash of
+    their id; a block holds the postings of one term in one range, so no row and
+    no join key grows with the corpus. Folders go by a hash of the term, files
+    are sorted by term: a search reads the folders of its terms.
+
+    Raw counts are stored; weights follow from the statistics at read time. A
+    weight grows with the count and falls with the length, so the largest count
+    and the smallest length bound every weight of a block whatever the mean
+    length becomes. Blocks, frequencies and totals add up: documents that are
+    new go into further blocks of the same ranges (`append`).
     """
 
-    def __init__(self, postings: DataFrame, df_table: DataFrame, stats: DataFrame, doc: str = "doc_id"):
-        self.postings, self.df_table, self.stats, self.doc = postings, df_table, stats, doc
+    def __init__(self, blocks: DataFrame, df_table: DataFrame, stats: DataFrame, ranges: int, buckets: int, doc: str = "doc_id",
+                 path: str | None = None):
+        self.blocks, self.df_table, self.stats, self.doc = blocks, df_table, stats, doc
+        self.ranges, self.buckets, self.path = ranges, buckets, path
 
     @classmethod
-    def build(cls, docs: DataFrame, doc: str = "doc_id", text: str = "text", tokenize=T.tokens, durable: bool = True) -> "SparseIndex":
-        """Tokenise once; with `durable` the term counts and frequencies are written tables.
+    def build(cls, docs: DataFrame, doc: str = "doc_id", text: str = "text", tokenize=T.tokens, path: str | None = None) -> "SparseIndex":
+        """Index `docs` under `path` (a fresh folder of the session's own without one), which must hold no index."""
+        spark = docs.sparkSession
+        path = (path or new_path(spark, "sparse-index")).rstrip("/")
+        n = docs.select(doc).count()
+        cls._store(docs, n, doc, text, tokenize, path, max(1, -(-n // RANGE_DOCS)), 8 << (n // BUCKET_DOCS).bit_length(), "errorifexists")
+        return cls.open(spark, path)
 
-        Text is read once for the counts; the statistics come from the counts
-        plus a count of the documents without any term.
-        """
-        keep = (lambda d, name: materialize(d, name)) if durable else (lambda d, name: d)
-        counts = keep(term_counts(docs, doc, text, tokenize), "term-counts")
-        n_docs = docs.select(doc).agg(F.count("*").alias("n_docs"))
-        tokens = counts.agg(F.sum("tf").alias("tokens"))
-        stats = keep(n_docs.select("n_docs", (tokens.scalar() / F.col("n_docs")).alias("avgdl")), "stats")
-        # Raw counts are what is stored; weights follow from the statistics when postings are read.
-        weights = document_weights(counts, stats, doc)
-        df_table = keep(term_table(weights), "term-df")
-        hot = df_table.where(F.col("salts") > 1).select("term", "salts")
-        if hot.isEmpty():
-            return cls(weights.withColumn("salt", F.lit(0)), df_table, stats, doc)
-        postings = weights.join(hot, "term", "left").withColumn(
-            "salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(doc), F.col("salts"))).cast("int")
-        ).drop("salts")
-        return cls(keep(postings, "postings"), df_table, stats, doc)
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> "SparseIndex":
+        """The index stored under `path`: the parts that its totals name, so a write that failed half-way is not seen."""
+        path = path.rstrip("/")
+        rows = spark.read.parquet(f"{path}/totals")
+        named = rows.select("part", "ranges", "buckets", "doc", "kind").collect()   # one row per build or append
+        first = named[0]
+
+        def parts(table: str, schema: str) -> DataFrame:
+            folders = [f"{path}/{table}/part={row.part}" for row in named]
+            return spark.read.schema(schema).option("basePath", f"{path}/{table}").parquet(*folders).drop("part")
+
+        sums = rows.agg(F.sum("n_docs").alias("n_docs"), F.sum("tokens").alias("tokens"))
+        stats = sums.select("n_docs", (F.col("tokens") / F.greatest("n_docs", F.lit(1))).alias("avgdl"))
+        terms = parts("terms", "term string, df long, tokens long")
+        df_table = terms if len(named) == 1 else terms.groupBy("term").agg(F.sum("df").alias("df"))
+        return cls(parts("blocks", _BLOCK.format(kind=first.kind)), df_table, stats, first.ranges, first.buckets, first.doc, path)
+
+    def append(self, docs: DataFrame, text: str = "text", tokenize=T.tokens) -> "SparseIndex":
+        """Add documents whose ids the index does not hold; the index that is returned sees them."""
+        n = docs.select(self.doc).count()
+        if n:
+            self._store(docs, n, self.doc, text, tokenize, self.path, self.ranges, self.buckets, "append")
+        return self.open(docs.sparkSession, self.path)
+
+    @staticmethod
+    def _store(docs, n, doc, text, tokenize, path, ranges, buckets, mode) -> None:
+        spark, part = docs.sparkSession, uuid.uuid4().hex
+        # The texts move once, to the task of their range; counting and grouping stay there.
+        placed = docs.select(doc, text, _range_of(F.col(doc), ranges).alias("range")).repartition("range")
+        toks = placed.select(doc, "range", tokenize(F.col(text)).alias("_t"))
+        terms = T.exploded(toks.select(doc, "range", "_t", F.size("_t").alias("doc_len")), F.col("_t"), "term")
+        counts = terms.groupBy("range", doc, "term").agg(F.count("*").cast("int").alias("tf"), F.first("doc_len").alias("doc_len"))
+        blocks = counts.groupBy("range", "term").agg(
+            F.collect_list(F.struct(F.col(doc).alias("doc"), "tf", "doc_len")).alias("postings"), F.count("*").alias("n"),
+            F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), F.sum("tf").alias("tokens"),
+        ).withColumn("bucket", _bucket_of(F.col("term"), buckets))
+        # Adaptive execution splits a folder that is too large for one task.
+        blocks.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(
+            f"{path}/blocks/part={part}")
+        kind = docs.schema[doc].dataType.simpleString()
+        blocks = spark.read.schema(_BLOCK.format(kind=kind)).parquet(f"{path}/blocks/part={part}")
+        summed = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("tokens").alias("tokens"))
+        summed.write.parquet(f"{path}/terms/part={part}")
+        tokens = spark.read.schema(summed.schema).parquet(f"{path}/terms/part={part}").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+        tokens.select(
+            F.lit(n).cast("long").alias("n_docs"), "tokens", F.lit(ranges).alias("ranges"), F.lit(buckets).alias("buckets"),
+            F.lit(doc).alias("doc"), F.lit(kind).alias("kind"), F.lit(part).alias("part"),
+        ).write.mode(mode).parquet(f"{path}/totals")
 
     def query_terms(self, queries: DataFrame, query: str = "query_id", text: str = "query", tokenize=T.tokens) -> DataFrame:
+        """(query, term, df, weight, bucket) of the query terms that documents hold."""
         w = query_weights(queries, self.df_table.select("term", "df"), self.stats, query, text, tokenize)
-        return w.where(F.col("df").isNotNull()).join(self.df_table.select("term", "salts", "max_weight"), "term")
-
-    def scores(self, query_terms: DataFrame, query: str = "query_id") -> DataFrame:
-        """Dot products of every query with every document sharing one of the given terms."""
-        salted = T.exploded(query_terms, F.sequence(F.lit(0), F.col("salts") - 1), "salt").select(
-            query, "term", "salt", F.col("weight").alias("q_weight")
-        )
-        return self.postings.join(salted, ["term", "salt"]).groupBy(query, self.doc).agg(
-            F.sum(F.col("weight") * F.col("q_weight")).alias("score")
-        )
-
-    def top(self, queries: DataFrame, k: int, query: str = "query_id", text: str = "query", tokenize=T.tokens,
-            probe_terms: int = 6, margin: float = 1e-9) -> DataFrame:
-        """Exact top-k per query without scoring all documents that share a common word.
-
-        A query term adds at most its query weight times its largest document
-        weight. The documents found by the rarest terms, scored in full, give a
-        floor for the k-th best score; the terms whose bounds together stay below
-        it cannot lift a document on their own, so only documents holding one of
-        the other (essential) terms are candidates, and only those whose partial
-        score can still reach the floor are scored in full. There is a floor for
-        every query with a term that k documents hold.
+        return w.where(F.col("df").isNotNull()).withColumn("bucket", _bucket_of(F.col("term"), self.buckets))
+
+    def _weight(self, tf: str, doc_len: str) -> Column:
+        return document_weight(F.col(tf), F.col(doc_len), self.stats.select("avgdl").scalar())
+
+    def bounds(self, terms: DataFrame, query: str = "query_id") -> DataFrame:
+        """(query, range, bound): what a document of the range scores at most; blocks are read without their postings."""
+        meta = self.blocks.select("bucket", "term", "range", self._weight("max_tf", "min_len").alias("most"))
+        wanted = terms.where("bucket >= 0").select(query, "bucket", "term", "weight")
+        return meta.join(wanted, ["bucket", "term"]).groupBy(query, "range").agg(F.sum(F.col("most") * F.col("weight")).alias("bound"))
+
+    def postings(self, units: DataFrame, terms: DataFrame, query: str = "query_id") -> DataFrame:
+        """(query, doc, part of the score) of the query terms' postings in the given (query, range) units."""
+        wanted = units.select(query, "range").join(terms.select(query, "bucket", "term", F.col("weight").alias("q_weight")), query)
+        hit = self.blocks.select("bucket", "term", "range", "postings").join(wanted.where("bucket >= 0"), ["bucket", "term", "range"])
+        rows = hit.select(query, "q_weight", F.inline("postings"))
+        return rows.select(query, F.col("doc").alias(self.doc), (self._weight("tf", "doc_len") * F.col("q_weight")).alias("score"))
+
+    def scores(self, units: DataFrame, terms: DataFrame, query: str = "query_id") -> DataFrame:
+        """Full scores of the documents of the given (query, range) units that share a term with the query."""
+        return self.postings(units, terms, query).groupBy(query, self.doc).agg(F.sum("score").alias("score"))
+
+    def pair_scores(self, pairs: DataFrame, terms: DataFrame, query: str = "query_id") -> DataFrame:
+        """Full scores of (query, doc) pairs; pairs without a common term are left out."""
+        placed = pairs.select(query, self.doc, _range_of(F.col(self.doc), self.ranges).alias("range"))
+        wanted = placed.join(terms.select(query, "bucket", "term", F.col("weight").alias("q_weight")), query).where("bucket >= 0")
+        hit = self.blocks.select("bucket", "term", "range", "postings").join(wanted, ["bucket", "term", "range"])
+        own = F.filter("postings", lambda p: p["doc"] == F.col(self.doc))
+        rows = hit.select(query, self.doc, "q_weight", F.inline(own))
+        return rows.groupBy(query, self.doc).agg(F.sum(self._weight("tf", "doc_len") * F.col("q_weight")).alias("score"))
+
+    def top(self, queries: DataFrame, k: int, query: str = "query_id", text: str = "query", tokenize=T.tokens, margin: float = 2e-9) -> DataFrame:
+        """Exact top-k per query: (query, doc, score, rank), without opening blocks that cannot hold a result.
+
+        The bounds of a query's ranges come from the blocks' maxima. Its most
+        promising ranges are scored first; their k-th best score is a floor, and
+        of the rest only ranges whose bound reaches it are opened. A query
+        without k documents there keeps all its ranges.
         """
         terms = materialize(self.query_terms(queries, query, text, tokenize), "query-terms")
-        weighted = terms.select(query, "term", F.col("weight").alias("q_weight"))
-
-        def in_full(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
-            return pairs.join(wanted, query).join(self.postings, [self.doc, "term"]).select(
-                query, self.doc, (F.col("weight") * F.col("q_weight")).alias("score")
-            )
-
-        # The rarest terms up to the first that k documents hold: then the probe alone finds k documents.
-        by_rarity = Window.partitionBy(query).orderBy(F.asc("df"), F.asc("term"))
-        ranked = terms.withColumn("_r", F.row_number().over(by_rarity))
-        enough = F.min(F.when(F.col("df") >= k, F.col("_r"))).over(Window.partitionBy(query))
-        rare = ranked.withColumn("_enough", enough).where(
-            F.col("_enough").isNull() | (F.col("_r") <= F.greatest("_enough", F.lit(probe_terms)))
-        ).drop("_r", "_enough")
-        first = top_k(self.scores(rare, query), [query], [F.desc("score"), F.asc(self.doc)], k, "_r").select(query, self.doc)
-        probed = in_full(first, weighted).groupBy(query, self.doc).agg(F.sum("score").alias("score"))
-        floor = probed.groupBy(query).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-        by_bound = Window.partitionBy(query).orderBy(F.asc("_bound"), F.asc("term")).rowsBetween(Window.unboundedPreceding, 0)
-        split = materialize(
-            terms.join(floor, query, "left").withColumn("_bound", F.col("weight") * F.col("max_weight"))
-            .withColumn("_sum", F.sum("_bound").over(by_bound))
-            .withColumn("essential", F.coalesce(F.col("_sum") >= F.col("floor") - margin, F.lit(True))),
-            "query-terms-split",
-        )
-        essential = self.scores(split.where("essential"), query)
-        rest = split.where(~F.col("essential"))
-        rest_bound = rest.groupBy(query).agg(F.sum("_bound").alias("_rest"))
-        floors = split.groupBy(query).agg(F.max("floor").alias("floor")).join(rest_bound, query, "left")
-        candidates = materialize(
-            essential.join(floors, query)
-            .where(F.col("floor").isNull() | (F.col("score") + F.coalesce("_rest", F.lit(0.0)) >= F.col("floor") - margin))
-            .select(query, self.doc, "score"), "candidates",
-        )
-        extra = in_full(candidates.select(query, self.doc), rest.select(query, "term", F.col("weight").alias("q_weight")))
-        total = candidates.unionByName(extra).groupBy(query, self.doc).agg(F.sum("score").alias("score"))
-        return top_k(total, [query], [F.desc(F.round("score", 9)), F.asc(self.doc)], k)
+        bounds = materialize(self.bounds(terms, query), "range-bounds")
+        order = [F.desc(F.round("score", 9)), F.asc(self.doc)]
+        probe = top_k(bounds, [query], [F.desc("bound"), F.asc("range")], PROBE_RANGES + 4 * k // RANGE_DOCS, "_p").select(query, "range", F.lit(True).alias("_p"))
+        probe = materialize(probe, "probe-ranges")
+        first = materialize(top_k(self.scores(probe, terms, query), [query], order, k, "_r").drop("_r"), "probe-top")
+        floor = first.groupBy(query).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+        rest = bounds.join(probe, [query, "range"], "left").where("_p IS NULL").join(floor, query, "left")
+        units = rest.where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - margin)).select(query, "range")
+        found = self.scores(units, terms, query).unionByName(first)
+        return top_k(found, [query], order, k)
+
+
+def _range_of(doc: Column, ranges: int) -> Column:
+    return F.pmod(F.xxhash64(doc), F.lit(ranges)).cast("int")
+
+
+def _bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")

@@ -23,12 +23,9 @@ def load_or_fit(spark: SparkSession, docs: DataFrame, path: str, doc: str = "doc
     """Stored BM25 parameters if there are any, else fitted on `docs` and stored."""
     df_store, stat_store = KeyedTable(spark, f"{path}/df", ["term"]), KeyedTable(spark, f"{path}/stats", ["name"], 1)
     if not (df_store.exists() and stat_store.exists()):
-        counts = materialize(SP.term_counts(docs, doc, text), "fit-counts")
-        n = docs.agg(F.count("*").alias("n_docs"))
-        tokens = counts.agg(F.sum("tf").alias("t"))
-        totals = n.select(F.lit("corpus").alias("name"), "n_docs", (tokens.scalar() / F.greatest("n_docs", F.lit(1))).alias("avgdl"))
-        stats = stat_store.write(totals).drop("name")
-        df_store.write(SP.term_table(SP.document_weights(counts, stats, doc)))
+        counts, stats = SP.counted(docs, doc, text)
+        stat_store.write(stats.withColumn("name", F.lit("corpus")))
+        df_store.write(SP.document_frequency(counts))
     return SparseParameters(df_store.read(), stat_store.read().drop("name"))
 
 
@@ -44,14 +41,8 @@ def records(chunks: DataFrame, parameters: SparseParameters | None = None, encod
     parameters, or under parameters fitted on these chunks.
     """
     dense = embedded(chunks, "chunk_text", encoder=encoder)
-    counts = SP.term_counts(chunks, "chunk_id", "chunk_text")
-    if parameters is None:
-        counts = materialize(counts, "chunk-terms")
-        n = chunks.agg(F.count("*").alias("n_docs"))
-        tokens = counts.agg(F.sum("tf").alias("t"))
-        stats = n.select("n_docs", (tokens.scalar() / F.greatest("n_docs", F.lit(1))).alias("avgdl"))
-    else:
-        stats = parameters.stats
+    counts, fitted = SP.counted(chunks, "chunk_id", "chunk_text")
+    stats = fitted if parameters is None else parameters.stats
     return dense, SP.document_weights(counts, stats, "chunk_id")
 
 

@@ -48,25 +48,6 @@ def test_containment_pairs(spark):
     assert got == {(x, y) for x, y in itertools.product(words, words) if x in y or y in x}
 
 
-def test_sparse_topk_is_exact(spark, tables):
-    docs = tables.documents.select("doc_id", "text")
-    index = SP.SparseIndex.build(docs)
-    queries = tables.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    got = {(r["query_id"], r["rank"]): round(r["score"], 9) for r in index.top(queries, 7).collect()}
-    scores = index.scores(index.query_terms(queries))
-    full = R.top_k(scores, ["query_id"], [F.desc(F.round("score", 9)), "doc_id"], 7)
-    assert got == {(r["query_id"], r["rank"]): round(r["score"], 9) for r in full.collect()}
-
-
-def test_sparse_salting_changes_nothing(spark, tables, monkeypatch):
-    docs = tables.documents.select("doc_id", "text")
-    queries = tables.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    plain = [(r[0], r[1], round(r[2], 9)) for r in SP.SparseIndex.build(docs).top(queries, 5).orderBy("query_id", "rank").collect()]
-    monkeypatch.setattr(SP, "SALT_ROWS", 10)
-    salted = [(r[0], r[1], round(r[2], 9)) for r in SP.SparseIndex.build(docs).top(queries, 5).orderBy("query_id", "rank").collect()]
-    assert plain == salted
-
-
 @pytest.mark.parametrize("scale", [1.0, 5.0])
 def test_dense_topk_is_exact(spark, scale):
     rng = np.random.default_rng(7)
