@@ -101,29 +101,16 @@ def evaluation_run(t):
     return EV.summary(scored)
 
 
-@query("hit_ranks_r15_detail", f"""WITH c AS (SELECT item_id, item_id * 3 % 100 AS target FROM benchmark), t2 AS (SELECT c.item_id, target, {q.ws("split_part(d.text, chr(10), 1)")} AS tt FROM c JOIN documents d ON d.doc_id = c.target),
-r AS (SELECT t2.item_id, rank, x.doc_id, tt, target, {q.ws("split_part(d.text, chr(10), 1)")} AS title FROM t2, (VALUES (1), (2), (3), (4), (5)) v(rank), LATERAL (SELECT (t2.item_id * 3 + rank - 3) % 100 AS doc_id) x JOIN documents d ON d.doc_id = x.doc_id)
-SELECT item_id, min(CASE WHEN doc_id = target OR ({q.alnum('tt')} <> '' AND {q.alnum('title')} <> '' AND (contains({q.alnum('tt')}, {q.alnum('title')}) OR contains({q.alnum('title')}, {q.alnum('tt')}))) THEN rank END) AS hit_rank FROM r GROUP BY 1""")
-def hit_ranks(t):
-    titles = views.catalogue(t.documents).select("doc_id", T.collapse(F.col("title")).alias("title"))
-    cases = t.benchmark.select(F.col("item_id").cast("string").alias("case_id"), "item_id", (F.col("item_id") * 3 % 100).alias("target_id")).join(
-        titles.select(F.col("doc_id").alias("target_id"), F.col("title").alias("target_title")), "target_id")
-    ranks = cases.select("case_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank"), F.col("item_id").alias("k")).withColumn(
-        "doc_id", (F.col("k") * 3 + F.col("rank") - 3) % 100)
-    results = ranks.join(titles, "doc_id").select("case_id", "rank", F.col("doc_id").alias("item_id"), "title")
-    return EV.hit_ranks(cases, results).select("item_id", "hit_rank")
-
-
 @query("golden_suite_r14_whole")
 def golden_suite_whole(t):
     """Semantic, keyword and title cases."""
     return golden_cases(t).select("case_id", "medium", "query_type", "target_id", "target_title", "query")
 
 
-@query("hit_ranks_r15_whole", f"""WITH d AS (SELECT doc_id, {q.ws("split_part(text, chr(10), 1)")} AS title, row_number() OVER (ORDER BY doc_id) - 1 AS at, count(*) OVER () AS n FROM documents),
+@query("hit_ranks_r15_detail", f"""WITH d AS (SELECT doc_id, {q.ws("split_part(text, chr(10), 1)")} AS title, row_number() OVER (ORDER BY doc_id) - 1 AS at, count(*) OVER () AS n FROM documents),
 r AS (SELECT a.doc_id AS target_id, v.rank, x.doc_id, a.title AS tt, x.title FROM d a, (VALUES (1), (2), (3), (4), (5)) v(rank) JOIN d x ON x.at = (a.at * 3 + v.rank - 3 + a.n) % a.n)
 SELECT target_id, min(CASE WHEN doc_id = target_id OR ({q.alnum('tt')} <> '' AND {q.alnum('title')} <> '' AND (contains({q.alnum('tt')}, {q.alnum('title')}) OR contains({q.alnum('title')}, {q.alnum('tt')}))) THEN rank END) AS hit_rank FROM r GROUP BY 1""")
-def hit_ranks_whole(t):
+def hit_ranks(t):
     """Every document is the target of a case whose results are five documents from anywhere in the table."""
     titles = views.catalogue(t.documents).select("doc_id", T.collapse(F.col("title")).alias("title"))
     placed = materialize(global_index(titles, F.floor(F.col("doc_id") / 4096), [F.col("doc_id")], "at"), "placed-titles")

@@ -95,24 +95,16 @@ def dense_topk(t):
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("namespace_union_u1", f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, {_DOT} AS s FROM embeddings a SEMI JOIN benchmark ON benchmark.item_id = a.vec_id, embeddings b WHERE b.label IN (1, 2, 3) AND a.vec_id <> b.vec_id),
+@query("namespace_union_u1", f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, {_DOT} AS s FROM embeddings a, embeddings b WHERE b.label IS NOT NULL AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY round(s, 9) DESC, vec_id) AS rank FROM p)
 SELECT query_id, label AS namespace, vec_id, round(s, 6) AS score, rank FROM r WHERE rank <= 5""")
 def namespace_union(t):
-    """Candidates of three namespaces, each searched on its own partition; an absent one is skipped."""
-    queries = t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(
-        F.col("vec_id").alias("query_id"), "embedding"
-    )
-    vectors = t.embeddings.withColumn("namespace", F.col("label"))
-    parts = []
-    for namespace in (1, 2, 3, 999):
-        index = DenseIndex(vectors.where(F.col("namespace") == namespace), "vec_id", "embedding", n_pivots=16)
-        if index.blocks is not None:
-            parts.append(index.top(queries, 5, exclude_same_id=True).withColumn("namespace", F.lit(namespace)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("query_id", "namespace", "vec_id", F.round("score", 6).alias("score"), "rank")
+    """Candidates of every namespace for every vector, from one index; a namespace that is absent is skipped."""
+    vectors = t.embeddings.withColumnRenamed("label", "namespace")
+    index = DenseIndex(vectors, "vec_id", "embedding", "namespace")
+    asked = vectors.agg(F.array_append(F.collect_set("namespace"), F.lit(-999)))
+    queries = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding", F.explode(asked.scalar()).alias("namespace"))
+    return index.top(queries, 5, exclude_same_id=True).withColumn("score", F.round("score", 6))
 
 
 # --- chunks and the blended search --------------------------------------------
@@ -195,12 +187,12 @@ def hybrid_search(t):
     return out.select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("blend_weight_x30", f"""SELECT item_id AS query_id, CASE WHEN len({q.qtoks("r")}) <= 2 THEN 0.60 ELSE 0.35 END AS alpha FROM
-(SELECT item_id, {q.toks("array_to_string(list_slice(string_split(text, ' '), 1, CAST(1 + item_id % 5 AS INT)), ' ')")} AS r FROM benchmark)""")
+@query("blend_weight_x30", f"""WITH {views.windows_sql(5)} SELECT item_id AS query_id, nth, CASE WHEN len({q.qtoks("r")}) <= 2 THEN 0.60 ELSE 0.35 END AS alpha
+FROM (SELECT item_id, nth, {q.toks("c")} AS r FROM win)""")
 def blend_weight(t):
-    words = F.array_join(F.slice(F.split("text", " "), F.lit(1), (F.col("item_id") % 5 + 1).cast("int")), " ")
-    rows = t.benchmark.select(F.col("item_id").alias("query_id"), T.query_tokens(T.tokens(words)).alias("tk"))
-    return rows.select("query_id", SIM.blend_weight(F.col("tk"), F.lit(False)).alias("alpha"))
+    """The weight of every window of one to five words of every passage."""
+    rows = views.word_windows(t.benchmark, 5).select(F.col("item_id").alias("query_id"), "nth", T.query_tokens(T.tokens(F.col("c"))).alias("tk"))
+    return rows.select("query_id", "nth", SIM.blend_weight(F.col("tk"), F.lit(False)).alias("alpha"))
 
 
 @query("convex_scaling_x31", """SELECT event_id, round(a * value + (1 - a) * user_id, 6) AS score FROM
@@ -371,27 +363,3 @@ def external_order(t):
     )).alias("pos", "candidate"))
     rows = _passage_results(t)
     return RES.externally_ordered(rows, order, ["query_id"], 8).select("query_id", "item_id", "rank")
-
-
-# --- whole jobs beside statements that state a smaller one ----------------------
-
-@query("namespace_union_u1_whole", f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, {_DOT} AS s FROM embeddings a, embeddings b WHERE b.label IS NOT NULL AND a.vec_id <> b.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY round(s, 9) DESC, vec_id) AS rank FROM p)
-SELECT query_id, label AS namespace, vec_id, round(s, 6) AS score, rank FROM r WHERE rank <= 5""")
-def namespace_union_whole(t):
-    """Candidates of every namespace present, for every vector."""
-    queries = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
-    found = None
-    for (namespace,) in t.embeddings.select("label").where("label IS NOT NULL").distinct().orderBy("label").collect():
-        index = DenseIndex(t.embeddings.where(F.col("label") == namespace), "vec_id", "embedding", n_pivots=16)
-        part = index.top(queries, 5, exclude_same_id=True).withColumn("namespace", F.lit(namespace))
-        found = part if found is None else found.unionByName(part)
-    return found.select("query_id", "namespace", "vec_id", F.round("score", 6).alias("score"), "rank")
-
-
-@query("blend_weight_x30_whole", f"""WITH {views.windows_sql(5)} SELECT item_id AS query_id, nth, CASE WHEN len({q.qtoks("r")}) <= 2 THEN 0.60 ELSE 0.35 END AS alpha
-FROM (SELECT item_id, nth, {q.toks("c")} AS r FROM win)""")
-def blend_weight_whole(t):
-    """The weight of every window of one to five words of every passage."""
-    rows = views.word_windows(t.benchmark, 5).select(F.col("item_id").alias("query_id"), "nth", T.query_tokens(T.tokens(F.col("c"))).alias("tk"))
-    return rows.select("query_id", "nth", SIM.blend_weight(F.col("tk"), F.lit(False)).alias("alpha"))

@@ -14,8 +14,8 @@ from .ranking import top_k
 # Documents of a range (about) and of a folder of terms; both numbers are fixed when an index is first built.
 RANGE_DOCS = 256
 BUCKET_DOCS = 50_000
-# Ranges of a query that are scored first, for a floor under its k-th best score.
-PROBE_RANGES = 4
+# Share of a query's bound in a range that the blocks set aside may add up to: more opens fewer blocks, but more documents need lookups.
+ASIDE = 0.05
 
 _BLOCK = "range int, term string, postings array<struct<doc:{kind},tf:int,doc_len:int>>, n long, max_tf int, min_len int, tokens long, bucket int"
 
@@ -155,51 +155,80 @@ class SparseIndex:
     def _weight(self, tf: str, doc_len: str) -> Column:
         return document_weight(F.col(tf), F.col(doc_len), self.stats.select("avgdl").scalar())
 
+    def holding(self, terms: DataFrame) -> "SparseIndex":
+        """The part of the index that holds the given terms, written: the one pass over the stored blocks, in the folders of the terms."""
+        wanted = terms.where("bucket >= 0").select("bucket", "term").distinct()
+        held = materialize(self.blocks.join(wanted, ["bucket", "term"], "left_semi"), "query-blocks")
+        return SparseIndex(held, self.df_table, self.stats, self.ranges, self.buckets, self.doc)
+
     def bounds(self, terms: DataFrame, query: str = "query_id") -> DataFrame:
-        """(query, range, bound): what a document of the range scores at most; blocks are read without their postings."""
-        meta = self.blocks.select("bucket", "term", "range", self._weight("max_tf", "min_len").alias("most"))
-        wanted = terms.where("bucket >= 0").select(query, "bucket", "term", "weight")
-        return meta.join(wanted, ["bucket", "term"]).groupBy(query, "range").agg(F.sum(F.col("most") * F.col("weight")).alias("bound"))
-
-    def postings(self, units: DataFrame, terms: DataFrame, query: str = "query_id") -> DataFrame:
-        """(query, doc, part of the score) of the query terms' postings in the given (query, range) units."""
-        wanted = units.select(query, "range").join(terms.select(query, "bucket", "term", F.col("weight").alias("q_weight")), query)
-        hit = self.blocks.select("bucket", "term", "range", "postings").join(wanted.where("bucket >= 0"), ["bucket", "term", "range"])
-        rows = hit.select(query, "q_weight", F.inline("postings"))
-        return rows.select(query, F.col("doc").alias(self.doc), (self._weight("tf", "doc_len") * F.col("q_weight")).alias("score"))
-
-    def scores(self, units: DataFrame, terms: DataFrame, query: str = "query_id") -> DataFrame:
-        """Full scores of the documents of the given (query, range) units that share a term with the query."""
-        return self.postings(units, terms, query).groupBy(query, self.doc).agg(F.sum("score").alias("score"))
+        """(query, bucket, term, range, weight, n, most): what a query term adds at most to a document of a range that n documents
+        hold it in; blocks are read without their postings."""
+        meta = self.blocks.select("bucket", "term", "range", "n", self._weight("max_tf", "min_len").alias("_most"))
+        joined = meta.join(terms.where("bucket >= 0").select(query, "bucket", "term", "weight"), ["bucket", "term"])
+        return joined.select(query, "bucket", "term", "range", "weight", "n", (F.col("_most") * F.col("weight")).alias("most"))
+
+    def postings(self, wanted: DataFrame, query: str = "query_id") -> DataFrame:
+        """(query, range, doc, score): what the postings of (query, bucket, term, weight) add, of the given ranges if there is a column `range`."""
+        keys = ["bucket", "term", *(["range"] if "range" in wanted.columns else [])]
+        side = wanted.where("bucket >= 0").select(query, *keys, F.col("weight").alias("_w"))
+        hit = self.blocks.select("bucket", "term", "range", "postings").join(side, keys)
+        rows = hit.select(query, "range", "_w", F.inline("postings"))
+        return rows.select(query, "range", F.col("doc").alias(self.doc), (self._weight("tf", "doc_len") * F.col("_w")).alias("score"))
+
+    def scores(self, terms: DataFrame, query: str = "query_id") -> DataFrame:
+        """Scores of all documents that share a term with a query."""
+        return self.postings(terms.select(query, "bucket", "term", "weight"), query).groupBy(query, self.doc).agg(F.sum("score").alias("score"))
+
+    def _found(self, wanted: DataFrame, query: str) -> DataFrame:
+        """(query, doc, score) of the postings of (query, doc, range, bucket, term, weight), one looked up in each block."""
+        side = wanted.where("bucket >= 0").select(query, self.doc, "range", "bucket", "term", F.col("weight").alias("_w"))
+        hit = self.blocks.select("bucket", "term", "range", "postings").join(side, ["bucket", "term", "range"])
+        own = hit.select(query, self.doc, "_w", F.inline(F.filter("postings", lambda p: p["doc"] == F.col(self.doc))))
+        return own.select(query, self.doc, (self._weight("tf", "doc_len") * F.col("_w")).alias("score"))
 
     def pair_scores(self, pairs: DataFrame, terms: DataFrame, query: str = "query_id") -> DataFrame:
         """Full scores of (query, doc) pairs; pairs without a common term are left out."""
         placed = pairs.select(query, self.doc, _range_of(F.col(self.doc), self.ranges).alias("range"))
-        wanted = placed.join(terms.select(query, "bucket", "term", F.col("weight").alias("q_weight")), query).where("bucket >= 0")
-        hit = self.blocks.select("bucket", "term", "range", "postings").join(wanted, ["bucket", "term", "range"])
-        own = F.filter("postings", lambda p: p["doc"] == F.col(self.doc))
-        rows = hit.select(query, self.doc, "q_weight", F.inline(own))
-        return rows.groupBy(query, self.doc).agg(F.sum(self._weight("tf", "doc_len") * F.col("q_weight")).alias("score"))
+        wanted = placed.join(terms.select(query, "bucket", "term", "weight"), query)
+        return self._found(wanted, query).groupBy(query, self.doc).agg(F.sum("score").alias("score"))
 
     def top(self, queries: DataFrame, k: int, query: str = "query_id", text: str = "query", tokenize=T.tokens, margin: float = 2e-9) -> DataFrame:
-        """Exact top-k per query: (query, doc, score, rank), without opening blocks that cannot hold a result.
-
-        The bounds of a query's ranges come from the blocks' maxima. Its most
-        promising ranges are scored first; their k-th best score is a floor, and
-        of the rest only ranges whose bound reaches it are opened. A query
-        without k documents there keeps all its ranges.
+        """Exact top-k per query: (query, doc, score, rank), opening few blocks of the terms that many documents hold.
+
+        In every range the terms that add little and that many documents hold
+        are set aside, as long as their bounds together stay below a share of
+        what the query could score in its best range. The blocks of the other terms are
+        opened once. A document's score so far is a floor under its full score,
+        so the k-th best of them is one under the query's k-th best result; only
+        documents whose score and the bounds set aside reach it are completed,
+        by lookups in the blocks set aside. The result does not depend on the share.
         """
         terms = materialize(self.query_terms(queries, query, text, tokenize), "query-terms")
-        bounds = materialize(self.bounds(terms, query), "range-bounds")
         order = [F.desc(F.round("score", 9)), F.asc(self.doc)]
-        probe = top_k(bounds, [query], [F.desc("bound"), F.asc("range")], PROBE_RANGES + 4 * k // RANGE_DOCS, "_p").select(query, "range", F.lit(True).alias("_p"))
-        probe = materialize(probe, "probe-ranges")
-        first = materialize(top_k(self.scores(probe, terms, query), [query], order, k, "_r").drop("_r"), "probe-top")
-        floor = first.groupBy(query).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-        rest = bounds.join(probe, [query, "range"], "left").where("_p IS NULL").join(floor, query, "left")
-        units = rest.where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - margin)).select(query, "range")
-        found = self.scores(units, terms, query).unionByName(first)
-        return top_k(found, [query], order, k)
+        unit = Window.partitionBy(query, "range")
+        cheapest = unit.orderBy(F.col("most") / F.col("n"), "term").rowsBetween(Window.unboundedPreceding, 0)
+        held = self.holding(terms)
+        bounds = held.bounds(terms, query)
+        best_range = bounds.groupBy(query, "range").agg(F.sum("most").alias("most")).groupBy(query).agg(F.max("most").alias("best_range"))
+        opened = F.sum("most").over(cheapest) > ASIDE * F.col("best_range")
+        units = materialize(bounds.join(best_range, query).withColumn("open", opened), "query-units")
+        aside = units.where("NOT open").groupBy(query, "range").agg(F.sum("most").alias("aside"))
+        partial = materialize(held.postings(units.where("open"), query).groupBy(query, "range", self.doc).agg(F.sum("score").alias("score")), "partial-scores")
+        best = top_k(partial, [query], [F.desc("score"), F.asc(self.doc)], k, "_r")
+        floor = best.groupBy(query).agg(F.when(F.count("*") >= k, F.min("score") - margin).alias("floor"))
+        could = F.col("floor").isNull() | (F.col("score") + F.coalesce("aside", F.lit(0.0)) >= F.col("floor"))
+        found = materialize(
+            partial.join(floor, query, "left").join(aside, [query, "range"], "left").where(could).select(query, "range", self.doc, "score"), "candidates"
+        )
+        closed = units.where("NOT open").select(query, "range", "bucket", "term", "weight")
+        rest = held._found(found.select(query, "range", self.doc).join(closed, [query, "range"]), query)
+        # Ranges where set-aside terms alone could make a result: their documents that no opened block holds.
+        low = aside.join(floor, query, "left").where("floor IS NULL OR aside >= floor").select(query, "range")
+        lone = held.postings(closed.join(low, [query, "range"], "left_semi"), query).join(partial, [query, "range", self.doc], "left_anti").select(
+            query, self.doc, "score")
+        total = found.select(query, self.doc, "score").unionByName(rest).unionByName(lone).groupBy(query, self.doc).agg(F.sum("score").alias("score"))
+        return top_k(total, [query], order, k)
 
 
 def _range_of(doc: Column, ranges: int) -> Column:

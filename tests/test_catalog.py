@@ -75,16 +75,16 @@ def test_against_statement(spark, name):
     assert sorted(str([cell(row[c]) for c in columns]) for row in got.collect()) == want
 
 
-@pytest.mark.parametrize("name", ["namespace_union_u1_whole", "blend_weight_x30_whole", "hit_ranks_r15_whole"])
+@pytest.mark.parametrize("name", ["namespace_union_u1", "blend_weight_x30", "hit_ranks_r15_detail"])
 def test_whole_jobs_against_statement(spark, name):
     test_against_statement(spark, name)
 
 
 def test_whole_jobs_read_every_row(spark, tables):
-    vectors, found = tables.embeddings.collect(), catalog.bind("namespace_union_u1_whole")(spark, FOLDER).collect()
+    vectors, found = tables.embeddings.collect(), catalog.bind("namespace_union_u1")(spark, FOLDER).collect()
     assert {r.query_id for r in found} == {r.vec_id for r in vectors} and {r.namespace for r in found} == {r.label for r in vectors}
     ids = {r.doc_id: r.text for r in tables.documents.collect()}
-    assert {r.target_id for r in catalog.bind("hit_ranks_r15_whole")(spark, FOLDER).collect()} == set(ids)
+    assert {r.target_id for r in catalog.bind("hit_ranks_r15_detail")(spark, FOLDER).collect()} == set(ids)
     # X8: names are the pairs of words of whole first lines; the first pair gives what the narrow query gives.
     whole = {r.doc_id: (r.aliases or "").split("; ") for r in catalog.bind("name_aliases_x8_whole")(spark, FOLDER).collect()}
     assert set(whole) == set(ids)

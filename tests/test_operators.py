@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import similarity as SIM, text as T, titles as TT
 from shelfmark.operators import blocking as B, chapters as C, evaluation as EV, matching as M, pages as PG, ranking as R, sparse as SP
-from shelfmark.operators.dense import DenseIndex
 from shelfmark.sources import readers, sinks
 from shelfmark.streaming import jobs as Z
 
@@ -48,20 +47,6 @@ def test_containment_pairs(spark):
     assert got == {(x, y) for x, y in itertools.product(words, words) if x in y or y in x}
 
 
-@pytest.mark.parametrize("scale", [1.0, 5.0])
-def test_dense_topk_is_exact(spark, scale):
-    rng = np.random.default_rng(7)
-    m = rng.normal(size=(300, 8)) * scale
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, v array<double>")
-    index = DenseIndex(df, "id", "v", n_pivots=12, block_rows=16)
-    got = index.top(df.select(F.col("id").alias("query_id"), F.col("v").alias("embedding")), 5, exclude_same_id=True).collect()
-    s = m @ m.T
-    np.fill_diagonal(s, -np.inf)
-    for r in got:
-        assert np.argsort(-s[r["query_id"]], kind="stable")[r["rank"] - 1] == r["vec_id"]
-    assert len(got) == 1500
-
-
 def test_grouped_rank_and_value_at_rank(spark):
     rows = [("hot", i % 97) for i in range(500)] + [("cold", 3), (None, 1)]
     df = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(rows)], "id long, k string, v long")
@@ -162,13 +147,3 @@ def test_alias_choices_score_every_item_of_a_title(spark):
         [(1, 0, "Blue Bolt"), (2, 0, "Blue Bolt"), (2, 1, "Thunder Garden Saga")], "item_id long, pos int, title string"
     )
     assert [(r.item_id, round(r.score, 6)) for r in alias_choices(queries, titles).collect()] == [(2, 1.0)]
-
-
-def test_equal_vectors_are_cut_inside_the_block():
-    import pandas as pd
-
-    from shelfmark.operators.dense import _block_top
-
-    block = pd.DataFrame({"q_ids": [[7, 8]], "q_vectors": [[[1.0, 0.0], [0.0, 1.0]]], "ids": [list(range(500, 0, -1))], "vectors": [[[0.6, 0.8]] * 500]})
-    found = pd.concat(_block_top(3, False)(iter([block])))
-    assert sorted(zip(found["q_id"], found["v_id"])) == [(q, v) for q in (7, 8) for v in (1, 2, 3)]

@@ -56,31 +56,36 @@ def test_topk_against_brute_force(frames, corpus, monkeypatch, k, range_docs):
     assert rows(SP.SparseIndex.build(docs).top(queries, k)) == brute(*corpus, k)
 
 
+@pytest.mark.parametrize("aside", [0.0, 0.3, 0.9, 1.0])
+def test_topk_does_not_depend_on_what_is_set_aside(frames, corpus, monkeypatch, aside):
+    monkeypatch.setattr(SP, "RANGE_DOCS", 16)
+    monkeypatch.setattr(SP, "ASIDE", aside)
+    docs, queries = frames
+    assert rows(SP.SparseIndex.build(docs).top(queries, 6)) == brute(*corpus, 6)
+
+
 def test_blocks_that_cannot_win_stay_closed(frames, monkeypatch):
     monkeypatch.setattr(SP, "RANGE_DOCS", 8)
     docs, queries = frames
-    index = SP.SparseIndex.build(docs)
+    index, one = SP.SparseIndex.build(docs), queries.where("query_id = 1")
     opened = []
     plain = SP.SparseIndex.postings
-    monkeypatch.setattr(SP.SparseIndex, "postings", lambda self, units, terms, query="query_id": opened.append((units, terms)) or plain(self, units, terms, query))
-    index.top(queries.where("query_id = 1"), 3).collect()
-    terms = index.query_terms(queries.where("query_id = 1"))
-    every = plain(index, index.bounds(terms).select("query_id", "range"), terms).count()
-    used = sum(plain(index, units, t).count() for units, t in opened)
-    assert used < every / 2
+    monkeypatch.setattr(SP.SparseIndex, "postings", lambda self, wanted, query="query_id": opened.append(wanted) or plain(self, wanted, query))
+    index.top(one, 3).collect()
+    every = plain(index, index.query_terms(one)).count()
+    assert sum(plain(index, wanted).count() for wanted in opened) < every / 5
 
 
-def test_plan_reads_folders_of_its_terms_and_bounds_without_postings(frames):
+def test_one_pass_over_the_folders_of_the_terms(frames, monkeypatch):
     docs, queries = frames
     index = SP.SparseIndex.build(docs)
-    terms = SP.materialize(index.query_terms(queries), "terms")
-    bounds = index.bounds(terms)._jdf.queryExecution().toString()
-    assert "dynamicpruning" in bounds.lower()
-    scan = re.search(r"FileScan parquet [^\n]*max_tf[^\n]*", bounds).group()
-    assert "postings" not in scan
-    units = SP.materialize(index.bounds(terms).select("query_id", "range"), "units")
-    opened = index.postings(units, terms)._jdf.queryExecution().toString()
-    assert len(re.findall(r"FileScan parquet [^\n]*postings", opened)) == 1
+    plans = []
+    plain = SP.materialize
+    monkeypatch.setattr(SP, "materialize", lambda df, name: plans.append((name, df._jdf.queryExecution().toString())) or plain(df, name))
+    plans.append(("result", index.top(queries, 3)._jdf.queryExecution().toString()))
+    reads = [(name, scan) for name, plan in plans for scan in re.findall(r"FileScan parquet [^\n]*", plan.split("== Physical Plan ==")[1])
+             if re.search(r"PartitionFilters: \[[^\]]*bucket", scan)]
+    assert len(reads) == 1 and reads[0][0] == "query-blocks" and "dynamicpruning" in reads[0][1].lower()
 
 
 def test_append_equals_a_rebuild(spark, frames):
