@@ -27,6 +27,7 @@ from pyspark.sql.functions import pandas_udf
 
 BUCKETS = 1 << 16
 SAMPLE = 400
+SHARES = 16
 UNKNOWN = "und"
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
@@ -105,8 +106,12 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
 def sample_of(rows: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """The bounded training sample: (language, features, counts), in a fixed order."""
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").distinct().withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= SAMPLE)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    # First within shares of a language, so that one language is no single task: the second step sees SHARES * SAMPLE ids of it at most.
+    shared = rows.select("doc_id", "lang").distinct().withColumn("_share", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARES)))
+    within = F.row_number().over(Window.partitionBy("lang", "_share").orderBy(*order))
+    kept = shared.withColumn("_k", within).where(F.col("_k") <= SAMPLE).drop("_k", "_share")
+    ids = kept.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_k") <= SAMPLE)
     ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "_k")
     # At most SAMPLE ids per language to be told apart: a bound for the hint.
     chosen = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
