@@ -8,7 +8,7 @@ from shelfmark.functions import lexicon as L, sections as S, similarity as SIM,
 from shelfmark.operators import corpus as C, lexicon as LEX, ranking as R, results as RES, sparse as SP
 from shelfmark.operators.dense import DenseIndex, dot, embedded
 from shelfmark.plans import search as P
-from shelfmark.session import materialize, spread
+from shelfmark.session import materialize, new_path, spread
 
 from . import query, sql as q, views
 from .sql import CAT, LAB
@@ -65,12 +65,20 @@ def sparse_topk(t):
     return index.top(passages(t), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("stored_search_r9_r2", _BM + """ SELECT query_id, doc AS doc_id, round(score, 6) AS score, rank FROM
+(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) AS rank FROM sc) WHERE rank <= 10""")
+def stored_search(t):
+    """An index stored for the labelled documents, the others synced into it as a delta, opened again and searched."""
+    docs, known, path = t.documents.select("doc_id", "text"), t.labels.select("doc_id"), new_path(t.spark, "stored-index")
+    SP.SparseIndex.build(docs.join(known, "doc_id", "left_semi"), path=path).append(docs.join(known, "doc_id", "left_anti"))
+    return SP.SparseIndex.open(t.spark, path).top(passages(t), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("bm25_parameters_k4", _BM + """, s2 AS (SELECT * FROM st) SELECT query_id, doc AS doc_id, round(score, 6) AS score FROM
 (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) AS rank FROM sc) WHERE rank <= 3""")
 def bm25_parameters(t):
     """Fit once, store the parameters, reload them, and query with the reloaded ones."""
     from shelfmark.plans.corpus import load_or_fit
-    from shelfmark.session import new_path
 
     docs = t.documents.select("doc_id", "text")
     path = new_path(t.spark, "bm25")
