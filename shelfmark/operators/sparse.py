@@ -166,7 +166,10 @@ class SparseIndex:
         hold it in; blocks are read without their postings."""
         meta = self.blocks.select("bucket", "term", "range", "n", self._weight("max_tf", "min_len").alias("_most"))
         joined = meta.join(terms.where("bucket >= 0").select(query, "bucket", "term", "weight"), ["bucket", "term"])
-        return joined.select(query, "bucket", "term", "range", "weight", "n", (F.col("_most") * F.col("weight")).alias("most"))
+        # One row per term and range, of however many appended blocks; dealt by range for what follows.
+        return joined.repartition(query, "range").groupBy(query, "bucket", "term", "range", "weight").agg(
+            F.sum("n").alias("n"), (F.max("_most") * F.col("weight")).alias("most")
+        )
 
     def postings(self, wanted: DataFrame, query: str = "query_id") -> DataFrame:
         """(query, range, doc, score): what the postings of (query, bucket, term, weight) add, of the given ranges if there is a column `range`."""
