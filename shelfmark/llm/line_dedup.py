@@ -9,15 +9,20 @@ Two lines within one word edit share a whole half: the words before the middle
 or those after it. So only lines that share a half with a different line emit
 their deletion neighbourhood: every way to take one word, or none, out of the
 other half, as hashed keys of (half, words left of the gap, words right of it).
-Lines under one such key are within one edit by construction, which the key
-verifies word for word; each but the earliest is dropped. Groups are reduced by
-aggregates that are joined back, never gathered, so a key may hold any share of
-the rows.
+The keys of a line come from running hashes of its words, so their number and
+cost grow with the length of the line. Lines that meet under a key are compared
+word by word with the earliest of it, and dropped if one edit apart. Groups are
+reduced by aggregates that are joined back, never gathered, so a key may hold
+any share of the rows.
+
+A text is known by its `doc_id` and a hash of it, so an id that repeats is no
+join key of its own.
 
 Only DataFrame functions run here. Defined cases: a null text stays null and an
 empty text is one blank line; rows whose `doc_id` is null take no part and stay
-as they are; rows that repeat a `doc_id` share its positions, and a position is
-kept if it is first for any of them; an empty table gives an empty table;
+as they are; rows that repeat a `doc_id` with different texts are documents of
+their own, in the order of the hash of their text; rows equal in `doc_id` and
+text are one document and change alike; an empty table gives an empty table;
 further columns pass through whatever their names.
 """
 
@@ -25,9 +30,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfmark.functions.text import let
 from shelfmark.session import materialize
 
 MIN_WORDS = 4
+CHUNK = 1000  # words over which running hashes are built at a time
+TEXT = ["doc_id", "row"]
+LINE = [*TEXT, "line_no"]
 
 
 def _words_in(line: Column) -> Column:
@@ -43,13 +52,20 @@ def _key(side: str, words: Column, n: Column) -> Column:
     return F.xxhash64(words, F.lit(side), n)
 
 
+def _texts(documents: DataFrame) -> DataFrame:
+    """(doc_id, row, text): the rows that take part; `row` tells the texts of one id apart."""
+    rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    return rows.select("doc_id", F.xxhash64("text").alias("row"), "text")
+
+
+def _collapsed(raw: Column) -> Column:
+    return F.trim(F.regexp_replace(raw, r"[\x20\x09-\x0D]+", " "))
+
+
 def lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, n): the non-blank lines, white space collapsed, with their word count."""
-    rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
-        "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "_raw")
-    )
-    line = F.trim(F.regexp_replace("_raw", r"[\x20\x09-\x0D]+", " "))
-    return rows.select("doc_id", "line_no", line.alias("line")).where("line != ''").withColumn("n", _words_in(F.col("line")))
+    """(doc_id, row, line_no, line, n): the non-blank lines, white space collapsed, with their word count."""
+    rows = _texts(documents).select(*TEXT, F.posexplode(F.split("text", "\n")).alias("line_no", "_raw"))
+    return rows.select(*LINE, _collapsed(F.col("_raw")).alias("line")).where("line != ''").withColumn("n", _words_in(F.col("line")))
 
 
 def _halves(rows: DataFrame) -> DataFrame:
@@ -72,11 +88,11 @@ def _halves(rows: DataFrame) -> DataFrame:
 def first_lines(documents: DataFrame) -> DataFrame:
     """(n, p, s, x, pos): every distinct line with its earliest position."""
     rows = _halves(lines(documents))
-    return rows.groupBy("n", "p", "s", "x").agg(F.min(F.struct("doc_id", "line_no")).alias("pos"))
+    return rows.groupBy("n", "p", "s", "x").agg(F.min(F.struct(*LINE)).alias("pos"))
 
 
 def _sharing(firsts: DataFrame) -> DataFrame:
-    """(doc_id, line_no, key, side, size): halves that a line shares with a different line."""
+    """(doc_id, row, line_no, key, side, size): halves that a line shares with a different line."""
     even = F.col("n") % 2 == 0
     h = F.expr("n div 2").cast("int")
     entry = [
@@ -87,55 +103,110 @@ def _sharing(firsts: DataFrame) -> DataFrame:
             F.when(even, h - 1).otherwise(F.col("n") - h - 1).alias("size"),
         ),
     ]
-    posts = firsts.where(F.col("n") >= MIN_WORDS).select("pos.doc_id", "pos.line_no", F.inline(F.array(*entry)))
+    posts = firsts.where(F.col("n") >= MIN_WORDS).select("pos.*", F.inline(F.array(*entry)))
     shared = posts.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1").select("key")
     return posts.join(shared, "key")
 
 
-def _neighbourhood(documents: DataFrame, sharing: DataFrame) -> DataFrame:
-    """(key, doc_id, line_no): the hashed deletion variants of the other half of each sharing line."""
-    wanted = sharing.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "key", "side", "size")).alias("_w"))
-    texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    rows = (
-        texts.join(wanted, "doc_id")
-        .select("doc_id", F.split("text", "\n").alias("_lines"), F.explode("_w").alias("_e"))
-        .select("doc_id", "_e.*", F.get("_lines", F.col("_e.line_no")).alias("_raw"))
-        .withColumn("_words", F.split(F.trim(F.regexp_replace("_raw", r"[\x20\x09-\x0D]+", " ")), " "))
-    )
-    w, k = F.col("_words"), F.col("size")
-    total = F.size(w)
-    head, tail = F.slice(w, 1, k), F.slice(w, total - k + 1, k)
-    mine = F.when(F.col("side") == "p", head).otherwise(tail)
-    rest = F.when(F.col("side") == "p", F.slice(w, k + 1, total - k)).otherwise(F.slice(w, 1, total - k))
-    rows = rows.where(total >= k).select(
-        "doc_id", "line_no", "key", rest.alias("_rest"),
-        (_key("p", F.array_join(mine, " "), k) == F.col("key")).alias("_p"),
-        (_key("s", F.array_join(mine, " "), k) == F.col("key")).alias("_s"),
-    ).where(F.col("_p") | F.col("_s"))  # of rows that share a doc_id, only the text the key came from
-    cut = rows.select("doc_id", "line_no", "key", "_rest", F.explode(F.sequence(F.lit(0), F.size("_rest"))).alias("_at"))
-    r, at = F.col("_rest"), F.col("_at")
-    left = F.array_join(F.slice(r, 1, at), " ")
-    # Nothing taken out at a gap, or the word that follows it.
-    whole = F.array_join(F.slice(r, at + 1, F.size(r)), " ")
-    taken = F.array_join(F.slice(r, at + 2, F.size(r)), " ")
-    size = F.size(r)
-    variants = F.array(
-        F.xxhash64("key", left, whole, at, size - at),
-        F.when(at < size, F.xxhash64("key", left, taken, at, size - at - 1)),
-    )
-    return cut.select("doc_id", "line_no", F.explode(variants).alias("key")).where("key IS NOT NULL")
+def _shared_lines(documents: DataFrame, sharing: DataFrame) -> DataFrame:
+    """(doc_id, row, line_no, words, halves): the lines that share halves, with those halves (three at most)."""
+    by_line = sharing.repartition(*TEXT).groupBy(*LINE).agg(F.collect_list(F.struct("key", "side", "size")).alias("halves"))
+    wanted = by_line.groupBy(*TEXT).agg(F.collect_list(F.struct("line_no", "halves")).alias("_w"))
+    texts = _texts(documents).groupBy(*TEXT).agg(F.first("text").alias("text"))
+    rows = texts.join(wanted, TEXT).select(*TEXT, F.split("text", "\n").alias("_lines"), F.explode("_w").alias("_e"))
+    line = _collapsed(F.get("_lines", F.col("_e.line_no")))
+    return rows.select(*TEXT, "_e.line_no", F.split(line, " ").alias("words"), "_e.halves")
+
+
+def _running(hashes: Column) -> Column:
+    """The hashes of the first 0, 1, ... elements, each combined by exclusive or."""
+    zero = F.array(F.lit(0).cast("long"))
+    return F.aggregate(hashes, zero, lambda done, h: F.array_append(done, F.element_at(done, -1).bitwiseXOR(h)))
+
+
+def _prefix_hashes(hashes: Column) -> Column:
+    """`_running`, chunk by chunk for long arrays, which appending would copy over and over."""
+    def chunked(h: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(h) - 1) / CHUNK).cast("int"))
+        parts = F.transform(numbers, lambda c: _running(F.slice(h, c * CHUNK + 1, CHUNK)))
+
+        def shifted(p: Column) -> Column:
+            before = _running(F.transform(p, lambda x: F.element_at(x, -1)))
+            own = let(before, lambda b: F.transform(p, lambda x, c: F.transform(
+                F.slice(x, 2, CHUNK), lambda v: v.bitwiseXOR(F.get(b, c)))))
+            return F.concat(F.array(F.lit(0).cast("long")), F.flatten(own))
+
+        return let(parts, shifted)
+
+    return let(hashes, lambda h: F.when(F.size(h) <= CHUNK, _running(h)).otherwise(chunked(h)))
+
+
+def _variants(key: Column, rest: Column) -> Column:
+    """Hashed keys of `rest` with nothing taken out at each gap, and with the word that follows the gap taken out."""
+    def keys(r: Column, m: Column) -> Column:
+        left = _prefix_hashes(F.transform(r, lambda w, i: F.xxhash64(w, i)))
+        # Words right of a gap are numbered from the end, so that taking one out does not renumber them.
+        right = _prefix_hashes(F.transform(r, lambda w, i: F.xxhash64(w, i - m)))
+
+        def at_gaps(p: Column, s: Column) -> Column:
+            after = lambda i: F.get(s, m).bitwiseXOR(F.get(s, i))
+            return F.flatten(F.transform(F.sequence(F.lit(0), m), lambda i: F.array(
+                F.xxhash64(key, F.get(p, i), after(i), i, m - i),
+                F.when(i < m, F.xxhash64(key, F.get(p, i), after(i + 1), i, m - i - 1)),
+            )))
+
+        return let(left, lambda p: let(right, lambda s: at_gaps(p, s)))
+
+    return let(rest, lambda r: keys(r, F.size(r)))
+
+
+def _neighbourhood(shared: DataFrame) -> DataFrame:
+    """(key, doc_id, row, line_no): the hashed deletion variants of the other half of each shared half."""
+    rows = shared.select(*LINE, "words", F.inline("halves"))
+    w, k, total = F.col("words"), F.col("size"), F.size("words")
+    rest = F.when(F.col("side") == "p", F.slice(w, k + 1, total - k)).otherwise(F.slice(w, F.lit(1), total - k))
+    return rows.select(*LINE, F.explode(_variants(F.col("key"), rest)).alias("key")).where("key IS NOT NULL")
+
+
+def _one_edit(a: Column, b: Column) -> Column:
+    """Whether two different lists of words are one insertion, removal or replacement apart."""
+    def tail(words: Column, start: Column) -> Column:
+        return F.slice(words, start, F.size(words) + 1)
+
+    def after(i: Column) -> Column:  # i: number of the first word that differs
+        longer = F.size(a) - F.size(b)
+        return (
+            F.when(longer == 0, tail(a, i + 1) == tail(b, i + 1))
+            .when(longer == 1, tail(a, i + 1) == tail(b, i))
+            .when(longer == -1, tail(a, i) == tail(b, i + 1))
+            .otherwise(False)
+        )
+
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    return let(F.array_position(same, False).cast("int"), after)
+
+
+def _near(shared: DataFrame) -> DataFrame:
+    """(doc_id, row, line_no) of lines one edit from an earlier line."""
+    near = materialize(_neighbourhood(shared), "line-variants")
+    pos = F.struct(*LINE)
+    earliest = near.groupBy("key").agg(F.min(pos).alias("_first"), F.max(pos).alias("_last")).where("_first != _last").select("key", "_first")
+    pairs = near.join(earliest, "key").where(pos > F.col("_first")).select(
+        *LINE, *[F.col(f"_first.{c}").alias(f"_{c}") for c in LINE]
+    ).distinct()
+    own = shared.select(*LINE, F.col("words").alias("_a"))
+    first = shared.select(*[F.col(c).alias(f"_{c}") for c in LINE], F.col("words").alias("_b"))
+    verified = pairs.join(own, LINE).join(first, [f"_{c}" for c in LINE]).where(_one_edit(F.col("_a"), F.col("_b")))
+    return verified.select(*LINE).distinct()
 
 
 def kept_lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, kept): the numbers of the non-blank lines that stay; documents that keep none are absent."""
+    """(doc_id, row, kept): the numbers of the non-blank lines that stay; texts that keep none are absent."""
     firsts = materialize(first_lines(documents), "first-lines")
     sharing = materialize(_sharing(firsts), "line-halves")
-    near = materialize(_neighbourhood(documents, sharing), "line-variants")
-    pos = F.struct("doc_id", "line_no")
-    earliest = near.groupBy("key").agg(F.min(pos).alias("_first"), F.max(pos).alias("_last")).where("_first != _last").select("key", "_first")
-    dropped = near.join(earliest, "key").where(pos > F.col("_first")).select("doc_id", "line_no").distinct()
-    kept = firsts.select("pos.doc_id", "pos.line_no").join(dropped, ["doc_id", "line_no"], "left_anti")
-    return kept.groupBy("doc_id").agg(F.collect_list("line_no").alias("kept"))
+    shared = materialize(_shared_lines(documents, sharing), "shared-lines")
+    kept = firsts.select("pos.*").join(_near(shared), LINE, "left_anti")
+    return kept.groupBy(*TEXT).agg(F.collect_list("line_no").alias("kept"))
 
 
 def _numbers(rows: Column) -> tuple[Column, Column]:
@@ -147,8 +218,8 @@ def _numbers(rows: Column) -> tuple[Column, Column]:
 
 def decisions(documents: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, dropped): per document the numbers of the lines that go, ascending."""
-    own = documents.select("doc_id", _numbers(F.split("text", "\n"))[1].alias("_filled"))
-    joined = own.join(kept_lines(documents), "doc_id", "left")
+    own = documents.select("doc_id", F.xxhash64("text").alias("row"), _numbers(F.split("text", "\n"))[1].alias("_filled"))
+    joined = own.join(kept_lines(documents), TEXT, "left")
     none = F.array().cast("array<int>")
     dropped = F.when(F.col("doc_id").isNull(), none).otherwise(
         F.array_except(F.coalesce("_filled", none), F.coalesce("kept", none))
@@ -160,8 +231,9 @@ def decisions(documents: DataFrame) -> DataFrame:
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """`documents` with duplicate lines taken out of `text`; a document that loses all its lines keeps an empty text."""
-    kept = kept_lines(documents).select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
-    joined = documents.join(kept, F.col("doc_id") == F.col("__id"), "left").withColumn("__rows", F.split("text", "\n"))
+    kept = kept_lines(documents).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("kept").alias("__kept"))
+    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__row"))
+    joined = documents.join(kept, same, "left").withColumn("__rows", F.split("text", "\n"))
     # The split text is a column, not repeated in the expression that picks single lines of it.
     everything, filled = _numbers(F.col("__rows"))
     none = F.array().cast("array<int>")

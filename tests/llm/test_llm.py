@@ -96,6 +96,51 @@ def test_line_dedup_odd_rows(spark, odd):
     assert line_dedup.deduplicated(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    texts = ["\n".join(" ".join(rng.choice(list("abcd"), rng.integers(4, 9))) for _ in range(rng.integers(1, 5))) for _ in range(60)]
+    ids = [int(i) for i in rng.integers(0, 4, 60)]
+    rows = table(spark, texts + texts[:5], ids + ids[:5])
+    hashed = {(r.doc_id, r.text): r.h for r in rows.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    want = near_lines({(i, h): t for (i, t), h in hashed.items()})
+    expected = sorted((i, sorted(want.get((i, hashed[i, t]), []))) for i, t in zip(ids + ids[:5], texts + texts[:5]))
+    assert sorted((r.doc_id, list(r.dropped)) for r in line_dedup.decisions(rows).collect()) == expected
+    kept = {(i, t): [x for n, x in enumerate(t.split("\n")) if n not in want.get((i, hashed[i, t]), [])] for i, t in zip(ids, texts)}
+    got = line_dedup.deduplicated(rows).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == sorted((i, "\n".join(kept[i, t])) for i, t in zip(ids + ids[:5], texts + texts[:5]))
+
+
+def test_line_dedup_one_id_is_no_join_key(spark):
+    """2,000 texts of one id give one row per line and half, not one per pair."""
+    rows = spark.range(2000).selectExpr("7L AS doc_id", "concat('one shared start of line ', id, ' ', id * 7) AS text")
+    sharing = line_dedup._sharing(line_dedup.first_lines(rows))
+    shared = line_dedup._shared_lines(rows, sharing)
+    assert shared.count() == 2000
+    assert sum(len(r.halves) for r in shared.collect()) == sharing.count()
+
+
+def test_line_dedup_long_lines(spark, monkeypatch):
+    words = [f"w{i % 5003}" for i in range(60_000)]
+    removed, replaced, far = list(words), list(words), list(words)
+    del removed[41_000]
+    replaced[2_345] = "other"
+    far[10], far[50_000] = "other", "other"
+    rows = table(spark, [" ".join(w) for w in (words, removed, replaced, far)])
+    assert [r.n_dropped for r in line_dedup.decisions(rows).orderBy("doc_id").collect()] == [0, 1, 1, 0]
+    short = "array(1L, 2L, 4L, 8L, 16L, 32L, 64L)"
+    whole = spark.sql(f"SELECT {short} AS h").select(line_dedup._prefix_hashes(F.col("h"))).first()[0]
+    monkeypatch.setattr(line_dedup, "CHUNK", 3)
+    assert spark.sql(f"SELECT {short} AS h").select(line_dedup._prefix_hashes(F.col("h"))).first()[0] == whole == [0, 1, 3, 7, 15, 31, 63, 127]
+
+
+def test_line_dedup_verifies_words(spark, monkeypatch):
+    """Lines that meet under one key by accident stay apart."""
+    texts = ["a b c d e f", "a b c x y z", "a b c d e g"]
+    monkeypatch.setattr(line_dedup, "_variants", lambda key, rest: F.array(F.lit(1).cast("long")))
+    got = line_dedup.decisions(table(spark, texts)).orderBy("doc_id").collect()
+    assert [r.n_dropped for r in got] == [0, 0, 1]
+
+
 def test_line_dedup_statement(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{FOLDER}/documents.parquet'")
