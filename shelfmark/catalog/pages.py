@@ -250,6 +250,48 @@ def site_chapter_lists(t):
     return links.select("page_id", U.absolute(F.col("url"), F.col("x.web_url")).alias("url"), U.inferred_number(F.col("x.name"), F.col("x.web_url")).alias("number"))
 
 
+def listed_pages(pages):
+    """Pages with a chapter grid, a list below it and an ordered list added to their own html, from their keys.
+
+    Every fifth page is the full list of its series.
+    """
+    pid = F.col("page_id").cast("string")
+    grid = ('<div class="grid grid-cols-2 gap-3 justify-items-center lg:grid-cols-3"><a href="/chapters/{0}-1">Chapter 1</a>'
+            '<button id="selected_chapter">Chapter 7 now</button><a href="/other/{0}">Chapter 9</a></div>'
+            '<div class="grid grid-cols-2"><a href="/chapters/{0}-4">Chapter 4</a></div>'
+            '<div id="chapter-list"><p><a href="/chapters/{0}-2"> Ch.  2 </a><a href="/chapters/{0}-1">Episode 1 again</a></p></div>')
+    ordered = ('<ol role="list" aria-label="List of chapters"><li role="listitem"><a href="/preview/{0}/1"><span class="truncate flex-1">Chapter 1</span>'
+               '<span>Chapter 5</span></a><a href="/x">next</a></li><li role="listitem"><a href="/preview/{0}/2">Chapter 2 - dawn</a></li></ol>'
+               '<ol role="list" aria-label="Others"><li role="listitem"><a href="/preview/{0}/3">Chapter 3</a></li></ol>')
+    html = F.concat(F.col("html"), F.replace(F.lit(grid + ordered), F.lit("{0}"), pid))
+    url = F.concat(U.parts(F.col("url"))["origin"], F.lit("/series/"), pid, F.when(F.col("page_id") % 5 == 0, "/full-chapter-list").otherwise(""))
+    return pages.select("page_id", url.alias("url"), html.alias("html"))
+
+
+@query("grid_chapter_list_h5", f"""WITH p AS (SELECT page_id, {ORIGIN} AS o FROM pages), e AS (
+SELECT page_id, o || '/chapters/' || page_id || '-1' AS url, '1' AS number, 'Episode 1' AS title FROM p
+UNION ALL SELECT page_id, o || '/series/' || page_id || CASE WHEN page_id % 5 = 0 THEN '/full-chapter-list' ELSE '' END, '7', 'Chapter 7' FROM p
+UNION ALL SELECT page_id, o || '/chapters/' || page_id || '-2', '2', 'Ch. 2' FROM p
+UNION ALL SELECT page_id, o || '/chapters/' || page_id || '-4', '4', 'Chapter 4' FROM p WHERE page_id % 5 = 0) SELECT * FROM e""")
+def grid_chapter_list(t):
+    """Chapters of a grid, its chosen chapter and the list below, read from html."""
+    pages = listed_pages(t.pages)
+    return PG.grid_chapters(materialize(PG.elements(pages), "grid-elements"), pages).select("page_id", "url", "number", "title")
+
+
+@query("ordered_chapter_list_h5", f"SELECT page_id, {ORIGIN} || '/preview/' || page_id || '/' || i AS url, CAST(i AS VARCHAR) AS number, 'Chapter ' || i AS title FROM pages, (VALUES (1), (2)) v(i)")
+def ordered_chapter_list(t):
+    """Chapters of an ordered list, read from html: the first link of each item."""
+    pages = listed_pages(t.pages)
+    return PG.ordered_chapters(materialize(PG.elements(pages), "item-elements"), pages).select("page_id", "url", "number", "title")
+
+
+@query("page_parse_status_h3", "SELECT page_id, true AS parsed, CAST(NULL AS VARCHAR) AS error FROM pages")
+def page_parse_status(t):
+    """Whether each page could be parsed."""
+    return PG.parse_status(materialize(PG.elements(t.pages), "status-elements"), t.pages)
+
+
 @query("heuristic_merge_h6", f"""SELECT page_id, CASE WHEN ok THEN 'chapter' ELSE 'series' END AS page_type, CASE WHEN ok THEN 3 ELSE 0 END AS n_images, 3 AS n_links
 FROM (SELECT page_id, page_id % 4 <> 0 AND {_NOT_AD.format(c=ORIGIN)} AS ok FROM pages)""")
 def heuristic_merge(t):

@@ -119,3 +119,12 @@ CHUNK_SIZE, CHUNK_OVERLAP = 500, 50
 LISTING_MATCH = 0.58
 ALIAS_CANDIDATE_MIN = 0.72
 SOURCE_LABEL = "MAL-ID"
+
+# Chapter lists of particular sites (fixed values).
+GRID_SELECTOR = r"div.grid.grid-cols-2.gap-3.justify-items-center.lg\:grid-cols-3"
+ITEM_SELECTOR = "ol[role='list'][aria-label='List of chapters'] li[role='listitem']"
+ITEM_TITLE_SELECTOR = "span.truncate.flex-1"
+CHAPTERS_PATH_RE = r"(?i)/chapters/"
+FULL_LIST_URL_RE = r"(?i)/full-chapter-list(?:[?#]|$)"
+PREVIEW_HOST_RE = r"manhwazone\.com$"
+PREVIEW_PATH_RE = r"(?i)^https?://[^/?#]+/preview/"

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions import lexicon as L, text as T, urls as U
@@ -14,38 +13,39 @@ from shelfmark.functions import lexicon as L, text as T, urls as U
 from shelfmark.session import spread
 
 from .ranking import top_k
+from .selectors import ancestors, matches
 
-ELEMENT_SCHEMA = (
-    "page_id long, pos int, tag string, id string, classes array<string>, attrs map<string,string>, "
-    "text string, above array<string>"
-)
+_MARKS = "tag string, id string, classes array<string>, attrs map<string,string>"
+_STRUCT = "pos: int, tag: string, id: string, classes: array<string>, attrs: map<string,string>"
+ELEMENT_SCHEMA = f"page_id long, pos int, {_MARKS}, text string, above array<struct<{_STRUCT}>>"
+FAILED = "#failed"  # tag of the one row of a page that could not be parsed
+PAGES_AT_ONCE = 64
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _KEPT = {"a", "img", "amp-img", "source", "meta", "title", "h1", "h2", "script", "input", "button", "li", "form", "body"}
 _DROPPED = {"noscript", "iframe", "object", "embed"}
 
 
 class _Elements(HTMLParser):
-    """Collects elements with their text and the marks (tag, #id, .class) of their ancestors."""
+    """Collects elements with their text and their ancestors, outermost first; `pos` counts all elements of the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows, self.open, self.texts, self.skip = [], [], [], 0
+        self.rows, self.open, self.texts, self.skip, self.seen = [], [], [], 0, 0
 
     def handle_starttag(self, tag, attrs):
         if tag in _DROPPED and tag not in _VOID:
             self.skip += 1
         if self.skip:
             return
-        attrs = {k: v or "" for k, v in attrs}
-        classes = attrs.get("class", "").split()
-        marks = [tag] + ([f"#{attrs['id']}"] if attrs.get("id") else []) + [f".{c}" for c in classes]
+        attrs = {k: v or "" for k, v in reversed(attrs)}  # the first of repeated attributes counts
+        mark = {"pos": self.seen, "tag": tag, "id": attrs.get("id"), "classes": attrs.get("class", "").split(), "attrs": list(attrs.items())}
+        self.seen += 1
         row = None
-        if tag in _KEPT or classes or "id" in attrs:
-            above = [m for o in self.open for m in o[1]]
-            row = {"pos": len(self.rows), "tag": tag, "id": attrs.get("id"), "classes": classes, "attrs": attrs, "text": "", "above": above}
+        if tag in _KEPT or mark["classes"] or "id" in attrs:
+            row = {**mark, "text": "", "above": [o[1] for o in self.open]}
             self.rows.append(row)
         if tag not in _VOID:
-            self.open.append((tag, marks, row, len(self.texts)))
+            self.open.append((tag, mark, row, len(self.texts)))
 
     def handle_endtag(self, tag):
         if tag in _DROPPED and self.skip:
@@ -72,44 +72,41 @@ class _Elements(HTMLParser):
         return self.rows
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["page_id", "pos", "tag", "id", "classes", "attrs", "text", "above"]
+def _page_rows(page_id, html: str | None) -> list[dict]:
+    parser = _Elements()
+    try:
+        parser.feed(html or "")
+        parser.close()
+    except (ValueError, AssertionError) as error:
+        failed = {"pos": -1, "tag": FAILED, "id": None, "classes": [], "attrs": [], "text": f"{type(error).__name__}: {error}", "above": []}
+        return [{"page_id": page_id, **failed}]
+    return [{"page_id": page_id, **r} for r in parser.finished()]
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    marks = [("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string()))]
+    above = pa.list_(pa.struct([("pos", pa.int32()), *marks]))
+    schema = pa.schema([("page_id", pa.int64()), ("pos", pa.int32()), *marks, ("text", pa.string()), ("above", above)])
     for batch in batches:
-        out = []
-        for page_id, html in zip(batch["page_id"], batch["html"]):
-            parser = _Elements()
-            try:
-                parser.feed(html or "")
-                parser.close()
-            except (ValueError, AssertionError):
-                pass
-            out += [(page_id, r["pos"], r["tag"], r["id"], r["classes"], r["attrs"], r["text"], r["above"]) for r in parser.finished()]
-        yield pd.DataFrame(out, columns=columns)
+        for start in range(0, batch.num_rows, PAGES_AT_ONCE):
+            part = batch.slice(start, PAGES_AT_ONCE)
+            rows = [r for page in part.to_pylist() for r in _page_rows(page["page_id"], page["html"])]
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    """One row per relevant element; the only step in which Python sees the html."""
-    return spread(pages.select("page_id", "html")).mapInPandas(_parse, ELEMENT_SCHEMA)
-
-
-def matches(selector: str) -> Column:
-    """Predicate for a simple selector over `elements`: `tag#id.class[attr*='v']` below at most one ancestor mark."""
-    *ancestors, last = re.findall(r"(?:[^\s\[]|\[[^\]]*\])+", selector.strip())
-    found = re.match(r"^([a-z0-9\-]*)((?:[#.][\w\-]+)*)((?:\[[^\]]+\])*)$", last)
-    if not found:
-        raise ValueError(f"unsupported selector: {selector}")
-    out = F.lit(True)
-    if found[1]:
-        out = out & (F.col("tag") == found[1])
-    for mark in re.findall(r"[#.][\w\-]+", found[2]):
-        out = out & ((F.col("id") == mark[1:]) if mark[0] == "#" else F.array_contains("classes", mark[1:]))
-    for name, op, value in re.findall(r"\[([\w:\-]+)(?:([*^]?=)['\"]?([^'\"\]]*?)['\"]?(?: i)?)?\]", found[3]):
-        attr = F.col("attrs")[name]
-        tests = {"": attr.isNotNull(), "=": attr == value, "*=": F.contains(F.lower(attr), F.lit(value.lower())), "^=": F.startswith(attr, F.lit(value))}
-        out = out & F.coalesce(tests[op], F.lit(False))
-    for mark in ancestors:
-        out = out & F.array_contains("above", re.sub(r"\[.*", "", mark) or mark)
-    return F.coalesce(out, F.lit(False))
+    """One row per relevant element; the only step in which Python sees the html.
+
+    A page whose html the parser rejects gives one row, tag `FAILED`, with the
+    error as its text, and none of its elements.
+    """
+    return spread(pages.select("page_id", "html")).mapInArrow(_parse, ELEMENT_SCHEMA)
+
+
+def parse_status(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page_id, parsed, error) of every page; a page without elements is parsed."""
+    failed = rows.where(F.col("tag") == FAILED).select("page_id", F.col("text").alias("error"))
+    return pages.select("page_id").join(failed, "page_id", "left").select("page_id", F.col("error").isNull().alias("parsed"), "error")
 
 
 def rules(selectors: list[str] | dict[str, list[str]]) -> list[tuple[Column, int]]:
@@ -178,12 +175,58 @@ def any_of(selectors: list[str]) -> Column:
     return out
 
 
+def _last_per_url(found: DataFrame) -> DataFrame:
+    """(page_id, url, number, title, pos) of (page_id, at, url, title): the last entry per URL at its first place."""
+    merged = found.groupBy("page_id", "url").agg(F.max_by("title", "at").alias("title"), F.min("at").alias("pos"))
+    return merged.select("page_id", "url", U.inferred_number(F.col("title"), F.col("url")).alias("number"),
+                         F.nullif(F.col("title"), F.lit("")).alias("title"), "pos")
+
+
+def grid_chapters(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Chapter lists laid out as a grid: links in the grid, the chosen chapter, the list below, then full lists.
+
+    An element may stand in several of these; each is an entry of its own.
+    """
+    base = pages.select("page_id", F.col("url").alias("base"))
+    full = F.regexp_like("base", F.lit(L.FULL_LIST_URL_RE))
+    stages = F.array(
+        F.when(matches(f"{L.GRID_SELECTOR} a[href]"), 0), F.when(matches(f"{L.GRID_SELECTOR} button#selected_chapter"), 1),
+        F.when(matches("#chapter-list a[href*='/chapters/']"), 2), F.when(matches("a[href*='/chapters/']"), 3),
+    )
+    staged = T.exploded(
+        rows.where(F.col("tag").isin("a", "button")).select(
+            "page_id", "pos", U.clean_chapter_label(F.col("text")).alias("title"), F.col("attrs")["href"].alias("href"), stages.alias("_s")
+        ), F.array_compact("_s"), "stage").join(base, "page_id").where((F.col("stage") < 3) | full)
+
+    def accepted(u: Column) -> Column:
+        return F.when(u.isNotNull() & F.regexp_like(u, F.lit(L.CHAPTERS_PATH_RE)), F.array(u))
+
+    chosen = staged.where("stage = 1 AND title != ''").withColumn("url", F.col("base"))
+    linked = T.exploded(staged.where("stage != 1"), T.let(U.absolute(F.col("base"), F.col("href")), accepted), "url")
+    return _last_per_url(linked.unionByName(chosen).select("page_id", "url", "title", F.struct("stage", "pos").alias("at")))
+
+
+def ordered_chapters(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Chapter lists marked up as ordered lists: the first link of each item, labelled by its title span if it has one."""
+    base = pages.select("page_id", F.col("url").alias("base"))
+    in_item = T.exploded(rows.where(matches("a[href]")), ancestors(L.ITEM_SELECTOR), "item")
+    links = in_item.groupBy("page_id", "item").agg(F.min_by(F.struct("pos", F.col("attrs")["href"].alias("href"), "text"), "pos").alias("a"))
+    spans = T.exploded(rows.where(matches(L.ITEM_TITLE_SELECTOR)), ancestors("a[href]"), "link")
+    named = spans.groupBy("page_id", "link").agg(F.min_by("text", "pos").alias("span"))
+    joined = links.select("page_id", "item", "a.*").withColumn("link", F.col("pos")).join(named, ["page_id", "link"], "left").join(base, "page_id")
+    own, short = U.clean_chapter_label(F.col("text")), U.clean_chapter_label(F.coalesce("span", F.lit("")))
+    found = joined.select("page_id", F.col("item").alias("at"), U.absolute(F.col("base"), F.col("href")).alias("url"),
+                          F.coalesce(F.nullif(short, F.lit("")), own).alias("title"))
+    return _last_per_url(found.where(F.col("url").isNotNull()))
+
+
 def chapter_links(rows: DataFrame, pages: DataFrame, selectors=None) -> DataFrame:
     """(page_id, url, number, title, pos): chapter links of each page, the last entry per URL at its first place.
 
     Same host and series, no taxonomy paths, and a chapter word, a number or a
-    previous / next hint. Host and series of the page are computed once per
-    page, a link is resolved once and judged in the same expression.
+    previous / next hint. Preview links of some hosts need not name the series.
+    Host and series of the page are computed once per page, a link is resolved
+    once and judged in the same expression.
     """
     listed = rules(selectors or LINK_SELECTORS)
     base = pages.select("page_id", F.col("url").alias("base"), U.normal_host(F.col("url")).alias("b_host"), U.series_key(F.col("url")).alias("b_key"))
@@ -199,8 +242,9 @@ def chapter_links(rows: DataFrame, pages: DataFrame, selectors=None) -> DataFram
     )
 
     def accepted(u: Column) -> Column:
+        preview = F.regexp_like("b_host", F.lit(L.PREVIEW_HOST_RE)) & F.regexp_like(u, F.lit(L.PREVIEW_PATH_RE))
         ok = (
-            u.isNotNull() & (U.normal_host(u) == F.col("b_host")) & F.coalesce(U.series_key(u) == F.col("b_key"), F.lit(False))
+            u.isNotNull() & (U.normal_host(u) == F.col("b_host")) & (preview | F.coalesce(U.series_key(u) == F.col("b_key"), F.lit(False)))
             & ~F.regexp_like(u, F.lit(L.TAXONOMY_PATH_RE))
             & (hinted | F.regexp_like(u, F.lit(r"(?i)chapter[-_/ ]?\d|episode[-_/ ]?\d|/c(?:h(?:apter)?)?[-_/ ]?\d+")))
         )
@@ -305,7 +349,7 @@ def login_wall(status: Column, url: Column, panels: Column, has_form: Column, bo
 def has_login_form() -> Column:
     """Over elements: an input below a form that asks for a password, e-mail or login."""
     name = F.lower(F.coalesce(F.col("attrs")["name"], F.lit("")))
-    return (F.col("tag") == "input") & F.array_contains("above", "form") & (
+    return (F.col("tag") == "input") & F.exists("above", lambda a: a["tag"] == "form") & (
         (F.col("attrs")["type"] == "password") | F.contains(name, F.lit("email")) | F.contains(name, F.lit("login"))
     )
 
