@@ -81,6 +81,15 @@ def chapter_order(t):
     return C.ordered(rows, ["series"]).select("series", "url", "index")
 
 
+@query("reader_order_t3_twin", f"""WITH v AS (SELECT l_orderkey AS series, {_URL} AS url, l_linenumber AS n, {_POS} AS pos FROM lineitem)
+SELECT series, url, row_number() OVER (PARTITION BY series ORDER BY n = 3, CASE WHEN n = 3 THEN 0 ELSE n END, pos, url) AS index FROM v""")
+def reader_order(t):
+    """Order of the reader's list: numbered chapters, then the others by title."""
+    special = F.col("n") == 3
+    rows = lines(t).withColumns({"number": F.when(~special, F.col("number")), "title": F.when(special, "Bonus").otherwise(F.col("title"))})
+    return C.reader_ordered(rows, ["series"]).select("series", "url", "index")
+
+
 @query("list_search_f16", "SELECT l_orderkey AS series, l_linenumber AS n, l_partkey, l_suppkey, l_quantity FROM lineitem WHERE l_linenumber = 2 OR contains(lower(CAST(l_linenumber AS VARCHAR) || ' ' || l_returnflag), '2')")
 def list_search(t):
     rows = t.lineitem.where(C.list_filter(F.col("l_linenumber").cast("string"), F.col("l_returnflag"), F.lit(" 2 ")))

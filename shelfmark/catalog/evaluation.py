@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import lexicon as L, text as T
 from shelfmark.operators import evaluation as EV, sparse as SP
-from shelfmark.operators.ranking import global_index
+from shelfmark.operators.ranking import range_index
 from shelfmark.session import materialize
 
 from . import query, sql as q, views
@@ -113,7 +113,7 @@ SELECT target_id, min(CASE WHEN doc_id = target_id OR ({q.alnum('tt')} <> '' AND
 def hit_ranks(t):
     """Every document is the target of a case whose results are five documents from anywhere in the table."""
     titles = views.catalogue(t.documents).select("doc_id", T.collapse(F.col("title")).alias("title"))
-    placed = materialize(global_index(titles, F.floor(F.col("doc_id") / 4096), [F.col("doc_id")], "at"), "placed-titles")
+    placed = materialize(range_index(titles, ["doc_id"], "at"), "placed-titles")
     n = placed.count()
     cases = placed.select(F.col("doc_id").cast("string").alias("case_id"), F.col("doc_id").alias("target_id"), F.col("title").alias("target_title"))
     asked = placed.select(F.col("doc_id").cast("string").alias("case_id"), F.col("at").alias("_k"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank"))

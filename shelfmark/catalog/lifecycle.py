@@ -209,6 +209,5 @@ def delta_sync(t):
 
 @query("queue_index_w3", "SELECT doc_id, row_number() OVER (ORDER BY lang, doc_id) - 1 AS queue_id FROM documents")
 def queue_index(t):
-    """Run-global index in (type, position) order, numbered bucket by bucket."""
-    bucket = F.struct("lang", F.floor(F.col("doc_id") / 10_000))
-    return R.global_index(t.documents.select("doc_id", "lang"), bucket, ["lang", "doc_id"], "queue_id").select("doc_id", "queue_id")
+    """Run-global index in (type, position) order, numbered range by range."""
+    return R.range_index(t.documents.select("doc_id", "lang"), ["lang", "doc_id"], "queue_id").select("doc_id", "queue_id")

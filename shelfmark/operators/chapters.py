@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions import lexicon as L, text as T, urls as U
 
-from .ranking import first_per_key, grouped_rank, with_group_flag
+from .ranking import first_per_key, range_rank, with_group_flag
 
 
 def merged_unique(rows: DataFrame, keys: list[str], position: str = "pos") -> DataFrame:
@@ -52,18 +52,16 @@ def ordered(chapters: DataFrame, keys: list[str], position: str = "pos") -> Data
     label = label_of(F.col("number"), F.col("title"))
     rows = latest.withColumns({"_label": F.lower(label), "special": U.is_special(label), "_n": U.label_number(label)})
     rows = rows.withColumn("_n", F.when(~F.col("special"), F.col("_n")))
-    # Buckets follow the order: numbered chapters by the thousand, then specials by first letter.
-    bucket = F.struct("special", F.floor(F.col("_n") / 1000), F.when(F.col("special"), F.substring("_label", 1, 1)))
     order = ["special", F.asc("_n"), F.asc("_label"), F.asc(position), F.asc("url")]
-    return grouped_rank(rows, keys, bucket, order, "index").drop("_label", "_n")
+    return range_rank(rows, keys, order, "index").drop("_label", "_n")
 
 
 def reader_ordered(chapters: DataFrame, keys: list[str]) -> DataFrame:
     """Reader variant: numbered rows by number (from number, title or URL), then the others by title."""
     source = F.coalesce(F.nullif(F.col("number"), F.lit("")), F.nullif(F.col("title"), F.lit("")), F.col("url"))
     rows = chapters.withColumns({"_n": U.number_in(source), "_t": F.lower(F.coalesce("title", "number"))})
-    bucket = F.struct(F.col("_n").isNull(), F.floor(F.col("_n") / 1000), F.when(F.col("_n").isNull(), F.substring("_t", 1, 1)))
-    return grouped_rank(rows, keys, bucket, [F.asc_nulls_last("_n"), F.when(F.col("_n").isNull(), F.col("_t")), "pos", "url"], "index").drop("_n", "_t")
+    rows = rows.withColumn("_t", F.when(F.col("_n").isNull(), F.col("_t")))
+    return range_rank(rows, keys, [F.asc_nulls_last("_n"), "_t", "pos", "url"], "index").drop("_n", "_t")
 
 
 def gap_rows(chapters: DataFrame, keys: list[str], base_url: str, known: str) -> DataFrame:

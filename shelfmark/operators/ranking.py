@@ -2,14 +2,18 @@
 
 `top_k` relies on the optimizer's window group limit: each map task sorts and
 keeps k rows per key before the shuffle, so a hot key ships k rows per task.
-Where every row of a group must be numbered, the group is cut into ordered
-buckets whose offsets come from a small count table.
+Where every row of a group must be numbered, the table is range-partitioned in
+the wanted order (edges come from a sample of the rows, so neither a hot group
+nor an outlier fills one task) and offsets come from the counts per range.
+Order statistics are selected by rounds over the hit range of values.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from shelfmark.session import materialize
+
 
 def top_k(df: DataFrame, keys: list, order: list, k: int, rank: str = "rank") -> DataFrame:
     """The first k rows per key with their 1-based rank; `order` must end in a unique column."""
@@ -57,29 +61,55 @@ def global_index(df: DataFrame, bucket: Column, order: list, name: str = "index"
     return grouped_rank(one, ["_all"], bucket, order, name).withColumn(name, F.col(name) - 1).drop("_all")
 
 
-def value_at_rank(df: DataFrame, keys: list[str], value: str, rank: Column, buckets: int = 1024) -> DataFrame:
+def range_rank(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
+    """1-based position of every row in its group, in `order`, which must end in a unique column.
+
+    Ranges are cut over (keys, order), so a group that holds any share of the
+    rows is spread over as many tasks as its share needs. The ranges are written
+    before rows are counted, so both steps see the same ones. A null key is a
+    group of its own; an empty table gives an empty table.
+    """
+    ranged = materialize(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    # At most one row per key and range: a group has no more rows here than there are ranges.
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"),
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    same = [F.col("_range") == F.col("_r")] + [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    joined = ranged.withColumn("_w", within).join(offsets, same)
+    return joined.withColumn(name, F.col("_w") + F.col("_off")).drop("_range", "_w", "_off", "_r", *[f"_k_{k}" for k in keys])
+
+
+def range_index(df: DataFrame, order: list, name: str = "index") -> DataFrame:
+    """Zero-based position of every row of the table in `order`, numbered range by range."""
+    return range_rank(df.withColumn("_all", F.lit(0)), ["_all"], order, name).withColumn(name, F.col(name) - 1).drop("_all")
+
+
+def value_at_rank(df: DataFrame, keys: list[str], value: str, rank: Column, buckets: int = 64, at_once: int = 100_000) -> DataFrame:
     """(keys, n, value) where value is the element at zero-based position `rank(n)` of the sorted group.
 
-    Exact selection in two passes: equal-width buckets locate the element, then
-    only that bucket's distinct values are ordered. `rank` is an expression over
-    the group count column `n`.
+    Exact selection over distinct values with their counts. Each round cuts the
+    values left of a group at their approximate percentiles (so an outlier costs
+    nothing) and keeps the range the rank falls into, until no group has more
+    than `at_once` values left, which are then ordered. Rounds number about
+    log(values) / log(buckets). `rank` is an expression over the group count
+    column `n`; null values and null keys take no part.
     """
-    v = F.col(value)
-    stats = df.where(v.isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min(v).alias("_lo"), F.max(v).alias("_hi")
-    )
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(buckets)
-    placed = df.where(v.isNotNull()).select(*keys, value).join(stats, keys).withColumn(
-        "_b", F.when(width > 0, F.least(F.floor((v - F.col("_lo")) / width), F.lit(buckets - 1))).otherwise(0)
-    )
-    per_value = placed.groupBy(*keys, "n", "_b", value).agg(F.count("*").alias("_c"))
-    per_bucket = per_value.groupBy(*keys, "n", "_b").agg(F.sum("_c").alias("_bc"))
-    by_bucket = Window.partitionBy(*keys).orderBy("_b")
-    hit = (
-        per_bucket.withColumn("_end", F.sum("_bc").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0)))
-        .where((rank < F.col("_end")) & (rank >= F.col("_end") - F.col("_bc")))
-        .select(*keys, "_b", (F.col("_end") - F.col("_bc")).alias("_start"))
-    )
+    present = df.where(F.col(value).isNotNull())
+    distinct = materialize(present.groupBy(*keys, value).agg(F.count("*").alias("_c")), "values")
+    sizes = distinct.groupBy(*keys).agg(F.sum("_c").alias("n"))
+    left = distinct.join(sizes.withColumn("_want", rank), keys)
+    points = [i / buckets for i in range(1, buckets)]
+    while (left.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > max(at_once, 2 * buckets):
+        edges = left.groupBy(*keys).agg(F.percentile_approx(value, points, 10_000).alias("_edges"))
+        placed = left.join(edges, keys).withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+        counts = placed.groupBy(*keys, "_want", "_b").agg(F.sum("_c").alias("_bc"))
+        upto = F.sum("_bc").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+        hit = counts.withColumn("_end", upto).where((F.col("_want") < F.col("_end")) & (F.col("_want") >= F.col("_end") - F.col("_bc")))
+        hit = hit.select(*keys, "_b", (F.col("_end") - F.col("_bc")).alias("_start"))
+        left = placed.join(hit, [*keys, "_b"]).withColumn("_want", F.col("_want") - F.col("_start")).drop("_b", "_start")
+        left = materialize(left, "values-left")
     by_value = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    inside = per_value.join(hit, [*keys, "_b"]).withColumn("_cum", F.sum("_c").over(by_value) + F.col("_start"))
-    return inside.where((rank < F.col("_cum")) & (rank >= F.col("_cum") - F.col("_c"))).select(*keys, "n", value)
+    ends = left.withColumn("_cum", F.sum("_c").over(by_value))
+    return ends.where((F.col("_want") < F.col("_cum")) & (F.col("_want") >= F.col("_cum") - F.col("_c"))).select(*keys, "n", value)
