@@ -9,7 +9,7 @@ from shelfmark.operators import corpus as C, ranking as R, sparse as SP
 from shelfmark.operators.dense import embedded
 from shelfmark.plans import corpus as P
 from shelfmark.session import materialize, new_path
-from shelfmark.sources import readers, sinks
+from shelfmark.sources import quarantine, readers, sinks
 
 from . import query, sql as q, views
 from .retrieval import CHUNK_SQL
@@ -56,6 +56,43 @@ def resume(t):
     return t.documents.select("doc_id").join(seen, "doc_id", "left_anti")
 
 
+@query("resume_states_k7", """WITH d AS (SELECT doc_id, length(coalesce(text, '')) % 4 AS k FROM documents)
+SELECT doc_id, CASE WHEN k = 3 THEN 'failed' WHEN k = 2 THEN 'retry' ELSE 'done' END AS state,
+CASE WHEN k = 3 THEN 2 WHEN k = 0 THEN 0 ELSE 1 END AS attempts, CASE WHEN k = 3 THEN 'no text 2' WHEN k = 2 THEN 'no text 1' END AS error FROM d""")
+def resume_states(t):
+    """State of every key after a load, a resumed run and a crash that cuts lines.
+
+    By a text's length: rows pass at once, fail once, fail once and have the line
+    of their second run cut, or fail each time.
+    """
+    output, failed = new_path(t.spark, "resume-output"), new_path(t.spark, "resume-failed")
+    queue = t.documents.select("doc_id", (F.length(F.coalesce("text", F.lit(""))) % 4).alias("k"), "text")
+
+    def process(rows):
+        bad = (F.col("k") == 3) | ((F.col("k") > 0) & (F.col("attempts") == 0))
+        return rows.select(
+            F.col("doc_id").alias("queue_id"), F.col("doc_id").alias("item_id"), F.lit("t").alias("title"), F.lit("manga").alias("type"), "text",
+            F.when(bad, F.concat(F.lit("no text "), (F.col("attempts") + 1).cast("string"))).alias("error"))
+
+    quarantine.run(queue, "doc_id", process, output, failed, tries=2)
+    quarantine.run(queue.where("k != 2"), "doc_id", process, output, failed, tries=2)
+    cut = queue.where("k = 2").select(F.format_string('{"queue_id":%d,"item_id":%d,"text":"', "doc_id", "doc_id").alias("value"))
+    cut.write.mode("append").text(output)
+    return quarantine.states(queue, "doc_id", output, failed, tries=2).select("doc_id", "state", "attempts", "error")
+
+
+@query("quarantined_lines_s1", """SELECT doc_id AS queue_id, CASE WHEN length(coalesce(text, '')) % 3 = 1 THEN 'malformed line' WHEN length(coalesce(text, '')) % 3 = 2 THEN 'missing queue_id' END AS error FROM documents""")
+def quarantined_lines(t):
+    """Every line of a corpus folder of which some are cut and some lack their key, with its error."""
+    path = new_path(t.spark, "mixed-lines")
+    k = F.length(F.coalesce("text", F.lit(""))) % 3
+    line = F.to_json(F.struct(F.when(k != 2, F.col("doc_id")).alias("queue_id"), F.col("doc_id").alias("item_id"), "text"))
+    t.documents.select(F.when(k == 1, F.substring(line, 1, 40)).otherwise(line).alias("value")).write.text(path)
+    rows, broken = quarantine.read_split(t.spark, path)
+    item = F.regexp_extract("raw", r'"item_id":(\d+)', 1).cast("long")
+    return rows.select("queue_id", F.lit(None).cast("string").alias("error")).unionByName(broken.select(item.alias("queue_id"), "error"))
+
+
 @query("known_id_anti_join_j1", """SELECT lang AS type, doc_id AS item_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def known_id_anti_join(t):
     """New items only: known ids are read off stored record ids and matched as columns."""
