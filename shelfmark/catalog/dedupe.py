@@ -80,7 +80,7 @@ def load_counters(t):
 
     old = t.embeddings.where("label <= 6").select("vec_id", "label")
     inc = t.embeddings.where("label >= 5").select("vec_id", "label")
-    return counters(old, inc, upserted(old, inc, ["vec_id"]), "vec_id")
+    return counters(old, inc, upserted(old, inc, ["vec_id"], ["label"]), "vec_id")
 
 
 @query("highest_chapter_a16", "SELECT l_orderkey, max(CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linenumber + 0.5 END) AS highest FROM lineitem GROUP BY 1")

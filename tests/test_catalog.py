@@ -103,3 +103,7 @@ def test_whole_jobs_read_every_row(spark, tables):
     # R14: title cases too.
     cases = catalog.bind("golden_suite_r14_whole")(spark, FOLDER).collect()
     assert {r.query_type for r in cases} == {"semantic", "keyword", "title"}
+
+
+def test_load_counters_against_statement(spark):
+    test_against_statement(spark, "load_counters_a15")
