@@ -112,3 +112,28 @@ def test_pair_scores_and_empty_tables(spark, frames, corpus):
     assert got == {p: every[p] for p in [(1, "d0007"), (1, "d0001"), (2, "d0000")] if p in every}
     assert index.top(queries.limit(0), 3).count() == 0
     assert SP.SparseIndex.build(docs.limit(0)).top(queries, 3).count() == 0
+
+
+def test_no_table_holds_a_row_per_query_and_document(spark, frames, corpus, monkeypatch):
+    from shelfmark.operators import scoring as SC
+
+    monkeypatch.setattr(SC, "SMALL_PART", 64)
+    queries = [(i, f"common shared w{i % 40}") for i in range(100)]
+    sizes = []
+    for module in (SP, SC):
+        plain = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, name, plain=plain: sizes.append((out := plain(df, name)).count()) or out)
+    found = SP.SparseIndex.build(frames[0]).top(spark.createDataFrame(queries, "query_id long, query string"), 3)
+    assert rows(found) == brute(corpus[0], queries, 3)
+    assert max(sizes) < 100 * 600 / 5
+
+
+@pytest.mark.parametrize("query_block", [7, 50])
+def test_floors_of_the_first_parts_lose_nothing(spark, frames, corpus, monkeypatch, query_block):
+    from shelfmark.operators import scoring as SC
+
+    for name, value in (("SMALL_PART", 16), ("TILE", 8), ("QUERY_BLOCK", query_block), ("WORK", 64), ("WAITING", 1)):
+        monkeypatch.setattr(SC, name, value)
+    queries = [(i, f"common shared w{i % 40} r{i} pad") for i in range(60)]
+    found = SP.SparseIndex.build(frames[0]).top(spark.createDataFrame(queries, "query_id long, query string"), 9)
+    assert rows(found) == brute(corpus[0], queries, 9)
