@@ -107,3 +107,9 @@ def test_whole_jobs_read_every_row(spark, tables):
 
 def test_load_counters_against_statement(spark):
     test_against_statement(spark, "load_counters_a15")
+
+
+def test_character_pool_carries_matches_not_texts(tables):
+    from shelfmark.catalog.retrieval import character_pool
+
+    assert not {"snippet", "snippet_tokens", "aliases"} & set(character_pool(tables).columns)
