@@ -61,3 +61,12 @@ def test_reader_order(spark):
     rows = [("10", "x", "u10"), ("2", "x", "u2"), (None, "Omake", "ux"), (None, "afterword", "uy"), ("1.5", None, "u1")]
     df = spark.createDataFrame([("s", n, t, u, i) for i, (n, t, u) in enumerate(rows)], "s string, number string, title string, url string, pos long")
     assert [r["url"] for r in C.reader_ordered(df, ["s"]).orderBy("index").collect()] == ["u1", "u2", "u10", "uy", "ux"]
+
+
+def test_value_at_rank_when_percentiles_differ_between_evaluations(spark, monkeypatch):
+    noise = F.udf(lambda edges: [e + random.SystemRandom().uniform(-30, 30) for e in edges], "array<double>").asNondeterministic()
+    plain = F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: noise(plain(*a)))
+    df = spark.range(2000).selectExpr("id % 4 AS k", "CAST(id AS DOUBLE) AS v")
+    got = {r["k"]: (r["n"], r["v"]) for r in R.value_at_rank(df, ["k"], "v", F.floor(F.col("n") / 2), 4, 50).collect()}
+    assert got == {k: (500, 1000.0 + k) for k in range(4)}
