@@ -10,15 +10,26 @@ from .text import let, lit_array, text_or_empty, trim_ws
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*://)(?:[^/?#@]*@)?([^/?#:]+)(:\d+)?([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
+_SEP = "\u0001"
+
+
+def matched(c: Column, pattern: str, n: int) -> Column:
+    """The first `n` groups of a pattern that is anchored at both ends, from one match; null where it does not match."""
+    def groups(x: Column) -> Column:
+        marked = F.regexp_replace(x, pattern, "".join(f"${i + 1}{_SEP}" for i in range(n)))
+        # Text that holds the separator itself is matched group by group.
+        apart = F.when(F.regexp_like(x, F.lit(pattern)), F.array(*[F.regexp_extract(x, pattern, i + 1) for i in range(n)]))
+        return F.when(F.contains(x, F.lit(_SEP)), apart).otherwise(let(F.split(marked, _SEP), lambda g: F.when(F.size(g) > n, g)))
+
+    return let(c, groups)
+
+
 def parts(url: Column) -> Column:
     """struct(origin, host, path, search) of an absolute URL; null when it is not one."""
-    u = text_or_empty(url)
-    return F.when(F.regexp_like(u, F.lit(_PARTS)), F.struct(
-        F.lower(F.concat(F.regexp_extract(u, _PARTS, 1), F.regexp_extract(u, _PARTS, 2), F.regexp_extract(u, _PARTS, 3))).alias("origin"),
-        F.lower(F.regexp_extract(u, _PARTS, 2)).alias("host"),
-        F.coalesce(F.nullif(F.regexp_extract(u, _PARTS, 4), F.lit("")), F.lit("/")).alias("path"),
-        F.regexp_extract(u, _PARTS, 5).alias("search"),
-    ))
+    return let(matched(text_or_empty(url), _PARTS, 5), lambda g: F.when(g.isNotNull(), F.struct(
+        F.lower(F.concat(g[0], g[1], g[2])).alias("origin"), F.lower(g[1]).alias("host"),
+        F.coalesce(F.nullif(g[3], F.lit("")), F.lit("/")).alias("path"), g[4].alias("search"),
+    )))
 
 
 def comparable(url: Column) -> Column:
@@ -212,14 +223,16 @@ _KEYED = r"(?i)^(.*(?:chapter|chap|ch|episode|ep|c)[-_ ]*)(\d+(?:\.\d+)?)(.*)$"
 
 def chapter_token(path: Column) -> Column:
     """struct(head, raw, tail) around the last keyword+number of a path, else around its last number; null if none."""
-    numbers = F.regexp_extract_all(path, F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
-    raw = F.coalesce(F.get(numbers, F.size(numbers) - 1), F.lit(""))
-    tail = F.regexp_extract(path, r"([^0-9]*)$", 1)
-    keyed = F.struct(*[F.regexp_extract(path, _KEYED, i + 1).alias(n) for i, n in enumerate(("head", "raw", "tail"))])
-    plain = F.struct(
-        F.substr(path, F.lit(1), F.length(path) - F.length(tail) - F.length(raw)).alias("head"), raw.alias("raw"), tail.alias("tail")
-    )
-    return F.when(F.regexp_like(path, F.lit(_KEYED)), keyed).when(F.size(numbers) > 0, plain)
+    def token(g: Column) -> Column:
+        return F.struct(*[g[i].alias(n) for i, n in enumerate(("head", "raw", "tail"))])
+
+    def plain(numbers: Column) -> Column:
+        raw, tail = F.get(numbers, F.size(numbers) - 1), F.regexp_extract(path, r"([^0-9]*)$", 1)
+        return F.when(F.size(numbers) > 0, let(tail, lambda t: F.struct(
+            F.substr(path, F.lit(1), F.length(path) - F.length(t) - F.length(raw)).alias("head"), raw.alias("raw"), t.alias("tail"))))
+
+    return let(matched(path, _KEYED, 3), lambda g: F.when(g.isNotNull(), token(g)).otherwise(
+        let(F.regexp_extract_all(path, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), plain)))
 
 
 def segment_token(path: Column) -> Column:
@@ -233,15 +246,22 @@ def segment_token(path: Column) -> Column:
 
 def format_like(template: Column, value: Column) -> Column:
     """A number in the shape of a template: same decimals, same zero padding."""
-    decimals = F.length(F.regexp_extract(template, r"\.(\d*)", 1))
-    scale = F.pow(F.lit(10.0), decimals)
-    scaled = F.floor(F.abs(value) * scale + 0.5).cast("long")
-    whole = F.floor(scaled / scale).cast("long").cast("string")
-    fraction = F.lpad((scaled - F.floor(scaled / scale).cast("long") * scale.cast("long")).cast("string"), decimals, F.lit("0"))
-    zeros = F.length(F.regexp_extract(template, "^-?(0+)", 1))
-    padded = F.lpad(whole, F.greatest(F.length(whole), F.when(zeros > 0, zeros + 1).otherwise(0)), F.lit("0"))
-    body = F.when(decimals > 0, F.concat(padded, F.lit("."), fraction)).otherwise(padded)
-    return F.concat(F.when(value < 0, "-").otherwise(""), body)
+    def shown(s: Column) -> Column:
+        def body(scaled: Column) -> Column:
+            whole = F.floor(scaled / s["scale"]).cast("long")
+            fraction = F.lpad((scaled - whole * s["scale"].cast("long")).cast("string"), s["decimals"], F.lit("0"))
+            text = whole.cast("string")
+            padded = F.lpad(text, F.greatest(F.length(text), F.when(s["zeros"] > 0, s["zeros"] + 1).otherwise(0)), F.lit("0"))
+            return F.concat(F.when(s["value"] < 0, "-").otherwise(""),
+                            F.when(s["decimals"] > 0, F.concat(padded, F.lit("."), fraction)).otherwise(padded))
+
+        return let(F.floor(F.abs(s["value"]) * s["scale"] + 0.5).cast("long"), body)
+
+    # Bound once: nothing shares an expression inside a lambda.
+    shape = let(F.length(F.regexp_extract(template, r"\.(\d*)", 1)), lambda d: F.struct(
+        d.alias("decimals"), F.pow(F.lit(10.0), d).alias("scale"), F.length(F.regexp_extract(template, "^-?(0+)", 1)).alias("zeros"),
+        value.cast("double").alias("value")))
+    return let(shape, shown)
 
 
 def number_in(c: Column) -> Column:
@@ -259,24 +279,24 @@ def chapter_frame(url: Column) -> Column:
         return F.struct(prefix.alias("prefix"), raw.alias("raw"), suffix.alias("suffix"))
 
     def build(p: Column) -> Column:
-        value = F.regexp_extract(p["search"], _PARAM, 3)
-        raw = F.regexp_extract(value, L.NUMBER_RE, 0)
-        head, tail = (F.regexp_extract(value, rf"^(.*?){L.NUMBER_RE}(.*)$", i) for i in (1, 2))
-        lead = F.concat(p["origin"], p["path"], F.regexp_extract(p["search"], _PARAM, 1), F.regexp_extract(p["search"], _PARAM, 2))
-        rest = F.regexp_extract(p["search"], _PARAM, 4)
-        in_search = F.when(F.regexp_like(p["search"], F.lit(_PARAM)), frame(F.concat(lead, head), raw, F.concat(tail, rest)))
+        def in_param(g: Column) -> Column:
+            raw = F.regexp_extract(g[2], L.NUMBER_RE, 0)
+            head, tail = (F.regexp_extract(g[2], rf"^(.*?){L.NUMBER_RE}(.*)$", i) for i in (1, 2))
+            return F.when(g.isNotNull(), frame(F.concat(p["origin"], p["path"], g[0], g[1], head), raw, F.concat(tail, g[3])))
+
         in_path = let(chapter_token(p["path"]), lambda t: F.when(t.isNotNull(), frame(
             F.concat(p["origin"], t["head"]), t["raw"], F.concat(t["tail"], p["search"]))))
-        return F.coalesce(in_path, in_search)
+        return F.coalesce(in_path, let(matched(p["search"], _PARAM, 4), in_param))
 
     return let(parts(url), lambda p: F.when(p.isNotNull(), build(p)))
 
 
 def filled_frame(frame: Column, number: Column) -> Column:
     """A chapter frame with a number (or, when it holds no number, its text) in place."""
-    n = number_in(number)
-    shown = F.when(n.isNotNull() & (frame["raw"] != ""), format_like(frame["raw"], n)).otherwise(F.trim(number))
-    return F.when(frame.isNotNull() & (F.trim(number) != ""), F.concat(frame["prefix"], shown, frame["suffix"]))
+    def shown(n: Column) -> Column:
+        return F.when(n.isNotNull() & (frame["raw"] != ""), format_like(frame["raw"], n)).otherwise(F.trim(number))
+
+    return F.when(frame.isNotNull() & (F.trim(number) != ""), F.concat(frame["prefix"], let(number_in(number), shown), frame["suffix"]))
 
 
 def rendered_chapter(url: Column, number: Column) -> Column:

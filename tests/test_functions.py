@@ -134,3 +134,30 @@ def test_adjacent_never_negative(spark):
 ])
 def test_series_key(spark, url, key):
     assert one(spark, U.series_key(F.col("u")), u=url) == key
+
+
+def test_groups_come_from_one_match(spark):
+    from shelfmark.functions import urls as U
+
+    urls = ["https://U:p@H.example:8/a/ch-01.5/x?q=1#f", "http://h", "no url", "", None, "http://h/a\u0001b/ch-2?x=\u0001", "http://h/ch-3\n", "http://h/a#b\n", "http://h/\nch-4/x"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    for pattern, n in ((U._PARTS, 5), (U._KEYED, 3), (U._PARAM, 4)):
+        apart = F.when(F.regexp_like("u", F.lit(pattern)), F.array(*[F.regexp_extract("u", pattern, i + 1) for i in range(n)]))
+        rows = df.select(F.slice(U.matched(F.col("u"), pattern, n), 1, n).alias("got"), apart.alias("want")).collect()
+        assert [r.got for r in rows] == [r.want for r in rows]
+
+
+def test_a_number_is_read_once_per_rendered_url(spark):
+    from shelfmark.functions import lexicon as L, urls as U
+
+    out = spark.range(1).select(U.rendered_chapter(F.lit("https://h.example/m/ch-001.5/x"), F.concat(F.lit("Chapter "), F.col("id").cast("string"))).alias("u"))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count(L.NUMBER_RE) <= 4 and out.first().u == "https://h.example/m/ch-000.0/x"
+
+
+def test_one_file_of_titles_is_dealt_to_all_cores(spark):
+    from shelfmark import catalog
+
+    catalog.load()
+    out = catalog.bind("read_now_variants_x15")(spark, "/root/testdata/sf0.001")
+    assert out._jdf.queryExecution().toRdd().getNumPartitions() >= min(2, spark.sparkContext.defaultParallelism)
