@@ -209,7 +209,7 @@ def alias_enrichment(t):
         F.lit("manga").alias("type"), F.col("conv_id").alias("item_id"), F.col("turn").alias("pos"),
         F.regexp_extract("text", "[A-Za-z]+", 0).alias("name"), "role")
     store = sinks.scratch_table(t.spark, "enriched", ["chunk_id"])
-    dense, _ = P.records(materialize(P.chunked(docs), "plain-chunks"))
+    dense = embedded(materialize(P.chunked(docs), "plain-chunks"), "chunk_text")
     store.write(dense.select("chunk_id", "type", "item_id", "title", "chunk_index", "chunk_text", "embedding"))
     return P.enrich_and_reload(docs, rosters, store)
 

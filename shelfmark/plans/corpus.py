@@ -109,7 +109,7 @@ def enrich_and_reload(docs: DataFrame, rosters: DataFrame, store: KeyedTable, do
     """Enrich unprocessed documents, upsert their records, delete stale ones, and count."""
     todo = docs if done is None else docs.join(done.select("type", "item_id"), ["type", "item_id"], "left_anti")
     chunks = materialize(chunked(enriched_documents(todo, rosters)), "enriched-chunks")
-    dense, _ = records(chunks)
+    dense = embedded(chunks, "chunk_text")
     before = store.read() if store.exists() else None
     incoming = materialize(dense.select("chunk_id", "type", "item_id", "title", "chunk_index", "chunk_text", "embedding"), "enriched-records")
     before = before if before is None else materialize(before.select("chunk_id"), "enriched-before")
@@ -151,5 +151,6 @@ def delta_sync(listing: DataFrame, payloads: DataFrame, store: KeyedTable, cap:
         S.delta_character_lines(F.col("roster"), cap), cap,
     ).alias("text"))
     docs = last_per_key(composed, ["type", "item_id"], [position] if position else ["title", "text"])
-    dense, _ = records(materialize(chunked(docs), "delta-chunks"))
+    # The store holds no postings, so none are counted.
+    dense = embedded(materialize(chunked(docs), "delta-chunks"), "chunk_text")
     return store.upsert(dense.select("chunk_id", "type", "item_id", "title", "chunk_index", "chunk_text", "embedding"), ["chunk_text"])

@@ -113,3 +113,14 @@ def test_character_pool_carries_matches_not_texts(tables):
     from shelfmark.catalog.retrieval import character_pool
 
     assert not {"snippet", "snippet_tokens", "aliases"} & set(character_pool(tables).columns)
+
+
+def test_sync_and_enrichment_count_no_postings(spark, monkeypatch):
+    from shelfmark.operators import sparse
+
+    def counted(*_):
+        raise AssertionError("the stores hold no postings")
+
+    monkeypatch.setattr(sparse, "counted", counted)
+    for name in ("delta_sync_r9", "alias_enrichment_r7"):
+        assert catalog.bind(name)(spark, FOLDER).count() > 0
