@@ -137,3 +137,40 @@ def test_floors_of_the_first_parts_lose_nothing(spark, frames, corpus, monkeypat
     queries = [(i, f"common shared w{i % 40} r{i} pad") for i in range(60)]
     found = SP.SparseIndex.build(frames[0]).top(spark.createDataFrame(queries, "query_id long, query string"), 9)
     assert rows(found) == brute(corpus[0], queries, 9)
+
+
+@pytest.mark.parametrize("k,part_postings", [(3, 1 << 20), (5, 50), (700, 400)])
+def test_search_without_an_index_against_brute_force(frames, corpus, monkeypatch, k, part_postings):
+    monkeypatch.setattr(SP.SC, "PART_POSTINGS", part_postings)
+    assert rows(SP.search(*frames, k)) == brute(*corpus, k)
+
+
+def test_search_takes_rows_of_one_id_for_one_document(spark, frames, corpus):
+    halves = [("x1", "common w7 w7"), ("x1", "w7 r50 pad"), (None, "common r50")]
+    docs = spark.createDataFrame(corpus[0] + halves, "doc_id string, text string")
+    whole = corpus[0] + [("x1", "common w7 w7 w7 r50 pad"), ("", ""), ("none", "common r50")]
+    expected = {key: hit for key, hit in brute(whole, corpus[1], 700).items() if hit[0] != "none"}
+    found = rows(SP.search(docs, frames[1], 700))
+    assert {(q, *hit) for (q, _), hit in found.items()} == {(q, *hit) for (q, _), hit in expected.items()}
+
+
+def test_search_of_nothing(frames):
+    docs, queries = frames
+    assert SP.search(docs.limit(0), queries, 3).count() == 0
+    assert SP.search(docs, queries.limit(0), 3).count() == 0
+    assert SP.search(docs, queries.where("query_id = 3"), 3).count() == 0
+
+
+def test_search_moves_the_postings_that_are_asked_for(spark, frames, tmp_path, monkeypatch):
+    """Only terms of the queries leave the tasks that read the texts."""
+    written = {}
+    kept = SP.materialize
+
+    def noted(df, name, *more):
+        written[name] = kept(df, name, *more)
+        return written[name]
+
+    monkeypatch.setattr(SP, "materialize", noted)
+    docs, queries = frames
+    SP.search(docs, queries.where("query_id = 5"), 3)
+    assert written["asked-postings"].where("no IS NOT NULL").count() == 3
