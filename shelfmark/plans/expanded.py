@@ -27,9 +27,12 @@ def expand_and_merge(queries: DataFrame, titles: DataFrame, search: Callable[[Da
     All alias queries of all queries run as one table. Returns the stages
     `primary`, `title_alias` and the final `results`.
     """
+    queries = materialize(queries, "prepared-queries")
     primary = materialize(search(queries).join(queries.select("query_id", "query"), "query_id"), "primary")
-    weak = queries.join(P.strong_primary(primary), "query_id", "left_anti")
+    weak = materialize(queries.join(P.strong_primary(primary), "query_id", "left_anti"), "weak-queries")
     choices = materialize(P.alias_choices(weak, titles), "alias-choices")
+    # From here on only titles of chosen items count.
+    titles = materialize(titles.join(choices.select("item_id").distinct(), "item_id", "left_semi"), "chosen-titles")
     extra = materialize(P.alias_queries(weak, choices, titles, limit), "alias-queries")
     alias_rows = _prepared(extra.select(
         F.concat_ws("#", F.col("query_id").cast("string"), F.col("alias_pos").cast("string")).alias("query_id"),
