@@ -93,8 +93,7 @@ _HIT = f"""WITH dt AS (SELECT doc_id, {q.ws("split_part(text, chr(10), 1)")} AS
 def evaluation_run(t):
     """Search with the suite's own queries and summarise hit@10."""
     cases = materialize(golden_cases(t), "cases")
-    index = SP.SparseIndex.build(t.documents.select("doc_id", "text"))
-    found = index.top(cases.select(F.col("case_id").alias("query_id"), "query"), 10)
+    found = SP.search(t.documents, cases.select(F.col("case_id").alias("query_id"), "query"), 10)
     titles = views.catalogue(t.documents).select("doc_id", T.collapse(F.col("title")).alias("title"))
     results = found.join(titles, "doc_id").select(F.col("query_id").alias("case_id"), "rank", F.col("doc_id").alias("item_id"), "title")
     scored = EV.hit_ranks(cases, results).withColumns({"elapsed_ms": F.lit(0), "error": F.lit(None).cast("string")})

@@ -174,3 +174,10 @@ def test_search_moves_the_postings_that_are_asked_for(spark, frames, tmp_path, m
     docs, queries = frames
     SP.search(docs, queries.where("query_id = 5"), 3)
     assert written["asked-postings"].where("no IS NOT NULL").count() == 3
+
+
+def test_parts_are_bounded_by_postings():
+    """What a task packs grows neither with the documents nor with their length."""
+    assert SP.SC.parts_for(100) == 1
+    assert SP.SC.parts_for(100, 5 * SP.SC.PART_POSTINGS) == 5
+    assert SP.SC.parts_for(64 * SP.SC.PART_DOCS, 5 * SP.SC.PART_POSTINGS) == 64
