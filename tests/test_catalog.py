@@ -7,6 +7,8 @@ import re
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from shelfmark import catalog
 
 catalog.load()
@@ -109,6 +111,28 @@ def test_load_counters_against_statement(spark):
     test_against_statement(spark, "load_counters_a15")
 
 
+def test_tokens_are_the_runs_of_the_match_form(spark):
+    from shelfmark.functions import text as T
+
+    odd = ["It’s A-B/c:d,e.(F)", " \u00a0x\u2028Y\x1cz ", "İSTANBUL ΣΑΣ a\u0130b \u212A9", "", None, "ＡＢ ß ǅ1\t\r\n-"]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string").select(
+        T.tokens(F.col("t")).alias("a"), T.alnum_runs(T.match_norm(F.col("t"))).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and rows[0].a[-1] == "f"
+
+
+def test_character_match_is_computed_from_fields_of_either_side(spark):
+    """A document's alias tokens and their loose forms are not computed again for every hit."""
+    from shelfmark.functions import similarity as SIM
+
+    rows = spark.createDataFrame([
+        (["ouji", "rin"], ["rin ouji", "oji"], ["x"], False, 2), (["a", "a", "b"], ["a a b"], [], True, 2), ([], [""], ["q"], False, 0),
+        (["kou"], ["ko"], ["kou", "z"], False, 1), (["p", "q", "r"], ["p"], ["q", "r", "r"], False, 2)],
+        "q array<string>, a array<string>, s array<string>, exact boolean, hits int")
+    both = rows.withColumns({"qs": SIM.query_side(F.col("q")), "al": SIM.alias_side(F.col("a"))}).select(
+        "exact", "hits", SIM.match_sides(F.col("qs"), F.col("al"), F.col("s")).alias("m"), SIM.character_match(F.col("q"), F.col("a"), F.col("s")).alias("n"))
+    assert all(tuple(r.m) == tuple(r.n) == (r.exact, r.hits) for r in both.collect())
+
+
 def test_character_pool_carries_matches_not_texts(tables):
     from shelfmark.catalog.retrieval import character_pool
 

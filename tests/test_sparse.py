@@ -181,3 +181,38 @@ def test_parts_are_bounded_by_postings():
     assert SP.SC.parts_for(100) == 1
     assert SP.SC.parts_for(100, 5 * SP.SC.PART_POSTINGS) == 5
     assert SP.SC.parts_for(64 * SP.SC.PART_DOCS, 5 * SP.SC.PART_POSTINGS) == 64
+
+
+def test_parts_of_an_index_are_bounded_by_the_postings_asked_for(frames, monkeypatch):
+    monkeypatch.setattr(SP.SC, "PART_POSTINGS", 50)
+    made, plain = [], SP.SC.doc_parts
+    monkeypatch.setattr(SP.SC, "doc_parts", lambda *a: made.append(plain(*a)) or made[-1])
+    SP.SparseIndex.build(frames[0]).top(frames[1], 3).count()
+    assert made[0].selectExpr("max(octet_length(weights))").first()[0] < 8 * 50 * 3
+
+
+def test_a_part_sends_little_more_than_k_documents_to_the_cut(monkeypatch):
+    """Postings are added up, and the k-th best so far leaves the others of a part out."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    n, asked, k = 5000, 300, 5
+    entries = pd.DataFrame({"part": 0, "doc": np.tile(np.arange(n), 3), "no": np.repeat([1, 2, 3], n), "weight": rng.random(3 * n)})
+    entries = entries[rng.random(3 * n) < 0.5]
+    weights = rng.random((asked, 3))
+    pack = lambda a, t: np.asarray(a, dtype=t).tobytes()
+    block = pd.DataFrame([{
+        "sizes": pack([4] * asked, "<i8"), "q_nos": pack([-1, 1, 2, 3] * asked, "<i8"), "q_weights": pack(np.c_[np.zeros(asked), weights].ravel(), "<f8"),
+        "q_vectors": b"", "floors": pack([-np.inf] * asked, "<f8")}])
+    cuts, plain = [], SP.SC._cut
+    monkeypatch.setattr(SP.SC, "_cut", lambda found, k: cuts.append(sum(len(f[0]) for f in found)) or plain(found, k))
+    row = next(pd.concat([SP.SC._part(entries), block], axis=1).itertuples(index=False))
+    q, d, s = SP.SC._pair(row, k, 2e-9)
+    d = np.asarray(row.docs)[d]
+    full = np.zeros((4, n))
+    full[entries["no"], entries["doc"]] = entries["weight"]
+    best = weights @ full[1:]
+    order = np.lexsort((np.broadcast_to(np.arange(n), best.shape), -best.round(9)))[:, :k]
+    assert (d.reshape(asked, k) == order).all() and np.allclose(s.reshape(asked, k), np.take_along_axis(best, order, 1))
+    assert max(cuts) <= 2 * k * asked
