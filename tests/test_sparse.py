@@ -216,3 +216,15 @@ def test_a_part_sends_little_more_than_k_documents_to_the_cut(monkeypatch):
     order = np.lexsort((np.broadcast_to(np.arange(n), best.shape), -best.round(9)))[:, :k]
     assert (d.reshape(asked, k) == order).all() and np.allclose(s.reshape(asked, k), np.take_along_axis(best, order, 1))
     assert max(cuts) <= 2 * k * asked
+
+
+def test_what_parts_find_stays_packed_by_blocks(spark, frames, corpus, monkeypatch):
+    """No task sorts a row per query and document, and the planner sees no copies of queries or parts that it could broadcast."""
+    for name, value in (("SMALL_PART", 16), ("QUERY_BLOCK", 7)):
+        monkeypatch.setattr(SP.SC, name, value)
+    sizes, plain = {}, SP.SC.materialize
+    monkeypatch.setattr(SP.SC, "materialize", lambda df, name: sizes.update({name: (out := plain(df, name)).count()}) or out)
+    queries = [(i, f"common shared w{i % 40} r{i} pad") for i in range(60)]
+    found = SP.search(frames[0], spark.createDataFrame(queries, "query_id long, query string"), 9)
+    assert rows(found) == brute(corpus[0], queries, 9)
+    assert sizes["first-scored"] == sizes["query-packs"] >= 9
