@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from shelfmark.operators.ranking import top_k
-from shelfmark.session import bound_arrow_batches, materialize
+from shelfmark.session import bound_arrow_batches, materialize, spread
 
 SAMPLE = 1024
 PIVOTS = 256
@@ -120,11 +120,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         placed = df.withColumn(name, F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(parts)))
         return placed.groupBy(name).agg(F.collect_list(F.struct("vec_id", "v")).alias(f"{name}_rows"))
 
-    stored = packed(rows, blocks, "block").select("block", F.col("block_rows.vec_id").alias("ids"), F.flatten("block_rows.v").alias("flat"))
-    asked = packed(asked, chunks, "chunk").select(
-        F.col("chunk_rows.vec_id").alias("query_ids"), F.flatten("chunk_rows.v").alias("query_flat"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_b"),
-    )
+    # Both sides are written as they are: a copy of the queries for every block would be planned, and broadcast, as if it were one.
+    stored = spread(materialize(packed(rows, blocks, "block").select(
+        "block", F.col("block_rows.vec_id").alias("ids"), F.flatten("block_rows.v").alias("flat")), "vector-blocks"))
+    asked = materialize(packed(asked, chunks, "chunk").select(
+        F.col("chunk_rows.vec_id").alias("query_ids"), F.flatten("chunk_rows.v").alias("query_flat")), "query-chunks")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, index = None, None
@@ -142,7 +142,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 })
 
     bound_arrow_batches(spark)
-    met = stored.join(asked, F.col("block") == F.col("_b")).select("block", "ids", "flat", "query_ids", "query_flat")
+    met = stored.crossJoin(asked).select("block", "ids", "flat", "query_ids", "query_flat")
     best = met.mapInPandas(search, "query_id long, vec_id long, score double")
     ranked = top_k(best, ["query_id"], [F.desc("score"), F.col("vec_id")], k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

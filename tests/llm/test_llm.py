@@ -173,6 +173,13 @@ def test_permutation_index_recall(spark):
     assert all(len(f) == 5 for f in found.values())
 
 
+def test_permutation_index_plans_no_copies_of_queries(spark):
+    """Copies of the queries for every block have the size of one in the plan, so that all of them would pass the driver."""
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 5)]) for i in range(60)], "vec_id long, embedding array<double>")
+    plan = ann.nearest(vectors, vectors.where("vec_id < 9"), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan.lower()
+
+
 def test_permutation_index_odd_rows(spark):
     rows = [(0, [1.0, 0.0], "a"), (1, [1.0, 0.0], "a"), (2, [2.0, 0.0], "a"), (3, None, "a"), (4, [0.0, 0.0], "a"), (5, [None, 1.0], "a"),
             (6, [float("nan"), 1.0], "a"), (7, [float("inf"), 1.0], "a"), (None, [1.0, 1.0], "a"), (8, [0.0, 1.0], "a"), (9, [1.0], "a")]
